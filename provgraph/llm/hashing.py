@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _R = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
@@ -129,3 +130,23 @@ def unique_by_row(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     fresh[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
     values, row = values[fresh], row[fresh]
     return values, np.searchsorted(row, np.arange(len(bounds)))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """Parts of a record batch with about ``most`` bytes of text each; a longer
+    text is alone in its part, whole."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column).cast(pa.large_string())), 0), np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def fold_runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash of hashes[start:end] for each pair, whatever their overlap."""
+    _tables(len(hashes) + 1)
+    run = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _powers[: len(hashes)], out=run[1:])
+    return mix((run[ends] - run[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -19,6 +19,8 @@ columns, whatever their names, are kept.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,15 +64,12 @@ def ngram_weights(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_trus
     both = F.array(_bucket(bits, F.col("a")), F.when(F.col("b").isNotNull(), _bucket(bits, F.col("a"), F.col("b"))))
     grams = grams.select("trusted", F.explode(both).alias("bucket")).filter("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
-    total = counts.agg(F.sum("raw").alias("raw_total"), F.sum("target").alias("target_total"))
-    counts = counts.join(F.broadcast(total))  # one row
-    weight = F.log((F.col("target") + smoothing) / (F.col("target_total") + smoothing * n_buckets)) - F.log(
-        (F.col("raw") + smoothing) / (F.col("raw_total") + smoothing * n_buckets)
-    )
-    found = counts.filter("target_total > 0").select("bucket", weight.alias("weight")).collect()  # 2**bits rows at most
+    found = counts.collect()  # 2**bits rows at most
+    raw_total, target_total = sum(c.raw for c in found), sum(c.target for c in found)
     weights = [0.0] * n_buckets
-    for bucket, value in found:
-        weights[bucket] = value
+    for c in found if target_total else []:
+        target = (c.target + smoothing) / (target_total + smoothing * n_buckets)
+        weights[c.bucket] = math.log(target) - math.log((c.raw + smoothing) / (raw_total + smoothing * n_buckets))
     return weights
 
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from provgraph.llm.op10_spans import op10_sentence_spans
+from provgraph.llm.op1_classifier import op1_quality_classifier
 from provgraph.llm.op2_sharding import op2_sharding, oracle as oracle2
+from provgraph.llm.op3_pii import op3_pii
 from provgraph.llm.op4_rules import op4_quality_rules
+from provgraph.llm.op6_packing import op6_packing
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_sharding": op2_sharding,
+    "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
+    "op6_packing": op6_packing,
+    "op10_sentence_spans": op10_sentence_spans,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.
