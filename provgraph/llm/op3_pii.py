@@ -239,6 +239,7 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of personal data of every document."""
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), added)
