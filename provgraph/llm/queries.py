@@ -7,6 +7,7 @@ from provgraph.llm.op1_classifier import op1_quality_classifier
 from provgraph.llm.op2_sharding import op2_sharding, oracle as oracle2
 from provgraph.llm.op3_pii import op3_pii
 from provgraph.llm.op4_rules import op4_quality_rules
+from provgraph.llm.op5_jaccard import op5_jaccard_join
 from provgraph.llm.op6_packing import op6_packing
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op10_sentence_spans": op10_sentence_spans,
 }
