@@ -52,6 +52,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def fold_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of U+00C0 to U+00DE in lower case."""
+    capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
+    if not capital.any():
+        return data
+    data = data.copy()
+    data[1:][capital] += 0x20
+    return data
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all words; no word crosses an offset."""
     if not len(data):

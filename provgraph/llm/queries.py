@@ -9,6 +9,7 @@ from provgraph.llm.op3_pii import op3_pii
 from provgraph.llm.op4_rules import op4_quality_rules
 from provgraph.llm.op5_jaccard import op5_jaccard_join
 from provgraph.llm.op6_packing import op6_packing
+from provgraph.llm.op9_decontaminate import op9_decontamination
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
+    "op9_decontamination": op9_decontamination,
     "op10_sentence_spans": op10_sentence_spans,
 }
 
