@@ -9,6 +9,8 @@ from provgraph.llm.op3_pii import op3_pii
 from provgraph.llm.op4_rules import op4_quality_rules
 from provgraph.llm.op5_jaccard import op5_jaccard_join
 from provgraph.llm.op6_packing import op6_packing
+from provgraph.llm.op7_links import op7_url_filters, oracle as oracle7
+from provgraph.llm.op8_tokens import op8_token_counts
 from provgraph.llm.op9_decontaminate import op9_decontamination
 
 QUERIES = {
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
+    "op7_url_filters": op7_url_filters,
+    "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_sentence_spans": op10_sentence_spans,
 }
@@ -25,4 +29,5 @@ QUERIES = {
 #: Queries without an entry are tested against brute force in tests/llm.
 ORACLE_SQL = {
     "op2_sharding": oracle2,
+    "op7_url_filters": oracle7,
 }
