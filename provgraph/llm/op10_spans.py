@@ -91,11 +91,12 @@ def span_table(docs: DataFrame, n_sentences: int = N_SENTENCES, min_words: int =
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]).add("place", "integer").add("n", "integer").add("hash", "long"))
 
 
-def later_spans(spans: DataFrame) -> DataFrame:
+def later_spans(spans: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, place, n) of the occurrences that are not a hash's first."""
     at = F.struct("doc_id", "place")
     ends = spans.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     again = ends.filter("first != last").select(F.col("hash").alias("h"), "first")
+    again = scratch.save(again)  # a table of its own, so that a hot hash can be split
     return spans.join(again, F.col("hash") == F.col("h")).filter(at != F.col("first")).select("doc_id", "place", "n")
 
 
@@ -103,9 +104,9 @@ def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
     """``docs`` without repeated sentences, with n_sentences and n_removed."""
     kept = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
     docs = docs.select(*kept)
-    spans = Scratch(docs.sparkSession, "spans").save(span_table(docs, **sizes))
-    places = later_spans(spans).select("doc_id", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("place"))
-    places = places.distinct().groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    scratch = Scratch(docs.sparkSession, "spans")
+    spans = scratch.save(span_table(docs, **sizes))
+    places = later_spans(spans, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("places"))
     places = places.withColumnRenamed("doc_id", "d")
     rows = docs.join(places, F.col("doc_id").eqNullSafe(F.col("d")), "left").select(*kept, F.col("places").alias("__places"))
     at, removed = kept.index("text"), len(kept)
@@ -122,13 +123,14 @@ def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
                         texts.append(given[i].as_py())
                         n_removed.append(0)
                         continue
-                    keep = np.ones(offsets[i + 1] - offsets[i], bool)
+                    keep, marked = np.ones(offsets[i + 1] - offsets[i], bool), np.zeros(bounds[i + 1] - bounds[i], bool)
                     for p in gone:
-                        s = bounds[i] + p
-                        end = begin[s + 1] if s + 1 < bounds[i + 1] else offsets[i + 1]
+                        s, e = bounds[i] + p["place"], bounds[i] + p["place"] + p["n"]
+                        marked[s - bounds[i] : e - bounds[i]] = True
+                        end = begin[e] if e < bounds[i + 1] else offsets[i + 1]
                         keep[begin[s] - offsets[i] : end - offsets[i]] = False
                     texts.append(data[offsets[i] : offsets[i + 1]][keep].tobytes().decode())
-                    n_removed.append(len(gone))
+                    n_removed.append(int(marked.sum()))
                 arrays = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.diff(bounds)), pa.array(n_removed, pa.int64())], names=[*kept, "n_sentences", "n_removed"])
 
