@@ -1,4 +1,342 @@
-"""The lineage engine's queries and their SQL."""
+"""The lineage engine's queries over the derived graphs, and their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Key graph: foreign keys, acyclic. Flow graph: users of successive events,
+cyclic, partly undirected. Log: node and edge changes from the events.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from provgraph.functions.validation import dangling_edges, duplicate_edges, event_violations
+from provgraph.operators import diff as D
+from provgraph.operators import matrix as M
+from provgraph.operators import order, paths, replay, search, stats, traverse
+from provgraph.plans.graph import LineageGraph
+from provgraph.plans.iterate import Rounds
+from provgraph.schema import Limits
+from provgraph.sources import eventlog, tables
+
+WIDE = Limits(nodes=10_000_000)
+
+
+def key_graph(spark, sf_dir: str) -> LineageGraph:
+    return LineageGraph(tables.key_nodes(spark, sf_dir), tables.key_edges(spark, sf_dir), WIDE)
+
+
+def flow_graph(spark, sf_dir: str) -> LineageGraph:
+    return LineageGraph(tables.flow_nodes(spark, sf_dir), Rounds(spark).save(tables.flow_edges(spark, sf_dir)), WIDE)
+
+
+def middle(spark, sf_dir: str):
+    """The time of the event in the middle of the log."""
+    e = tables.read(spark, sf_dir, "events")
+    return e.join(F.broadcast(e.agg(F.floor(F.max("event_id") / 2).alias("event_id"))), "event_id").select("ts").first().ts
+
+
+KEY_NODES = " UNION ALL ".join(f"""SELECT '{letter}' || {key} AS id, '{t} ' || {key} AS name, '{kind}' AS type, '{{"key":' || {key} || '}}' AS properties FROM {t}""" for t, key, letter, kind in tables.ENTITIES)
+KEY_ENDS = """SELECT 'N' || n_nationkey AS source_id, 'R' || n_regionkey AS target_id, 'deploys_on' AS relation FROM nation
+UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 'depends_on' FROM customer UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'depends_on' FROM supplier
+UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 'owns' FROM orders
+UNION ALL SELECT DISTINCT 'O' || l_orderkey, 'P' || l_partkey, 'reads_from' FROM lineitem UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'P' || l_partkey, 'writes_to' FROM lineitem"""
+KEY = f"""kn AS ({KEY_NODES}), ke AS (SELECT source_id || '-' || relation || '-' || target_id AS id, *, 1.0::DOUBLE AS weight, true AS directed FROM ({KEY_ENDS}))"""
+FLOW = """ft AS (SELECT user_id u, lead(user_id) OVER (ORDER BY event_id) v, event_type et, value w FROM events),
+fm AS (SELECT CASE WHEN et = 'signup' THEN least(u, v) ELSE u END s, CASE WHEN et = 'signup' THEN greatest(u, v) ELSE v END d,
+ CASE et WHEN 'click' THEN 'calls' WHEN 'view' THEN 'reads_from' WHEN 'purchase' THEN 'transfers_to' WHEN 'error' THEN 'depends_on' ELSE 'associates_with' END relation, et <> 'signup' directed, w FROM ft WHERE v IS NOT NULL AND u <> v),
+fe AS (SELECT 'u' || s || '-' || relation || '-u' || d AS id, 'u' || s AS source_id, 'u' || d AS target_id, relation, min(w) AS weight, directed FROM fm GROUP BY s, d, relation, directed),
+fn AS (SELECT DISTINCT 'u' || user_id AS id FROM events)"""
+LOG = """log AS (SELECT event_id + 1 AS seq, event_type AS et, CASE event_type WHEN 'signup' THEN 'node_created' WHEN 'view' THEN 'node_updated' WHEN 'error' THEN 'node_deleted'
+  WHEN 'click' THEN 'edge_updated' ELSE CASE WHEN event_id % 4 = 3 THEN 'edge_deleted' ELSE 'edge_created' END END AS event_type,
+  'u' || user_id AS u, 'u' || ((user_id + 1) % 50) AS v, value AS w, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, ts AS occurred_at FROM events),
+ev AS (SELECT *, split_part(event_type, '_', 1) AS entity_type, CASE WHEN event_type LIKE 'node%' THEN u ELSE u || '-' || v END AS entity_id FROM log),
+mid AS (SELECT ts AS moment FROM events WHERE event_id = (SELECT max(event_id) // 2 FROM events))"""
+
+
+def adj(table: str, direction: str) -> str:
+    fwd, rev = f"SELECT source_id src, target_id dst, id edge_id, relation, weight FROM {table}", f"SELECT target_id src, source_id dst, id edge_id, relation, weight FROM {table}"
+    return {"out": f"{fwd} UNION ALL {rev} WHERE NOT directed", "in": f"{rev} UNION ALL {fwd} WHERE NOT directed", "both": f"{fwd} UNION ALL {rev}"}[direction]
+
+
+def bfs_sql(table: str, start: str, depth: int, direction: str, where: str = "true", name: str = "b") -> str:
+    return f"""{name}a AS (SELECT src, dst FROM ({adj(table, direction)}) x WHERE {where}),
+{name}w AS (SELECT '{start}' AS node_id, 0 AS depth UNION SELECT dst, depth + 1 FROM {name}w JOIN {name}a ON src = node_id WHERE depth < {depth}),
+{name} AS (SELECT node_id, min(depth) AS depth FROM {name}w GROUP BY node_id)"""
+
+
+def fold_sql(name: str, where: str = "true") -> str:
+    return f"""{name}e AS (SELECT * FROM ev WHERE {where}),
+{name}l AS (SELECT entity_type, entity_id, arg_max(event_type, seq) et, arg_max(u, seq) u, arg_max(v, seq) v, arg_max(w, seq) w, arg_max(k, seq) k, max(seq) seq FROM {name}e GROUP BY ALL),
+{name}n AS (SELECT entity_id AS id, u AS name, 'account' AS type, k FROM {name}l WHERE entity_type = 'node' AND et <> 'node_deleted'),
+{name}d AS (SELECT entity_id AS id, max(seq) AS gone FROM {name}e WHERE event_type = 'node_deleted' GROUP BY 1),
+{name}x AS (SELECT entity_id AS id, u AS source_id, v AS target_id, 'transfers_to' AS relation, w AS weight, k FROM {name}l WHERE entity_type = 'edge' AND et <> 'edge_deleted'
+ AND NOT EXISTS (FROM {name}d WHERE id IN (u, v) AND gone > seq) AND u IN (SELECT id FROM {name}n) AND v IN (SELECT id FROM {name}n))"""
+
+
+def _bfs(make, start, depth, direction="out", relations=(), types=()):
+    def query(spark, sf_dir: str) -> DataFrame:
+        g = make(spark, sf_dir)
+        return traverse.reach(g, g.nodes.filter(F.col("id") == start).select("id"), depth, direction, relations, types).select("node_id", "depth")
+
+    return query
+
+
+def _k(df: DataFrame) -> DataFrame:
+    return df.withColumn("k", F.get_json_object("properties", "$.k")).drop("properties", "updated_at")
+
+
+def bfs_truncated(spark, sf_dir):
+    visits, truncated = traverse.bfs(flow_graph(spark, sf_dir), "u0", 2, "out", max_nodes=40)
+    return visits.withColumn("truncated", F.lit(truncated))
+
+
+def lineage_levels(spark, sf_dir):
+    return traverse.lineage(key_graph(spark, sf_dir), "P0", 3)
+
+
+def _impact(by_type):
+    return lambda spark, sf_dir: (traverse.impact_by_type if by_type else traverse.impact)(key_graph(spark, sf_dir), "C0", 3)
+
+
+def shortest_path(spark, sf_dir):
+    g = flow_graph(spark, sf_dir)
+    row = paths.shortest_path(g, "u0", "u7")
+    return row.select("found", F.round("cost", 6).alias("cost"), "hops", F.concat_ws(">", "node_ids").alias("node_ids"), F.concat_ws(">", "edge_ids").alias("edge_ids"))
+
+
+def path_costs(spark, sf_dir):
+    best, _ = paths.distances(flow_graph(spark, sf_dir), "u0")
+    return best.select("node_id", F.round("cost", 6).alias("cost"))
+
+
+def _all_paths(make, start, goal, depth):
+    def query(spark, sf_dir):
+        found, _ = paths.all_paths(make(spark, sf_dir), start, goal, depth, 0)
+        return found.select(F.concat_ws(">", "node_ids").alias("node_ids"), F.concat_ws(">", "edge_ids").alias("edge_ids"), F.round("cost", 6).alias("cost"), "hops")
+
+    return query
+
+
+def paths_sql(cte: str, table: str, start: str, goal: str, depth: int) -> str:
+    return f"""WITH RECURSIVE {cte}, a AS ({adj(table, "out")}),
+p AS (SELECT '{start}' AS cur, ['{start}'] AS n, []::VARCHAR[] AS e, 0.0::DOUBLE AS cost UNION ALL
+ SELECT dst, list_append(n, dst), list_append(e, edge_id), cost + weight FROM p JOIN a ON src = cur WHERE cur <> '{goal}' AND len(e) < {depth} AND NOT list_contains(n, dst)),
+f AS (SELECT * FROM p WHERE cur = '{goal}' ORDER BY e LIMIT 1000)
+SELECT array_to_string(n, '>') AS node_ids, array_to_string(e, '>') AS edge_ids, round(cost, 6) AS cost, CAST(len(e) AS INTEGER) AS hops FROM f"""
+
+
+def small(spark, sf_dir) -> LineageGraph:
+    """Regions, nations, suppliers and customers of the key graph."""
+    g = key_graph(spark, sf_dir)
+    nodes = g.nodes.filter("type in ('server', 'database', 'person', 'application')")
+    return LineageGraph(nodes, g.induced(nodes.select("id")), g.limits)
+
+
+def _snapshot(part, until=True):
+    def query(spark, sf_dir):
+        log = tables.event_log(spark, sf_dir)
+        out = _k(replay.fold(log, middle(spark, sf_dir) if until else None)[part])
+        return out.drop("directed")
+
+    return query
+
+
+def _diff(part):
+    def query(spark, sf_dir):
+        rounds = Rounds(spark)
+        log = rounds.save(tables.event_log(spark, sf_dir))
+        save = lambda state: tuple(rounds.save(x) for x in state)
+        d = D.diff(save(replay.fold(log, middle(spark, sf_dir))), save(replay.fold(log)))
+        return D.summary(d) if part == "summary" else d[part]
+
+    return query
+
+
+def _fields_sql(kind: str) -> str:
+    extra = "UNION ALL SELECT a.id, 'weight', CAST(a.weight AS VARCHAR), CAST(b.weight AS VARCHAR) FROM ax a JOIN bx b USING (id) WHERE a.weight <> b.weight" if kind == "x" else ""
+    return f"""SELECT a.id, 'properties.k' AS field, a.k AS before, b.k AS after FROM a{kind} a JOIN b{kind} b USING (id) WHERE a.k <> b.k {extra}"""
+
+
+def _ids_sql(kind: str) -> str:
+    return f"SELECT id, 'added' AS change FROM b{kind} ANTI JOIN a{kind} USING (id) UNION ALL SELECT id, 'removed' FROM a{kind} ANTI JOIN b{kind} USING (id)"
+
+
+BOTH = f"WITH {LOG}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM mid)')}, {fold_sql('b')}"
+
+
+def events_page(spark, sf_dir):
+    return eventlog.list_events(tables.event_log(spark, sf_dir), types=("node_created", "edge_deleted"), limit=100, offset=20).select("seq", "event_type", "entity_id", "occurred_at")
+
+
+def topology_edges(spark, sf_dir):
+    return stats.topology(flow_graph(spark, sf_dir), relations=("calls",), limit=30)["edges"].select("id", "source_id", "target_id")
+
+
+def induced_edges(spark, sf_dir):
+    g = key_graph(spark, sf_dir)
+    ids = traverse.reach(g, g.nodes.filter("id = 'C0'").select("id"), 2, "out").select("node_id")
+    return g.induced(ids).select("id", "source_id", "target_id")
+
+
+def invalid_events(spark, sf_dir):
+    """Events of which every tenth is broken on purpose, so that rules show."""
+    log = tables.event_log(spark, sf_dir)
+    broken = log.withColumns({
+        "entity_id": F.when(F.col("seq") % 10 == 0, " ").otherwise(F.col("entity_id")),
+        "payload": F.when(F.col("seq") % 10 == 1, F.lit(None)).otherwise(F.col("payload")),
+        "event_type": F.when(F.col("seq") % 10 == 2, "node_renamed").otherwise(F.col("event_type")),
+    })
+    return event_violations(broken).select("seq", "violation")
+
+
+def dangling(spark, sf_dir):
+    """Edges of the key graph with an end outside of parts and orders."""
+    g = key_graph(spark, sf_dir)
+    return dangling_edges(g.edges, g.nodes.filter("type in ('api', 'account')")).select("id")
+
+
+def duplicates(spark, sf_dir):
+    """Several edges of the flow between two users count as one relation."""
+    return duplicate_edges(tables.flow_edges(spark, sf_dir).withColumn("relation", F.lit("calls")))
+
+
+def dfs_order(spark, sf_dir):
+    return traverse.dfs(key_graph(spark, sf_dir), "C0", 3)
+
+
+def topological(spark, sf_dir):
+    return order.topological_order(small(spark, sf_dir))
+
+
+QUERIES = {
+    "nodes_by_type": lambda s, d: stats.type_counts(tables.key_nodes(s, d)),
+    "graph_stats": lambda s, d: stats.stats(key_graph(s, d)),
+    "flow_stats": lambda s, d: stats.stats(flow_graph(s, d)),
+    "degree_out": lambda s, d: stats.degree(flow_graph(s, d), "out"),
+    "degree_all": lambda s, d: stats.degree(flow_graph(s, d)),
+    "isolated_nodes": lambda s, d: stats.isolated(LineageGraph(tables.key_nodes(s, d), tables.key_edges(s, d).filter("relation = 'owns'"))),
+    "search_nodes": lambda s, d: search.search(tables.key_nodes(s, d), prefix="Cust", keyword="1", types=["person"], limit=0).select("id", "name", "type"),
+    "nodes_with_property": lambda s, d: search.search(tables.key_nodes(s, d), key="key", value="7").select("id", "name"),
+    "property_keys": lambda s, d: search.property_keys(replay.fold(tables.event_log(s, d))[0]),
+    "panel_search": lambda s, d: search.panel_search(tables.key_nodes(s, d), "12").select("id"),
+    "incident_edges": lambda s, d: flow_graph(s, d).incident_edges("u3").select("id", "source_id", "target_id"),
+    "adjacency_out": lambda s, d: flow_graph(s, d).adjacency("out"),
+    "adjacency_in": lambda s, d: flow_graph(s, d).adjacency("in"),
+    "adjacency_both": lambda s, d: flow_graph(s, d).adjacency("both"),
+    "roots": lambda s, d: stats.roots_and_leaves(key_graph(s, d))[0],
+    "leaves": lambda s, d: stats.roots_and_leaves(key_graph(s, d))[1],
+    "topology_topk": lambda s, d: stats.top_nodes(flow_graph(s, d), limit=30),
+    "topology_topk_edges": topology_edges,
+    "bfs_out": _bfs(key_graph, "C0", 3),
+    "bfs_in": _bfs(key_graph, "P0", 3, "in"),
+    "bfs_both": _bfs(flow_graph, "u0", 1, "both"),
+    "bfs_relation_filter": _bfs(key_graph, "C0", 4, "out", ("owns", "reads_from")),
+    "bfs_type_filter": _bfs(key_graph, "C0", 4, "out", (), ("account", "database")),
+    "neighbors_2hop": lambda s, d: traverse.neighbours(key_graph(s, d), "S1", 2),
+    "bfs_truncated": bfs_truncated,
+    "induced_edges": induced_edges,
+    "lineage_levels": lineage_levels,
+    "impact_summary": _impact(False),
+    "impact_by_type": _impact(True),
+    "shortest_path_cost": path_costs,
+    "shortest_path_nodes": shortest_path,
+    "all_paths": _all_paths(key_graph, "C0", "P0", 4),
+    "all_paths_flow": _all_paths(flow_graph, "u0", "u7", 2),
+    "matrix_cells": lambda s, d: M.cells(flow_graph(s, d)),
+    "matrix_density": lambda s, d: M.density(flow_graph(s, d)).withColumn("density", F.round("density", 9)),
+    "two_hop": lambda s, d: M.two_hop(small(s, d)),
+    "components": lambda s, d: M.component_sizes(LineageGraph(tables.key_nodes(s, d), tables.key_edges(s, d).filter("relation in ('depends_on', 'deploys_on')"))),
+    "topo_levels": lambda s, d: order.levels(key_graph(s, d)),
+    "has_cycle": lambda s, d: order.has_cycle(key_graph(s, d)),
+    "topological_order": topological,
+    "dfs_order": dfs_order,
+    "events_page": events_page,
+    "entity_timeline": lambda s, d: eventlog.entity_timeline(tables.event_log(s, d), "u5", 500).select("seq", "event_type", "occurred_at"),
+    "timeline_bounds": lambda s, d: eventlog.bounds(tables.event_log(s, d)),
+    "snapshot_nodes_at": _snapshot(0),
+    "snapshot_edges_at": _snapshot(1),
+    "live_nodes": _snapshot(0, False),
+    "live_edges": _snapshot(1, False),
+    "replay_violations": lambda s, d: replay.violations(tables.event_log(s, d)),
+    "diff_nodes": _diff("nodes"),
+    "diff_edges": _diff("edges"),
+    "diff_node_properties": _diff("node_fields"),
+    "diff_edge_properties": _diff("edge_fields"),
+    "diff_summary": _diff("summary"),
+    "duplicate_edges": duplicates,
+    "dangling_edges": dangling,
+    "invalid_events": invalid_events,
+}
+
+_STATS = lambda n, e: f"""d AS (SELECT n.id, count(e.id) AS degree FROM {n} n LEFT JOIN {e} e ON n.id IN (e.source_id, e.target_id) GROUP BY 1)
+SELECT count(*) AS node_count, (SELECT count(*) FROM {e}) AS edge_count, 2.0::DOUBLE * (SELECT count(*) FROM {e}) / count(*) AS avg_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS isolated_count FROM d"""
+_DEG = "dd AS (SELECT src AS id, count(*) AS degree FROM ({}) GROUP BY 1) SELECT fn.id, coalesce(degree, 0) AS degree FROM fn LEFT JOIN dd USING (id)"
+_END = "e AS (SELECT source_id AS id FROM ke UNION ALL SELECT target_id FROM ke), d AS (SELECT id, count(*) AS degree FROM e GROUP BY 1)"
+_IMPACT = f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'C0', 3, 'out', name='o')}, {bfs_sql('ke', 'C0', 3, 'in', name='i')}"
+_TOP = f"ends AS (SELECT src AS id FROM ({adj('fe', 'out')}) UNION ALL SELECT src FROM ({adj('fe', 'in')})), top AS (SELECT fn.id, count(ends.id) AS degree FROM fn LEFT JOIN ends USING (id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30)"
+_DIST = f"""WITH RECURSIVE {FLOW}, a AS ({adj("fe", "out")}),
+best(node_id, cost) USING KEY (node_id) AS (SELECT 'u0', 0.0::DOUBLE UNION
+ SELECT dst, min(c) FROM (SELECT a.dst, best.cost + a.weight AS c FROM best JOIN a ON a.src = best.node_id) x LEFT JOIN recurring.best r ON r.node_id = x.dst
+ WHERE r.cost IS NULL OR c < r.cost GROUP BY dst)"""
+
+ORACLE_SQL = {
+    "nodes_by_type": f"WITH {KEY} SELECT type, count(*) AS n FROM kn GROUP BY 1",
+    "graph_stats": f"WITH {KEY}, {_END} SELECT (SELECT count(*) FROM kn) AS node_count, (SELECT count(*) FROM ke) AS edge_count, 2.0::DOUBLE * (SELECT count(*) FROM ke) / (SELECT count(*) FROM kn) AS avg_degree, (SELECT max(degree) FROM d) AS max_degree, (SELECT count(*) FROM kn ANTI JOIN d USING (id)) AS isolated_count",
+    "flow_stats": f"WITH {FLOW}, {_STATS('fn', 'fe')}",
+    "degree_out": f"WITH {FLOW}, {_DEG.format(adj('fe', 'out'))}",
+    "degree_all": f"WITH {FLOW}, {_DEG.format(adj('fe', 'both'))}",
+    "isolated_nodes": f"WITH {KEY} SELECT id FROM kn WHERE id NOT IN (SELECT source_id FROM ke WHERE relation = 'owns') AND id NOT IN (SELECT target_id FROM ke WHERE relation = 'owns')",
+    "search_nodes": f"WITH {KEY} SELECT id, name, type FROM kn WHERE lower(name) LIKE 'cust%' AND lower(name) LIKE '%1%' AND type = 'person'",
+    "nodes_with_property": f"WITH {KEY} SELECT id, name FROM kn WHERE json_extract_string(properties, '$.key') = '7'",
+    "property_keys": "SELECT DISTINCT unnest(json_keys(props)) AS key FROM events WHERE event_type IN ('signup', 'view')",
+    "panel_search": f"WITH {KEY} SELECT id FROM kn WHERE lower(name) LIKE '%12%' OR lower(id) LIKE '%12%' OR json_extract_string(properties, '$.key') LIKE '%12%' ORDER BY id LIMIT 24",
+    "incident_edges": f"WITH {FLOW} SELECT id, source_id, target_id FROM fe WHERE 'u3' IN (source_id, target_id)",
+    **{f"adjacency_{d}": f"WITH {FLOW} {adj('fe', d)}" for d in ("out", "in", "both")},
+    "roots": f"WITH {KEY} SELECT id, name, type FROM kn WHERE id NOT IN (SELECT target_id FROM ke)",
+    "leaves": f"WITH {KEY} SELECT id, name, type FROM kn WHERE id NOT IN (SELECT source_id FROM ke)",
+    "topology_topk": f"WITH {FLOW}, {_TOP} SELECT id, degree FROM top",
+    "topology_topk_edges": f"WITH {FLOW}, {_TOP} SELECT id, source_id, target_id FROM fe WHERE relation = 'calls' AND source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top)",
+    "bfs_out": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'C0', 3, 'out')} FROM b",
+    "bfs_in": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'P0', 3, 'in')} FROM b",
+    "bfs_both": f"WITH RECURSIVE {FLOW}, {bfs_sql('fe', 'u0', 1, 'both')} FROM b",
+    "bfs_relation_filter": f"""WITH RECURSIVE {KEY}, {bfs_sql("ke", "C0", 4, "out", "relation IN ('owns', 'reads_from')")} FROM b""",
+    "bfs_type_filter": f"""WITH RECURSIVE {KEY}, {bfs_sql("ke", "C0", 4, "out", "dst IN (SELECT id FROM kn WHERE type IN ('account', 'database'))")} FROM b""",
+    "neighbors_2hop": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'S1', 2, 'both')} FROM b",
+    "induced_edges": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'C0', 2, 'out')} SELECT id, source_id, target_id FROM ke WHERE source_id IN (SELECT node_id FROM b) AND target_id IN (SELECT node_id FROM b)",
+    "lineage_levels": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'P0', 3, 'in', name='i')}, {bfs_sql('ke', 'P0', 3, 'out', name='o')} SELECT node_id, name, type, max(level) AS level FROM (SELECT node_id, -depth AS level FROM i UNION ALL SELECT node_id, depth FROM o) JOIN kn ON kn.id = node_id GROUP BY 1, 2, 3",
+    "impact_summary": f"{_IMPACT} SELECT (SELECT count(*) FROM o WHERE depth = 1) AS direct_downstream, (SELECT count(*) FROM o WHERE depth > 0) AS total_downstream, (SELECT count(*) FROM i WHERE depth = 1) AS direct_upstream, (SELECT count(*) FROM i WHERE depth > 0) AS total_upstream, (SELECT max(depth) FROM o) AS max_depth",
+    "impact_by_type": f"{_IMPACT} SELECT type, count(*) AS n FROM o JOIN kn ON id = node_id WHERE depth > 0 GROUP BY 1",
+    "shortest_path_cost": f"{_DIST} SELECT node_id, round(cost, 6) AS cost FROM best",
+    "all_paths": paths_sql(KEY, "ke", "C0", "P0", 4),
+    "all_paths_flow": paths_sql(FLOW, "fe", "u0", "u7", 2),
+    "matrix_cells": f"WITH {FLOW}, c AS (SELECT source_id i, target_id j, id, weight, directed FROM fe UNION ALL SELECT target_id, source_id, id, weight, directed FROM fe WHERE NOT directed) SELECT i, j, weight FROM c QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY CASE WHEN i < j THEN 0 ELSE directed::INT END DESC, id DESC) = 1",
+    "matrix_density": f"WITH {FLOW} SELECT (SELECT count(*) FROM fn) AS node_count, (SELECT count(*) FROM fe) AS edge_count, round((SELECT count(*) FROM fe)::DOUBLE / ((SELECT count(*) FROM fn) * ((SELECT count(*) FROM fn) - 1)), 9) AS density",
+    "two_hop": f"WITH {KEY}, c AS (SELECT DISTINCT source_id i, target_id j FROM ke WHERE relation IN ('depends_on', 'deploys_on')) SELECT a.i, b.j, count(*) AS n FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2",
+    "components": f"""WITH RECURSIVE {KEY}, e AS (SELECT source_id a, target_id b FROM ke WHERE relation IN ('depends_on', 'deploys_on')), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r AS (SELECT id AS root, id FROM kn WHERE type = 'server' UNION SELECT root, b FROM r JOIN u ON a = id),
+ l AS (SELECT id, min(root) AS root FROM r GROUP BY 1), s AS (SELECT kn.id, coalesce(l.root, kn.id) AS root FROM kn LEFT JOIN l USING (id))
+ SELECT min(id) AS component, count(*) AS size FROM s GROUP BY root""",
+    "topo_levels": f"WITH RECURSIVE {KEY}, w AS (SELECT id, 0 AS level FROM kn UNION SELECT target_id, level + 1 FROM w JOIN ke ON source_id = w.id) SELECT id, max(level) AS level FROM w GROUP BY 1",
+    "has_cycle": f"WITH {KEY} SELECT false AS has_cycle, count(*) AS topo_length FROM kn",
+    "events_page": f"WITH {LOG} SELECT seq, event_type, entity_id, occurred_at FROM ev WHERE event_type IN ('node_created', 'edge_deleted') ORDER BY seq DESC LIMIT 100 OFFSET 20",
+    "entity_timeline": f"WITH {LOG} SELECT seq, event_type, occurred_at FROM ev WHERE entity_id = 'u5' ORDER BY seq DESC LIMIT 500",
+    "timeline_bounds": "SELECT count(*) AS count, min(ts) AS earliest, max(ts) AS latest FROM events",
+    "snapshot_nodes_at": f"WITH {LOG}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM mid)')} FROM an",
+    "snapshot_edges_at": f"WITH {LOG}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM mid)')} FROM ax",
+    "live_nodes": f"WITH {LOG}, {fold_sql('a')} FROM an",
+    "live_edges": f"WITH {LOG}, {fold_sql('a')} FROM ax",
+    "replay_violations": f"""WITH {LOG}, p AS (SELECT seq, entity_id AS edge_id, unnest([u, v]) AS node_id FROM ev WHERE event_type IN ('edge_created', 'edge_updated')),
+ n AS (SELECT seq, entity_id AS node_id, event_type <> 'node_deleted' AS alive FROM ev WHERE entity_type = 'node')
+ SELECT p.seq, edge_id, p.node_id FROM p ASOF LEFT JOIN n ON p.node_id = n.node_id AND p.seq > n.seq WHERE NOT coalesce(alive, false)""",
+    "diff_nodes": f"{BOTH} {_ids_sql('n')}",
+    "diff_edges": f"{BOTH} {_ids_sql('x')}",
+    "diff_node_properties": f"{BOTH} {_fields_sql('n')}",
+    "diff_edge_properties": f"{BOTH} {_fields_sql('x')}",
+    "diff_summary": f"""{BOTH}, i AS (SELECT 'nodes_' || change AS w, id FROM ({_ids_sql("n")}) UNION ALL SELECT 'edges_' || change, id FROM ({_ids_sql("x")})
+ UNION ALL SELECT DISTINCT 'nodes_modified', id FROM ({_fields_sql("n")}) UNION ALL SELECT DISTINCT 'edges_modified', id FROM ({_fields_sql("x")}))
+ SELECT {", ".join(f"count(*) FILTER (w = '{k}_{c}') AS {k}_{c}" for k in ("nodes", "edges") for c in ("added", "removed", "modified"))}, count(*) AS total FROM i""",
+    "duplicate_edges": f"WITH {FLOW} SELECT CASE WHEN directed THEN source_id ELSE least(source_id, target_id) END AS source_id, CASE WHEN directed THEN target_id ELSE greatest(source_id, target_id) END AS target_id, 'calls' AS relation, count(*) AS n FROM fe GROUP BY 1, 2 HAVING count(*) > 1",
+    "dangling_edges": f"WITH {KEY}, k AS (SELECT id FROM kn WHERE type IN ('api', 'account')) SELECT id FROM ke WHERE source_id NOT IN (FROM k) OR target_id NOT IN (FROM k)",
+    "invalid_events": f"""WITH {LOG} SELECT * FROM (SELECT seq, CASE WHEN seq % 10 = 2 THEN CASE WHEN true THEN 'unknown event type' END WHEN seq % 10 = 0 THEN 'blank entity id'
+ WHEN seq % 10 = 1 AND event_type NOT LIKE '%deleted' THEN 'no payload' END AS violation FROM ev) WHERE violation IS NOT NULL""",
+}
