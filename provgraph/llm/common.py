@@ -46,6 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage.
 
@@ -58,14 +61,20 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame, *keys: str) -> DataFrame:
-        """Write ``df`` (clustered by ``keys`` when given) and read it back."""
+    def save(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
         return self.spark.read.schema(df.schema).parquet(self.write(df))
 
     def write(self, df: DataFrame) -> str:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        # rows with long texts or sets: fewer a batch keep Python's share small
+        before = self.spark.conf.get(ARROW_ROWS)
+        self.spark.conf.set(ARROW_ROWS, min(2000, int(before)))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(ARROW_ROWS, before)
         return path
 
     def drop(self) -> None:

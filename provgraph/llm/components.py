@@ -18,17 +18,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     the edge table never grows, and hubs are met by sums and minima only. No
     node set comes to the driver: only the count of edges left.
     """
-    edges = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
-    labels = scratch.save(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("c", F.col("v")))
-    turn = 0
+    first = edges = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
+    moves: list[DataFrame] = []
     while not edges.isEmpty():
-        turn += 1
+        turn = len(moves)
         rank = lambda x, t=turn: F.struct(F.xxhash64(x, F.lit(t)).alias("h"), F.col(x).alias("v"))
         both = edges.select("a", "b").union(edges.select("b", "a"))
         lead = both.groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a")))["v"].alias("to"))
-        lead = scratch.save(lead.withColumnRenamed("a", "from"))
-        labels = labels.join(lead, labels["c"] == lead["from"], "left").select("v", F.coalesce("to", "c").alias("c"))
-        labels = scratch.save(labels)
-        moved = edges.join(lead.withColumnsRenamed({"from": "fa", "to": "ta"}), F.col("a") == F.col("fa")).join(lead.withColumnsRenamed({"from": "fb", "to": "tb"}), F.col("b") == F.col("fb"))
-        edges = scratch.save(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a != b").distinct())
-    return labels
+        lead = scratch.save(lead.select(F.col("a").alias("from"), "to").filter("from != to"))
+        moves.append(lead)
+        for end in ("a", "b"):
+            edges = edges.join(lead, F.col(end) == F.col("from"), "left").withColumn(end, F.coalesce("to", end)).select("a", "b")
+        edges = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
+    labels = first.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("c", F.col("v"))
+    for lead in moves:  # one plan for all rounds
+        labels = labels.join(lead, F.col("c") == F.col("from"), "left").select("v", F.coalesce("to", "c").alias("c"))
+    return scratch.save(labels)

@@ -20,12 +20,13 @@ scan, from the numbers of sets by size and the mean list length.
 Links are needed up to reachability, so the pairs of a list are not all made:
 a round compares each set with one leader of its lists; sets that have become
 one component are then one; what still meets across components after
-``rounds`` rounds is compared pair by pair. No link between components is
-lost, and a group of near copies costs its size, not its square.
+``rounds`` rounds is compared pair by pair, except pairs that two exact bounds
+rule out: shingles that no other set has, and parity bits in which the sets
+differ. No link between components is lost, and a group of near copies costs its size, not its square.
 
 Scale: texts are read in four passes and never shuffled. Sums per shingle are
 combined before the shuffle. What is broadcast is bounded by parameters: the
-``max_hot`` most frequent shingles, which only order the lists better, and two
+``max_hot`` most frequent shingles, which only order the lists better, and three
 bit maps of ``2**map_bits`` bits, which only spare rows (at worst they let all
 pass). Hot lists are split by Spark's skew join, as one side has a row a list.
 Sets are 64-bit hashes of shingles; classes are told apart by their size and
@@ -34,11 +35,13 @@ Sets are 64-bit hashes of shingles; classes are told apart by their size and
 Defined results: null and empty texts have n_shingles 0, link to nothing and
 are their own component; fewer than five words are one shingle; repeated rows
 of one doc_id are one document each and share the component if their text is
-equal; other columns of the input are not used.
+equal; a null doc_id has a null component; other columns of the input are not
+used.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -54,7 +57,7 @@ from provgraph.llm.components import connected_components
 from provgraph.llm.hashing import mix, slices, unique_by_row, windows, words_of
 
 SHINGLE, PERCENT = 5, 80
-MAX_HOT, HOT, MAP_BITS, ROUNDS = 1_000_000, 12, 24, 3
+MAX_HOT, HOT, MAP_BITS, ROUNDS = 2_000_000, 2, 24, 3
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +105,26 @@ def boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT, mo
     return gain
 
 
+#: Words of 64 parity bits that a set is summed up in.
+PARITIES = 16
+
+
+def parities(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """PARITIES numbers for each set: its shingles dealt to bits by hash, each
+    of which says whether it got an odd number. Two sets differ in at least as
+    many shingles as they do in these bits."""
+    n, width = len(bounds) - 1, 64 * PARITIES
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    bit = (mix(values ^ np.uint64(0xA5A5A5A5)) % np.uint64(width)).astype(np.int64)
+    odd = np.zeros((n, width), np.uint8)
+    for at in range(0, n, 4096):  # by parts, as the counts are wide
+        a, z = bounds[at], bounds[min(at + 4096, n)]
+        part = min(4096, n - at)
+        odd[at : at + part] = (np.bincount((row[a:z] - at) * width + bit[a:z], minlength=part * width) & 1).reshape(part, width)
+    words = np.packbits(odd, axis=1).view(np.int64)
+    return [np.ascontiguousarray(words[:, k]) for k in range(PARITIES)]
+
+
 class BitMap:
     """Which of 2**bits classes of numbers occur; bounded, may say too much."""
 
@@ -113,15 +136,24 @@ class BitMap:
         self.words[found.column("w").to_numpy()] = found.column("m").to_numpy()
 
 
-def _flat(n: int) -> T.StructType:
-    return T.StructType().add("token", "long").add("sid", "long").add("n", "integer")
+def _flat() -> T.StructType:
+    return T.StructType().add("token", "long").add("sid", "long").add("n", "integer").add("place", "integer")
 
 
-def _scan(docs: DataFrame, schema: T.StructType, each) -> DataFrame:
-    """each(doc ids, values, bounds, sids) -> arrays, over parts of batches."""
+def _numbers(ids: pa.Array) -> np.ndarray:
+    return np.asarray(ids.cast(pa.int64()))
+
+
+def _scan(docs: DataFrame, schema: T.StructType, each, only=None) -> DataFrame:
+    """each(doc ids, values, bounds, sids) -> arrays, over parts of batches.
+
+    only: a broadcast bit map of the doc_ids to look at.
+    """
 
     def run(batches):
         for whole in batches:
+            if only is not None:
+                whole = whole.filter(pa.array(_within(only.value, _numbers(whole.column(0)))))
             for batch in slices(whole, 1):
                 values, bounds = shingle_sets(batch.column(1))
                 for arrays in each(batch.column(0), values, bounds, set_ids(values, bounds)):
@@ -149,11 +181,12 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def frequent_shingles(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT, flush: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, float]:
+def frequent_shingles(docs: DataFrame, only, hot: int = HOT, max_hot: int = MAX_HOT, flush: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, float]:
     """(sorted 40-bit shingles, document counts, mean list length).
 
-    Every shingle of every document is counted; of those in ``hot`` documents
-    or more, the ``max_hot`` most frequent come back.
+    Every shingle of every class is counted (``only``: the doc_ids that stand
+    for one); of those in ``hot`` or more, the ``max_hot`` most frequent come
+    back.
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -168,8 +201,9 @@ def frequent_shingles(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT, f
 
         held, n = [], 0
         for whole in batches:
-            for batch in slices(whole, 0):
-                values, _ = shingle_sets(batch.column(0))
+            whole = whole.filter(pa.array(_within(only.value, _numbers(whole.column(0)))))
+            for batch in slices(whole, 1):
+                values, _ = shingle_sets(batch.column(1))
                 held.append(values >> np.uint64(24))
                 n += len(values)
                 if n >= flush:
@@ -185,16 +219,16 @@ def frequent_shingles(docs: DataFrame, hot: int = HOT, max_hot: int = MAX_HOT, f
         keep = n >= hot
         return pd.DataFrame({"token": [-1, *x[keep].astype(np.int64)], "n": [len(x), *n[keep]], "total": [int(n.sum()), *[0] * int(keep.sum())]})
 
-    blobs = docs.select("text").mapInArrow(spread, "part int, held binary")
+    blobs = docs.select("doc_id", "text").mapInArrow(spread, "part int, held binary")
     counted = Scratch(docs.sparkSession, "frequent").save(blobs.groupBy("part").applyInPandas(count, "token long, n long, total long"))
     total = counted.filter("token < 0").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     top = counted.filter("token >= 0").orderBy(F.desc("n"), "token").limit(max_hot).select("token", "n").toArrow()
     tokens, n = top.column("token").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(tokens)
-    return tokens[order], n[order], (total.total or 0) / (total.n or 1)
+    return tokens[order], np.minimum(n[order], 2**31 - 1).astype(np.int32), (total.total or 0) / (total.n or 1)
 
 
-def light_links(docs: DataFrame, most: int, percent: int = PERCENT) -> DataFrame:
+def light_links(docs: DataFrame, most: int, percent: int = PERCENT, only=None) -> DataFrame:
     """Links (a, b) that connect all light sets that link, by subsets."""
     schema = T.StructType().add("key", "long").add("sid", "long").add("small", "boolean")
 
@@ -216,14 +250,15 @@ def light_links(docs: DataFrame, most: int, percent: int = PERCENT) -> DataFrame
         if keys:
             yield np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(small)
 
-    rows = _scan(docs, schema, each).distinct()
+    rows = _scan(docs, schema, each, only).distinct()
     hubs = rows.groupBy("key").agg(F.min(F.when(F.col("small"), F.col("sid"))).alias("hub"), F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     hubs = hubs.filter("hub is not null and lo != hi").select(F.col("key").alias("k"), "hub")
     return rows.join(hubs, F.col("key") == F.col("k")).filter("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _prefixes(tokens, counts, least: int, percent: int):
-    """Arrays (token, sid, n) of the first shingles of sets over ``least``."""
+    """Arrays (token, sid, n, place) of the first shingles of sets over
+    ``least``."""
 
     def each(_, values, bounds, sids):
         n = np.diff(bounds)
@@ -231,7 +266,7 @@ def _prefixes(tokens, counts, least: int, percent: int):
         one = one[n[one] > least]
         if not len(one):
             return None
-        rank = np.zeros(len(values), np.int64)
+        rank = np.zeros(len(values), np.int32)
         if len(tokens):
             short = values >> np.uint64(24)
             at = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
@@ -243,7 +278,7 @@ def _prefixes(tokens, counts, least: int, percent: int):
         chosen[one] = True
         keep = chosen[row] & (place < prefix_size(n, percent)[row])
         row = row[keep]
-        return values[order][keep].view(np.int64), sids[row], n[row].astype(np.int32)
+        return values[order][keep].view(np.int64), sids[row], n[row].astype(np.int32), place[keep].astype(np.int32)
 
     return each
 
@@ -283,36 +318,54 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _prefix_column(n: str, percent: int):
+    return F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
+
+
 def _meet(postings: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each set with one leader of another component from its lists."""
-    rank = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    leads = postings.groupBy("token").agg(F.min(rank).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    leads = leads.filter("lo != hi").select(F.col("token").alias("t"), "lead.b", "lead.m", "lead.d")
-    met = postings.join(leads, F.col("token") == F.col("t")).filter("c != d").filter(_near("n", "m", percent))
+    """(a, b): each set with one leader of another component from its lists.
+
+    Leaders are drawn anew each turn from those sets of a list whose first
+    shingles are the most widely known: the originals of copies, rather than
+    copies with changes of their own.
+    """
+    lead = F.struct("sid", "n", "u", "c")
+    rank = F.struct((-F.col("known")).alias("k"), F.xxhash64("sid", F.lit(turn)).alias("h"), lead.alias("lead"))
+    leads = postings.groupBy("token").agg(F.min(rank)["lead"].alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    leads = leads.filter("lo != hi").select(F.col("token").alias("t"), F.col("lead.sid").alias("b"), F.col("lead.n").alias("m"), F.col("lead.u").alias("v"), F.col("lead.c").alias("d"))
+    met = postings.join(leads, (F.col("token") == F.col("t")) & (F.col("c") != F.col("d")) & _near(percent))
     often = met.groupBy("sid", "b").agg(F.count(F.lit(1)).alias("often"))
     return often.groupBy("sid").agg(F.max_by("b", F.struct("often", "b")).alias("b")).select(F.col("sid").alias("a"), "b")
 
 
-def _near(n: str, m: str, percent: int):
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m))
+def _near(percent: int):
+    """Whether sets of n and m shingles, u and v of them in no other set, may
+    link: they share at most min(n - u, m - v)."""
+    most = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("v"))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
 
 
 def _label(postings: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Postings with their set's component, of lists with several of them."""
     comps = connected_components(links, scratch).withColumnRenamed("v", "sid").withColumnRenamed("c", "to")
-    rows = postings.select("token", "sid", "n").join(comps, "sid", "left").select("token", "sid", "n", F.coalesce("to", "sid").alias("c"))
+    kept = ("token", "sid", "n", "u", "known")
+    rows = postings.select(*kept).join(comps, "sid", "left").select(*kept, F.coalesce("to", "sid").alias("c"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select(F.col("token").alias("t"))
     return scratch.save(rows.join(mixed, F.col("token") == F.col("t"), "left_semi"))
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT, max_hot: int = MAX_HOT, hot: int = HOT, map_bits: int = MAP_BITS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     own = scratch.save(classes(docs))
-    tokens, counts, mean_list = frequent_shingles(docs, hot, max_hot)
-    by_size = own.filter("n between 1 and 24").groupBy("n").agg(F.countDistinct("sid").alias("k"))
+    bits = lambda df, column: spark.sparkContext.broadcast(BitMap(df, column, map_bits).words)
+    known_docs = docs.filter("doc_id is not null")
+    stand = scratch.save(own.filter("doc_id is not null").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id")))
+    one = bits(stand, "doc_id")  # the first document of each class stands for it
+    tokens, counts, mean_list = frequent_shingles(known_docs, one, hot, max_hot)
+    by_size = stand.filter("n between 1 and 24").groupBy("n").agg(F.count("sid").alias("k"))
     light = boundary({r.n: r.k for r in by_size.collect()}, mean_list, percent)
     known = spark.sparkContext.broadcast((tokens, counts))
     least = percent * light // 100  # smaller sets cannot link to a heavy one
@@ -321,45 +374,56 @@ def join_components(docs: DataFrame, percent: int = PERCENT, max_hot: int = MAX_
         found = _prefixes(*known.value, least, percent)(ids, values, bounds, sids)
         return [] if found is None else [found]
 
-    shared = _scan(docs, _flat(3), index).groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi")
+    shared = _scan(known_docs, _flat(), index, one).groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi")
     shared = scratch.save(shared.select("token"))
-    worth = spark.sparkContext.broadcast(BitMap(shared, "token", map_bits).words)
+    worth = bits(shared, "token")
 
     def listed(ids, values, bounds, sids):
-        for token, sid, n in index(ids, values, bounds, sids):
-            keep = _within(worth.value, token)
-            yield token[keep], sid[keep], n[keep]
+        for arrays in index(ids, values, bounds, sids):
+            keep = _within(worth.value, arrays[0])
+            yield [a[keep] for a in arrays]
 
-    postings = _scan(docs, _flat(3), listed).join(shared.withColumnRenamed("token", "t"), F.col("token") == F.col("t"), "left_semi")
+    postings = _scan(known_docs, _flat(), listed, one).join(shared.withColumnRenamed("token", "t"), F.col("token") == F.col("t"), "left_semi")
     postings = scratch.save(postings.distinct())
-    # one document stands for each class; its whole set is kept for comparison
+    # a set's shingles before its first listed one are in no other set
+    alone = postings.groupBy("sid").agg(F.min("place").alias("u"), F.floor(10 * F.count("place") / F.max(_prefix_column("n", percent))).cast("int").alias("known"))
+    postings = scratch.save(postings.drop("place").join(alone.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s")).drop("s"))
+    # whole sets are kept for those classes alone that meet another
     met = postings.select("sid").distinct().withColumnRenamed("sid", "s")
-    stand = own.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(met, F.col("sid") == F.col("s"), "left_semi")
-    chosen = spark.sparkContext.broadcast(BitMap(stand.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", map_bits).words)
+    chosen = bits(stand.join(met, F.col("sid") == F.col("s"), "left_semi"), "doc_id")
 
     def held(ids, values, bounds, sids):
-        keep = np.flatnonzero(_within(chosen.value, np.asarray(ids.cast(pa.int64()).fill_null(0))))
-        if len(keep):
-            yield sids[keep], pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())
+        yield sids, pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(sids))], pa.binary()), *parities(values, bounds)
 
-    sets = _scan(docs, T.StructType().add("sid", "long").add("held", "binary"), held)
-    sets = scratch.save(sets.dropDuplicates(["sid"]))
-    links = scratch.save(light_links(docs, light, percent))
+    kind = T.StructType().add("sid", "long").add("held", "binary")
+    for k in range(PARITIES):
+        kind = kind.add(f"p{k}", "long")
+    sets = scratch.save(_scan(known_docs, kind, held, chosen).dropDuplicates(["sid"]))
+    links = scratch.save(light_links(known_docs, light, percent, one))
     postings = _label(postings, links, scratch)
     for turn in range(rounds):
         if postings.isEmpty():
             break
         fresh = scratch.save(verify(_meet(postings, turn, percent), sets, percent))
-        links = links.union(fresh)
-        postings = _label(postings, links, scratch)
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            postings = _label(postings, links, scratch)
     # what still meets across components, pair by pair
-    other = postings.withColumnsRenamed({"token": "t", "sid": "b", "n": "m", "c": "d"})
-    pairs = postings.join(other, F.col("token") == F.col("t")).filter("c != d and sid < b").filter(_near("n", "m", percent))
+    names = [f"p{k}" for k in range(PARITIES)]
+    postings = scratch.save(postings.drop("known").join(sets.select(F.col("sid").alias("s"), *names), F.col("sid") == F.col("s")).drop("s"))
+    other = postings.withColumnsRenamed({"token": "t", "sid": "b", "n": "m", "u": "v", "c": "d"} | {p: "q" + p for p in names})
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(p).bitwiseXOR(F.col("q" + p))) for p in names])
+    # sets that link differ in at most n + m less twice their least overlap
+    alike = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))
+    pairs = postings.join(other, (F.col("token") == F.col("t")) & (F.col("c") != F.col("d")) & (F.col("sid") < F.col("b")) & _near(percent) & alike)
     links = links.union(scratch.save(verify(pairs.select(F.col("sid").alias("a"), "b").distinct(), sets, percent)))
     comps = connected_components(links, scratch)
-    rows = own.join(comps, F.col("sid") == F.col("v"), "left").select("doc_id", "n", F.coalesce("c", "sid").alias("c"))
-    first = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "k")
-    rows = rows.join(first, (F.col("c") == F.col("k")) & (F.col("n") > 0), "left")
+    # classes first: copies meet their class's row, hot or not, by a join
+    named = stand.join(comps, F.col("sid") == F.col("v"), "left").select("sid", "n", "doc_id", F.coalesce("c", "sid").alias("c"))
+    first = named.groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "k")
+    named = named.join(first, F.col("c") == F.col("k")).select(F.col("sid").alias("s"), F.col("n").alias("m"), "component_id")
+    named = scratch.save(named.filter("m > 0"))
+    rows = own.join(named, (F.col("sid") == F.col("s")) & (F.col("n") == F.col("m")) & F.col("doc_id").isNotNull(), "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
