@@ -98,6 +98,7 @@ _ALIKE = str.maketrans(
     "авеѕіјорсухкмнтгԁɡАВЕЅІЈОРСУХКМНТαοερικνυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ‐‑‒–—−․。٫",
     "abesijopcyxkmhtrdgABESIJOPCYXKMHTaoepikvuxABEZHIKMNOPTYX------...",
 ) | {0xFF01 + i: 0x21 + i for i in range(94)} | {zero + i: 48 + i for zero in (0x660, 0x6F0, 0x966) for i in range(10)} | {0xA0: 32, 0x2007: 32, 0x202F: 32, 0x3000: 32}
+_ENDINGS = frozenset("com org net edu gov mil int info biz io ai app dev co me tv de fr es uk eu us ca au ch at it nl be pl se pt mx ar br in jp cn".split())
 _HIDDEN = frozenset("­​‌‍⁠﻿")
 _ODD = re.compile("[" + "".join(map(chr, _ALIKE)) + "".join(_HIDDEN) + "]")
 _NUMBERS = (
@@ -175,6 +176,11 @@ def deobfuscate(text: str) -> Rewritten | None:
     return out if changed else None
 
 
+def _plausible(source: str) -> bool:
+    """Whether a disguised address is one: words alone need a known ending."""
+    return not source.isascii() or any(c in source for c in "@[({<") or source.split()[-1].rpartition(".")[2].lower() in _ENDINGS
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) by start, then kind as listed; code points."""
     if not text:
@@ -184,7 +190,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     if out := deobfuscate(text):
         for kind, spans in detect_plain(out.text).items():
             for s, e in map(out.source, spans):
-                if all(e <= bs or s >= be for bs, be in base[kind]) and (kind != "email" or re.search(r"[A-Za-z]$", text[s:e]) or text[s:e].isascii() is False):
+                if all(e <= bs or s >= be for bs, be in base[kind]) and (kind != "email" or _plausible(text[s:e])):
                     found.append((kind, s, e, False))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
