@@ -7,9 +7,11 @@ document's score is the mean, over its unigrams and bigrams, of
 threshold and the base rules hold.
 
 Scale: one pass counts, with map-side sums over ``2**bits`` keys, so the
-shuffle is at most 2**bits rows a task; one pass scores, without a shuffle.
-The weights (2**bits doubles) and the trusted ids (at most ``max_trusted``)
-are the only things sent to executors, both bounded by parameters.
+shuffle is at most 2**bits rows a task; the documents with an id meet all
+trusted ids in an equi-join, which shuffles their texts once (a sort-merge
+join at any size, so that small runs tell what large ones need); one pass
+scores, without a shuffle. The weights (2**bits doubles) are the only thing
+the driver sends to executors.
 
 Defined results: null text counts as empty and fails the base rules; with no
 trusted document, or no n-gram in the corpus, every weight is 0, so that the
@@ -28,7 +30,7 @@ from provgraph.llm.common import SPACE, text_of, words
 
 #: Runs of letters and digits, or of other visible characters.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
-BITS, MAX_TRUSTED, THRESHOLD = 14, 20_000, -0.25
+BITS, THRESHOLD = 14, -0.25
 PREFIX = "__rules_"
 
 
@@ -47,23 +49,23 @@ def _bucket(bits: int, *hashes: Column) -> Column:
     return F.shiftrightunsigned(hashes[0] if len(hashes) == 1 else F.xxhash64(*hashes), 64 - bits).cast("int")
 
 
-def trusted_ids(docs_or_labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``max_trusted`` ids of trusted rows, those of least hash."""
-    ids = docs_or_labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(PREFIX + "id")).distinct()
-    return ids.orderBy(F.xxhash64(PREFIX + "id"), PREFIX + "id").limit(max_trusted)
+def trusted_ids(docs_or_labels: DataFrame) -> DataFrame:
+    """The distinct ids of trusted rows."""
+    return docs_or_labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(PREFIX + "id")).distinct()
 
 
-def ngram_weights(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_trusted: int = MAX_TRUSTED, smoothing: float = 1.0) -> list[float]:
+def ngram_weights(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothing: float = 1.0) -> list[float]:
     """log p_target - log p_raw of each bucket, from all documents."""
     n_buckets = 1 << bits
-    ids = F.broadcast(trusted_ids(labels, max_trusted))  # at most max_trusted numbers
-    rows = docs.select(docs["doc_id"].alias(PREFIX + "id"), token_hashes(text_of(docs)).alias("hashes"))
-    rows = rows.join(ids.withColumn("trusted", F.lit(1)), PREFIX + "id", "left")
+    texts = docs.select(docs["doc_id"].alias(PREFIX + "id"), text_of(docs).alias("text"))
+    trusted = texts.filter(F.col(PREFIX + "id").isNotNull()).join(trusted_ids(labels).hint("merge"), PREFIX + "id", "left_semi")
+    rows = texts.select(F.lit(None).cast("int").alias("trusted"), "text").union(trusted.select(F.lit(1), "text"))
+    rows = rows.select("trusted", token_hashes(F.col("text")).alias("hashes"))
     # each token with its successor; the last one's is null
     grams = rows.select("trusted", F.inline(F.arrays_zip(F.col("hashes").alias("a"), F.slice("hashes", 2, 2**31 - 1).alias("b"))).alias("a", "b"))
     both = F.array(_bucket(bits, F.col("a")), F.when(F.col("b").isNotNull(), _bucket(bits, F.col("a"), F.col("b"))))
     grams = grams.select("trusted", F.explode(both).alias("bucket")).filter("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
+    counts = grams.groupBy("bucket").agg(F.count(F.when(F.col("trusted").isNull(), 1)).alias("raw"), F.count("trusted").alias("target"))
     found = counts.collect()  # 2**bits rows at most
     raw_total, target_total = sum(c.raw for c in found), sum(c.target for c in found)
     weights = [0.0] * n_buckets

@@ -140,6 +140,21 @@ def test_rules(spark, docs, empty):
     assert four.quality_rules(docs, weights).count() == len(ROWS) and four.quality_rules(empty, weights).isEmpty()
 
 
+def test_rules_count_every_trusted_document(spark):
+    # with every document trusted the two multinomials are the same
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    labels = many.select("doc_id", F.lit(1).alias("quality"))
+    assert not any(four.ngram_weights(many, labels, bits=10))
+    # a label that repeats counts its document once; rows without an id are raw text
+    odd = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, "x"), (None, None)], "doc_id long, text string")
+    twice = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, 0)], "doc_id long, quality int")
+    got = four.ngram_weights(odd, twice, bits=4)
+    of = {t: spark.range(1).select(four._bucket(4, F.xxhash64(F.lit(t))).alias("b")).first().b for t in "xy"}
+    assert of["x"] != of["y"]
+    for t, raw, target in (("x", 3, 2), ("y", 1, 0)):
+        assert abs(got[of[t]] - (np.log((target + 1) / (2 + 16)) - np.log((raw + 1) / (4 + 16)))) < 1e-12
+
+
 def components_by_force(rows):
     sets = {}
     for d, t in rows:
