@@ -6,21 +6,25 @@ is hashed (words without case, white space aside) and joined over all
 documents; one with fewer than ``min_words`` words is lengthened forwards, and
 also backwards, until it has them, so that chance repeats of tiny sentences do
 not count while both ends of a passage do. Two sentences with ``pair_words``
-words, or one with ``long_words``, are runs as well. The first occurrence of a
-run, by doc_id and place, stays; the sentences of every later one are removed.
+words, or one with ``long_words``, are runs as well. A document is its doc_id
+and its whole text, the latter as a hash of 128 bits. The first occurrence of
+a run, by doc_id, text hash and place, stays; the sentences of every later one
+are removed.
 
-Scale: the runs (8 bytes of hash, a doc_id and two places each) are written
-once to the shared folder. A map-side aggregate finds the hashes that occur
+Scale: the runs (8 bytes of hash, the document and two places each) are
+written once to the shared folder. A map-side aggregate finds the hashes that occur
 again and where first; an equi-join of the runs with those few hashes gives
 the later occurrences, and Spark splits a hash that a third of all documents
 share, as it is unique on the other side. Only sums and minima are taken per
 hash, never a list of its places. The places to remove meet their document
-over its doc_id.
+over its doc_id and text hash; their list is a set, so that it is bounded by
+the text's own length however often the row or its doc_id repeats.
 
 Defined results: null and empty texts have no sentence and stay as they are;
-a text shorter than a run has none; rows of equal doc_id and place count as
-one occurrence, so that exact repeats of a row stay or lose text alike; ties
-of doc_id are thereby none. Other columns are kept; clashing ``n_sentences``
+a text shorter than a run has none; rows of equal doc_id and text count as
+one document, so that exact repeats of a row stay or lose text alike, while
+different texts of one doc_id, or of none, are documents of their own. Other
+columns are kept; clashing ``n_sentences``
 and ``n_removed`` are replaced.
 """
 
@@ -36,6 +40,8 @@ from provgraph.llm.common import Scratch, table
 from provgraph.llm.hashing import fold_runs, hash_spans, slices, utf8, word_bounds
 
 N_SENTENCES, MIN_WORDS, PAIR_WORDS, LONG_WORDS = 3, 15, 40, 50
+#: What tells documents apart.
+KEY = ["doc_id", "__text_a", "__text_b"]
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -75,29 +81,36 @@ def runs(data: np.ndarray, offsets: np.ndarray, n_sentences: int, min_words: int
     return row[from_], from_ - bounds[row[from_]], to - from_ + 1, hashes
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the two halves of its text's hash."""
+    return docs.withColumns({KEY[1]: F.xxhash64("text"), KEY[2]: F.xxhash64(F.lit(2), F.col("text"))})
+
+
 def span_table(docs: DataFrame, n_sentences: int = N_SENTENCES, min_words: int = MIN_WORDS, pair_words: int = PAIR_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc_id, place, n, hash) of every run of every document."""
+    """(*KEY, place, n, hash) of every run of every document."""
+    docs = keyed(docs).select(*KEY, "text")
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 1):
-                data, offsets = utf8(batch.column(1))
+            for batch in slices(whole, len(KEY)):
+                data, offsets = utf8(batch.column(len(KEY)))
                 row, place, n, hashes = runs(data, offsets, n_sentences, min_words, pair_words, long_words)
+                of = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(hashes.view(np.int64))],
-                    names=["doc_id", "place", "n", "hash"],
+                    [*(batch.column(i).take(of) for i in range(len(KEY))), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(hashes.view(np.int64))],
+                    names=[*KEY, "place", "n", "hash"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]).add("place", "integer").add("n", "integer").add("hash", "long"))
+    return docs.mapInArrow(run, T.StructType([T.StructField(c, docs.schema[c].dataType) for c in KEY]).add("place", "integer").add("n", "integer").add("hash", "long"))
 
 
 def later_spans(spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, place, n) of the occurrences that are not a hash's first."""
-    at = F.struct("doc_id", "place")
+    """(*KEY, place, n) of the occurrences that are not a hash's first."""
+    at = F.struct(*KEY, "place")
     ends = spans.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     again = ends.filter("first != last").select(F.col("hash").alias("h"), "first")
     again = scratch.save(again)  # a table of its own, so that a hot hash can be split
-    return spans.join(again, F.col("hash") == F.col("h")).filter(at != F.col("first")).select("doc_id", "place", "n")
+    return spans.join(again, F.col("hash") == F.col("h")).filter(~at.eqNullSafe(F.col("first"))).select(*KEY, "place", "n")
 
 
 def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
@@ -106,9 +119,12 @@ def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:
     docs = docs.select(*kept)
     scratch = Scratch(docs.sparkSession, "spans")
     spans = scratch.save(span_table(docs, **sizes))
-    places = later_spans(spans, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("places"))
-    places = places.withColumnRenamed("doc_id", "d")
-    rows = docs.join(places, F.col("doc_id").eqNullSafe(F.col("d")), "left").select(*kept, F.col("places").alias("__places"))
+    places = later_spans(spans, scratch).groupBy(*KEY).agg(F.collect_set(F.struct("place", "n")).alias("places"))
+    places = places.select(*(F.col(c).alias(f"__of_{c}") for c in KEY), F.col("places").alias("__places"))
+    same = F.col("doc_id").eqNullSafe(F.col("__of_doc_id"))
+    for c in KEY[1:]:
+        same &= F.col(c) == F.col(f"__of_{c}")
+    rows = keyed(docs).join(places, same, "left").select(*kept, "__places")
     at, removed = kept.index("text"), len(kept)
 
     def run(batches):

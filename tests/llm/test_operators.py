@@ -300,6 +300,24 @@ def test_spans(spark, docs, empty):
     assert ten.remove_repeats(docs).count() == len(ROWS) and ten.remove_repeats(empty).isEmpty()
 
 
+def test_spans_of_null_and_repeated_ids(spark):
+    passage, other = prose(70), prose(60)
+    rows = [(None, prose(40) + "\n" + passage), (None, prose(40) + "\n" + passage), (None, passage + "\n" + prose(90)), (None, prose(30)), (None, prose(18) + "\n" + passage)]
+    rows += [(7, other + "\n" + prose(200)), (7, prose(120) + "\n" + other), (7, prose(9)), (7, other), (8, other + "\n" + passage), (None, rows[1][1]), (7, other), (9, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {(r[0], r[3]): (r[0] is not None, r[0] or 0, r[1], r[2]) for r in ten.keyed(frame).select(*ten.KEY, "text").collect()}
+    want = spans_by_force([(key[r], r[1]) for r in rows])
+    got = ten.remove_repeats(frame).collect()
+    assert sum(n > 0 for _, n in want.values()) > 4 and len(got) == len(rows)
+    # what is left is told from its text: removals keep the order of the words
+    left = collections.Counter((r.doc_id, r.n_sentences, r.n_removed) for r in got)
+    assert left == collections.Counter((d, *want[key[d, t]]) for d, t in rows)
+    assert sum(passage.split()[5:30] == split(r.text)[i : i + 25] for r in got for i in range(len(split(r.text)))) == sum(passage in t and want[key[d, t]][1] == 0 for d, t in rows if t)
+    # places of one text are bounded by it, however often its row repeats
+    spans = Scratch(spark, "t").save(ten.span_table(spark.createDataFrame([(1, other), *[(None, other)] * 20], "doc_id long, text string")))
+    assert spans.groupBy(*ten.KEY).count().count() == 2
+
+
 def test_scratch_is_shared(spark):
     scratch = Scratch(spark, "t")
     df = scratch.save(spark.range(3))
