@@ -225,6 +225,28 @@ def test_urls(spark):
     assert seven.judge_urls(spark.createDataFrame([], "page_id long, url string, html string"), rounds=1).isEmpty()
 
 
+def test_urls_of_far_and_faint_hosts(spark):
+    link = lambda to: f'<a href="https://{to}/x">x</a>'
+    chain = ["bad.com", *(f"far{i}.net" for i in range(14))]
+    pages = [(0, "http://bad.com/de/x", None), *((i, f"http://{b}/", link(a)) for i, (a, b) in enumerate(zip(chain, chain[1:]), 1))]
+    # a thousand hosts link to the blocked one, as many to one of those, and so on
+    top = "bad.com"
+    for level in "abcd":
+        pages += [(1000, f"http://{level}{i}.net/", link(top)) for i in range(1000)]
+        top = f"{level}0.net"
+    # a ring of hosts that nobody blocks, and one that links into it
+    pages += [(2000, "http://r0.net/", link("r1.net")), (2000, "http://r1.net/", link("r0.net")), (2000, "http://r2.net/", link("r0.net"))]
+    got = seven.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.host for r in got if r.verdict == "allow"} == {"r0.net", "r1.net", "r2.net"}
+    assert 0 < min(r.distrust for r in got if r.host.startswith("d")) < 1e-10
+
+
+def test_urls_run_until_ranks_are_final(spark):
+    edges = spark.createDataFrame([("t", "a", "b", 1), ("t", "b", "a", 1)], "kind string, src string, dst string, n long")
+    got = {r.host: r["rank"] for r in seven.propagate(edges, spark.createDataFrame([("t", "a")], "kind string, host string"), Scratch(spark, "t"), damping=0.5).collect()}
+    assert abs(got["a"] - 2 / 3) < 1e-5 and abs(got["b"] - 1 / 3) < 1e-5
+
+
 def test_ledger(spark, tmp_path, docs):
     ledger = eight.TokenLedger(spark, tmp_path.as_uri())
     batch = lambda rows: spark.createDataFrame(rows, eight.CHANGES)
