@@ -286,6 +286,23 @@ def test_decontamination(spark, docs, empty):
     assert nine.lcs([1, 2, 3, 4], [9, 1, 3, 2, 4]) == 3
 
 
+def test_decontamination_finds_long_items(spark):
+    few = lambda n: " ".join(f"v{RNG.randrange(9000)}" for _ in range(n))
+    items = [(i, few(n)) for i, n in enumerate((60, 100, 150, 200, 300, 400, 500, 600))]
+    rows = [(i, few(400)) for i in range(300)]
+    for i, t in items:
+        rows.append((1000 + i, few(70) + " " + t + " " + few(90)))
+        rows.append((2000 + i, few(31) + " " + " ".join(w if RNG.random() < 0.85 else "other" for w in t.split()) + " " + few(50)))
+        rows.append((3000 + i, few(50) + " " + " ".join(t.split()[: len(t.split()) // 3])))
+    want = set()
+    for d, t in rows:
+        for i, x in items:
+            share = nine.lcs(x.split(), t.split()) / len(x.split())
+            want |= {(d, i)} if share >= nine.VERBATIM else set()
+    got = {(r.doc_id, r.item_id) for r in nine.find_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 12 and want <= got and not any(d < 1000 or d >= 3000 for d, _ in got)
+
+
 def spans_by_force(rows):
     """What is left of each text, for texts of plain lines as sentences."""
     cut = {d: [s for s in re.split(r"(?<=[.!?])\s+|\n", t or "") if split(s)] for d, t in rows}
