@@ -4,44 +4,52 @@ A document is the set of its distinct five-word shingles; two documents link
 when their sets' Jaccard similarity is at least ``percent`` / 100. The result
 gives each document the smallest doc_id that links reach.
 
-Equal sets are one class from the start. Then, by set size:
+Equal sets are one class from the start, told apart by 128 bits of hash and
+their size. A class of which fewer than ``percent`` % of the shingles stand in
+another class as well can link to nothing and is done. Of the others, by size:
 
 * light sets (at most the boundary): all subsets of the fixed size that a
-  pair of given sizes has to share are enumerated. Two sets with a subset in
-  common link, by arithmetic, without a further check;
+  pair of given sizes has to share are enumerated, each as a hash of 128 bits.
+  Two sets with a subset in common link, by arithmetic, without a further
+  check;
 * heavy sets: inverted lists over the rarest shingles of each set. Two sets
   that link share a shingle among their n - ceil(n * percent / 100) + 1 first
   in any one order of all shingles; here frequent ones come last. Sets that
   meet in a list are compared in full.
 
 The boundary is the size at which enumeration starts to cost more than the
-scan, from the numbers of sets by size and the mean list length.
+scan, from the numbers of sets by size and the mean list length; it is at most
+``MAX_LIGHT``, as the number of subsets multiplies with the size, and a larger
+set is found by the lists whatever the boundary.
 
 Links are needed up to reachability, so the pairs of a list are not all made:
 a round compares each set with one leader of its lists; sets that have become
 one component are then one; what still meets across components after
 ``rounds`` rounds is compared pair by pair, except pairs that two exact bounds
 rule out: shingles that no other set has, and parity bits in which the sets
-differ. No link between components is lost, and a group of near copies costs its size, not its square.
-
-Scale: texts are read in four passes and never shuffled. Sums per shingle are
-combined before the shuffle. What is broadcast is bounded by parameters: the
-``max_hot`` most frequent shingles, which only order the lists better, and three
-bit maps of ``2**map_bits`` bits, which only spare rows (at worst they let all
-pass). Hot lists are split by Spark's skew join, as one side has a row a list.
-Sets are 64-bit hashes of shingles; classes are told apart by their size and
-64 bits more.
+differ. No link between components is lost, and a group of near copies costs
+its size, not its square. Only a group whose sets nearly link, and none of
+which does, costs a bit comparison (no row) for each pair of a list.
+
+Scale: texts are read in three passes and never shuffled. What is broadcast is
+bounded by parameters: a bit for each of ``2**map_bits`` classes of document
+numbers, and of shingles that occur in several classes (both only spare work;
+full ones would let all pass), and a byte for each of ``2**rank_bits`` classes
+of shingles, which orders the lists. The counts behind them are of every
+shingle of every class; a task combines its own first, and the number of
+ranges that they are dealt to follows their number, so that a range stays
+small. Hot lists are split by Spark's skew join. Nothing else comes to the
+driver but a few counts.
 
 Defined results: null and empty texts have n_shingles 0, link to nothing and
 are their own component; fewer than five words are one shingle; repeated rows
 of one doc_id are one document each and share the component if their text is
-equal; a null doc_id has a null component; other columns of the input are not
-used.
+equal; a null doc_id has a null component; an empty table gives no row; other
+columns of the input are not used.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -57,7 +65,11 @@ from provgraph.llm.components import connected_components
 from provgraph.llm.hashing import mix, slices, unique_by_row, windows, words_of
 
 SHINGLE, PERCENT = 5, 80
-MAX_HOT, HOT, MAP_BITS, ROUNDS = 2_000_000, 2, 24, 3
+MAP_BITS, RANK_BITS, ROUNDS, MAX_LIGHT = 26, 23, 3, 24
+#: Shingles are counted by their first so many bits, in ranges of about so many.
+TOKEN_BITS, RANGE = 40, 4_000_000
+#: Words of 64 parity bits that a set is summed up in.
+PARITIES = 16
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +78,21 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     return unique_by_row(*windows(hashes, bounds, size))
 
 
-def set_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One number for each set, the same for equal sets."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(0x51ED270B)), dtype=np.uint64)))
+def _wide(first: np.ndarray, second: np.ndarray) -> pa.Array:
+    """128-bit numbers as binaries of 16 bytes."""
+    held = np.column_stack((first, second)).astype(">u8").tobytes()
+    offsets = np.arange(len(first) + 1, dtype=np.int32) * 16
+    return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(held)])
+
+
+def set_ids(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, the same for equal sets."""
     n = np.diff(bounds).astype(np.uint64)
-    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    both = []
+    for seed in (0x51ED270B, 0xB492B66FBE98F273):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(seed)), dtype=np.uint64)))
+        both.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)))
+    return both[0], both[1]
 
 
 def least_overlap(n, m, percent: int = PERCENT):
@@ -91,7 +113,7 @@ def prefix_size(n, percent: int = PERCENT):
     return n + (-percent * n // 100) + 1
 
 
-def boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT, most: int = 24) -> int:
+def boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT, most: int = MAX_LIGHT) -> int:
     """The largest light size: below it enumeration costs less in total.
 
     A subset costs one row. A scanned shingle costs about four (counted,
@@ -105,11 +127,7 @@ def boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT, mo
     return gain
 
 
-#: Words of 64 parity bits that a set is summed up in.
-PARITIES = 16
-
-
-def parities(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """PARITIES numbers for each set: its shingles dealt to bits by hash, each
     of which says whether it got an odd number. Two sets differ in at least as
     many shingles as they do in these bits."""
@@ -121,8 +139,7 @@ def parities(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         a, z = bounds[at], bounds[min(at + 4096, n)]
         part = min(4096, n - at)
         odd[at : at + part] = (np.bincount((row[a:z] - at) * width + bit[a:z], minlength=part * width) & 1).reshape(part, width)
-    words = np.packbits(odd, axis=1).view(np.int64)
-    return [np.ascontiguousarray(words[:, k]) for k in range(PARITIES)]
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 class BitMap:
@@ -136,36 +153,37 @@ class BitMap:
         self.words[found.column("w").to_numpy()] = found.column("m").to_numpy()
 
 
-def _flat() -> T.StructType:
-    return T.StructType().add("token", "long").add("sid", "long").add("n", "integer").add("place", "integer")
-
-
 def _numbers(ids: pa.Array) -> np.ndarray:
     return np.asarray(ids.cast(pa.int64()))
 
 
-def _scan(docs: DataFrame, schema: T.StructType, each, only=None) -> DataFrame:
-    """each(doc ids, values, bounds, sids) -> arrays, over parts of batches.
+def _xxhash(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 (seed 42) of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    rot = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+    h = np.uint64(42) + p5 + np.uint64(8)
+    h = h ^ (rot(x.view(np.uint64) * p2, 31) * p1)
+    h = rot(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
 
-    only: a broadcast bit map of the doc_ids to look at.
-    """
+
+def _within(words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    slot = _xxhash(numbers) >> np.uint64(64 - (len(words).bit_length() - 1 + 6))
+    return (words[(slot >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, sid) of every document."""
 
     def run(batches):
         for whole in batches:
-            if only is not None:
-                whole = whole.filter(pa.array(_within(only.value, _numbers(whole.column(0)))))
             for batch in slices(whole, 1):
                 values, bounds = shingle_sets(batch.column(1))
-                for arrays in each(batch.column(0), values, bounds, set_ids(values, bounds)):
-                    yield pa.RecordBatch.from_arrays([pa.array(a) if isinstance(a, np.ndarray) else a for a in arrays], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds).astype(np.int32)), _wide(*set_ids(values, bounds))], names=["doc_id", "n", "sid"])
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sid) of every document."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]).add("n", "integer").add("sid", "long")
-    return _scan(docs, schema, lambda ids, values, bounds, sids: [(ids, np.diff(bounds).astype(np.int32), sids)])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sid binary")
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -181,30 +199,50 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def frequent_shingles(docs: DataFrame, only, hot: int = HOT, max_hot: int = MAX_HOT, flush: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sorted 40-bit shingles, document counts, mean list length).
+class Known:
+    """What is known of shingles by their first bits: which stand in several
+    classes (perhaps more than do), and how frequent they are."""
+
+    def __init__(self, shared: np.ndarray, ranks: np.ndarray):
+        self.shared, self.ranks = shared, ranks
 
-    Every shingle of every class is counted (``only``: the doc_ids that stand
-    for one); of those in ``hot`` or more, the ``max_hot`` most frequent come
-    back.
+    def is_shared(self, values: np.ndarray) -> np.ndarray:
+        at = values >> np.uint64(64 - (len(self.shared).bit_length() - 1 + 3))
+        return (self.shared[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def rank(self, values: np.ndarray) -> np.ndarray:
+        return self.ranks[(values >> np.uint64(64 - (len(self.ranks).bit_length() - 1))).astype(np.int64)]
+
+
+def count_shingles(docs: DataFrame, only, total: int, map_bits: int = MAP_BITS, rank_bits: int = RANK_BITS, flush: int = 1 << 21) -> tuple[Known, float]:
+    """(Known, mean list length) from every shingle of every class.
+
+    only: a bit map of the doc_ids that stand for a class; total: about how
+    many shingles there are.
     """
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = docs.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    range_bits = min((least - 1).bit_length(), rank_bits, map_bits - 3)
+    low = np.uint64(TOKEN_BITS - range_bits)
 
     def spread(batches):
         def put(held):
-            x = np.sort(np.concatenate(held))
-            part = (x * np.uint64(parts)) >> np.uint64(40)
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            for p in range(parts):
-                if cut[p] < cut[p + 1]:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_pack(x[cut[p] : cut[p + 1]])], pa.binary())], names=["part", "held"])
+            x, n = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.searchsorted(x >> low, np.arange((1 << range_bits) + 1, dtype=np.uint64))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                own, of = x[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]
+                often = np.flatnonzero(of > 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p], pa.int32()), pa.array([_pack(own)], pa.binary()), pa.array([often.tobytes()], pa.binary()), pa.array([of[often].astype(np.int64).tobytes()], pa.binary())],
+                    names=["part", "held", "places", "counts"],
+                )
 
         held, n = [], 0
         for whole in batches:
             whole = whole.filter(pa.array(_within(only.value, _numbers(whole.column(0)))))
             for batch in slices(whole, 1):
                 values, _ = shingle_sets(batch.column(1))
-                held.append(values >> np.uint64(24))
+                held.append(values >> np.uint64(64 - TOKEN_BITS))
                 n += len(values)
                 if n >= flush:
                     yield from put(held)
@@ -215,95 +253,123 @@ def frequent_shingles(docs: DataFrame, only, hot: int = HOT, max_hot: int = MAX_
     def count(rows):
         import pandas as pd
 
-        x, n = np.unique(np.concatenate([_unpack(b) for b in rows["held"]]), return_counts=True)
-        keep = n >= hot
-        return pd.DataFrame({"token": [-1, *x[keep].astype(np.int64)], "n": [len(x), *n[keep]], "total": [int(n.sum()), *[0] * int(keep.sum())]})
-
-    blobs = docs.select("doc_id", "text").mapInArrow(spread, "part int, held binary")
-    counted = Scratch(docs.sparkSession, "frequent").save(blobs.groupBy("part").applyInPandas(count, "token long, n long, total long"))
-    total = counted.filter("token < 0").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-    top = counted.filter("token >= 0").orderBy(F.desc("n"), "token").limit(max_hot).select("token", "n").toArrow()
-    tokens, n = top.column("token").to_numpy().astype(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], np.minimum(n[order], 2**31 - 1).astype(np.int32), (total.total or 0) / (total.n or 1)
-
+        xs, ns = [], []
+        for held, places, counts in zip(rows["held"], rows["places"], rows["counts"]):
+            xs.append(_unpack(held))
+            ns.append(np.ones(len(xs[-1]), np.int64))
+            ns[-1][np.frombuffer(places, np.int32)] = np.frombuffer(counts, np.int64)
+        x, n = np.concatenate(xs), np.concatenate(ns)
+        order = np.argsort(x, kind="stable")
+        x, n = x[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        x, n = x[first], np.add.reduceat(n, first)
+        part, again = int(rows["part"].iloc[0]), n > 1
+        base = np.uint64(part << int(low))
+        ranks = np.zeros(1 << (rank_bits - range_bits), np.uint8)
+        level = np.minimum(np.round(8 * np.log2(n[again])), 255).astype(np.uint8)
+        np.maximum.at(ranks, ((x[again] - base) >> np.uint64(TOKEN_BITS - rank_bits)).astype(np.int64), level)
+        bits = np.zeros(1 << (map_bits - range_bits), np.uint8)
+        bits[((x[again] - base) >> np.uint64(TOKEN_BITS - map_bits)).astype(np.int64)] = 1
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return pd.DataFrame({"part": [part], "ranks": [squeeze(ranks.tobytes())], "bits": [squeeze(np.packbits(bits, bitorder="little").tobytes())], "n": [len(x)], "total": [int(n.sum())]})
+
+    blobs = docs.select("doc_id", "text").mapInArrow(spread, "part int, held binary, places binary, counts binary")
+    ranks, shared = np.zeros(1 << rank_bits, np.uint8), np.zeros(1 << (map_bits - 3), np.uint8)
+    distinct = seen = 0
+    # bounded by the two maps' sizes
+    for r in blobs.groupBy("part").applyInPandas(count, "part int, ranks binary, bits binary, n long, total long").toLocalIterator():
+        for out, held in ((ranks, r.ranks), (shared, r.bits)):
+            width = len(out) >> range_bits
+            out[r.part * width : (r.part + 1) * width] = np.frombuffer(zstandard.decompress(bytes(held)), np.uint8)
+        distinct, seen = distinct + r.n, seen + r.total
+    return Known(shared, ranks), seen / max(1, distinct)
+
+
+CANDIDATES = (
+    T.StructType().add("sid", "binary").add("n", "integer").add("u", "integer").add("known", "integer")
+    .add("tokens", T.ArrayType(T.LongType())).add("keys", T.ArrayType(T.StructType().add("key", "binary").add("small", "boolean"))).add("parity", T.ArrayType(T.LongType())).add("held", "binary")
+)
+
+
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
+
+
+def subset_keys(values: np.ndarray, bounds: np.ndarray, most: int, percent: int = PERCENT) -> pa.Array:
+    """For each set of at most ``most`` shingles, its subsets' (key, small)."""
+    picks: dict[tuple[int, int], np.ndarray] = {}
+    n, first, second, small, counts = np.diff(bounds), [], [], [], np.zeros(len(bounds) - 1, np.int64)
+    for i in np.flatnonzero((n > 0) & (n <= most)).tolist():
+        own, k = values[bounds[i] : bounds[i + 1]], int(n[i])
+        for m in partner_sizes(k, percent):
+            c = least_overlap(k, m, percent)
+            if m > most or c > min(k, m):
+                continue
+            if (k, c) not in picks:
+                picks[k, c] = np.array(list(combinations(range(k), c)))
+            of = np.uint64(min(k, m) * 1000 + max(k, m))
+            for out, seed in ((first, 0x2545F491), (second, 0xD1342543DE82EF95)):
+                out.append(mix(mix(own ^ np.uint64(seed))[picks[k, c]].sum(1, dtype=np.uint64) + of))
+            small.append(np.full(len(first[-1]), k <= m))
+            counts[i] += len(first[-1])
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    return _lists(pa.StructArray.from_arrays([_wide(join(first, np.uint64), join(second, np.uint64)), pa.array(join(small, bool))], ["key", "small"]), counts)
+
+
+def candidates(docs: DataFrame, only, known, light: int, percent: int = PERCENT) -> DataFrame:
+    """The classes that may link, with all that is asked of them later.
+
+    u: how many of its shingles no other class has, at least; known: how much
+    of its list part, in tenths, others have; tokens: its inverted lists;
+    keys: its subsets.
+    """
+    least = percent * light // 100  # smaller sets cannot link to a heavy one
 
-def light_links(docs: DataFrame, most: int, percent: int = PERCENT, only=None) -> DataFrame:
-    """Links (a, b) that connect all light sets that link, by subsets."""
-    schema = T.StructType().add("key", "long").add("sid", "long").add("small", "boolean")
-
-    def each(_, values, bounds, sids):
-        keys, owners, small = [], [], []
-        n = np.diff(bounds)
-        _, one = np.unique(sids, return_index=True)
-        for i in one[(n[one] > 0) & (n[one] <= most)]:
-            own, k = values[bounds[i] : bounds[i + 1]], int(n[i])
-            for m in partner_sizes(k, percent):
-                c = least_overlap(k, m, percent)
-                if m > most or c > min(k, m):
+    def run(batches):
+        for whole in batches:
+            whole = whole.filter(pa.array(_within(only.value, _numbers(whole.column(0)))))
+            for batch in slices(whole, 1):
+                values, bounds = shingle_sets(batch.column(1))
+                n = np.diff(bounds)
+                shared = known.value.is_shared(values)
+                seen = np.concatenate(([0], np.cumsum(shared)))
+                s = seen[bounds[1:]] - seen[bounds[:-1]]
+                may = np.flatnonzero((n > 0) & (100 * s >= percent * n))
+                if not len(may):
                     continue
-                picks = np.array(list(combinations(range(k), c)))
-                key = mix(mix(own)[picks].sum(1, dtype=np.uint64) + np.uint64(min(k, m) * 1000 + max(k, m)))
-                keys.append(key)
-                owners.append(np.full(len(key), sids[i]))
-                small.append(np.full(len(key), k <= m))
-        if keys:
-            yield np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(small)
-
-    rows = _scan(docs, schema, each, only).distinct()
+                chosen = np.zeros(len(n), bool)
+                chosen[may] = True
+                take = np.repeat(chosen, n)
+                values, shared, n, s = values[take], shared[take], n[may], s[may]
+                bounds = np.concatenate(([0], np.cumsum(n)))
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((values, known.value.rank(values), shared, row))
+                place = np.arange(len(values)) - bounds[:-1][row]
+                listed = shared[order] & (place < prefix_size(n, percent)[row]) & (n > least)[row]
+                counts = np.bincount(row[listed], minlength=len(n))
+                part = np.bincount(row[shared[order] & (place < prefix_size(n, percent)[row])], minlength=len(n))
+                arrays = [
+                    _wide(*set_ids(values, bounds)), pa.array(n.astype(np.int32)), pa.array((n - s).astype(np.int32)), pa.array((10 * part // prefix_size(n, percent)).astype(np.int32)),
+                    _lists(pa.array(values[order][listed].view(np.int64)), counts), subset_keys(values, bounds, light, percent), _lists(pa.array(parities(values, bounds).ravel()), np.full(len(n), PARITIES)),
+                    pa.array([values[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:])], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=CANDIDATES.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, CANDIDATES).dropDuplicates(["sid"])
+
+
+def light_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all light sets that link, by subsets."""
+    rows = sets.select("sid", F.inline("keys"))
     hubs = rows.groupBy("key").agg(F.min(F.when(F.col("small"), F.col("sid"))).alias("hub"), F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     hubs = hubs.filter("hub is not null and lo != hi").select(F.col("key").alias("k"), "hub")
     return rows.join(hubs, F.col("key") == F.col("k")).filter("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _prefixes(tokens, counts, least: int, percent: int):
-    """Arrays (token, sid, n, place) of the first shingles of sets over
-    ``least``."""
-
-    def each(_, values, bounds, sids):
-        n = np.diff(bounds)
-        _, one = np.unique(sids, return_index=True)  # equal sets once
-        one = one[n[one] > least]
-        if not len(one):
-            return None
-        rank = np.zeros(len(values), np.int32)
-        if len(tokens):
-            short = values >> np.uint64(24)
-            at = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
-            rank = np.where(tokens[at] == short, counts[at], 0)
-        row = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((values, rank, row))
-        place = np.arange(len(values)) - bounds[:-1][row]
-        chosen = np.zeros(len(n), bool)
-        chosen[one] = True
-        keep = chosen[row] & (place < prefix_size(n, percent)[row])
-        row = row[keep]
-        return values[order][keep].view(np.int64), sids[row], n[row].astype(np.int32), place[keep].astype(np.int32)
-
-    return each
-
-
-def _xxhash(x: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 (seed 42) of longs."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
-    h = np.uint64(42) + p5 + np.uint64(8)
-    h = h ^ (rot(x.view(np.uint64) * p2, 31) * p1)
-    h = rot(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-
-
-def _within(words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    slot = _xxhash(numbers) >> np.uint64(64 - (len(words).bit_length() - 1 + 6))
-    return (words[(slot >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b) whose sets link."""
+    """(c, d): the components of those pairs (a, b) whose sets link."""
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("held").alias("ha")), "a")
-    both = left.join(sets.select(F.col("sid").alias("b"), F.col("held").alias("hb")), "b").select("a", "b", "ha", "hb")
+    both = left.join(sets.select(F.col("sid").alias("b"), F.col("held").alias("hb")), "b").select("c", "d", "ha", "hb")
 
     def run(batches):
         for batch in batches:
@@ -315,15 +381,19 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                 ok[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "c binary, d binary").distinct()
 
 
-def _prefix_column(n: str, percent: int):
-    return F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
+def _near(percent: int):
+    """Whether sets of n and m shingles, u and v of them in no other set, may
+    link: they share at most min(n - u, m - v)."""
+    most = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("v"))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
 
 
 def _meet(postings: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each set with one leader of another component from its lists.
+    """(a, b, c, d): each set with one leader of another component from its
+    lists, and their components.
 
     Leaders are drawn anew each turn from those sets of a list whose first
     shingles are the most widely known: the originals of copies, rather than
@@ -334,95 +404,69 @@ def _meet(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     leads = postings.groupBy("token").agg(F.min(rank)["lead"].alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     leads = leads.filter("lo != hi").select(F.col("token").alias("t"), F.col("lead.sid").alias("b"), F.col("lead.n").alias("m"), F.col("lead.u").alias("v"), F.col("lead.c").alias("d"))
     met = postings.join(leads, (F.col("token") == F.col("t")) & (F.col("c") != F.col("d")) & _near(percent))
-    often = met.groupBy("sid", "b").agg(F.count(F.lit(1)).alias("often"))
-    return often.groupBy("sid").agg(F.max_by("b", F.struct("often", "b")).alias("b")).select(F.col("sid").alias("a"), "b")
+    often = met.groupBy("sid", "c", "b", "d").agg(F.count(F.lit(1)).alias("often"))
+    return often.groupBy("sid", "c").agg(F.max(F.struct("often", "b", "d")).alias("x")).select(F.col("sid").alias("a"), "x.b", "c", "x.d")
 
 
-def _near(percent: int):
-    """Whether sets of n and m shingles, u and v of them in no other set, may
-    link: they share at most min(n - u, m - v)."""
-    most = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("v"))
-    return (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
+def _renamed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with column c mapped through labels (v, c)."""
+    to = labels.select("v", F.col("c").alias("to"))
+    return rows.join(to, F.col("c") == F.col("v"), "left").withColumn("c", F.coalesce("to", "c")).drop("v", "to")
 
 
-def _label(postings: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Postings with their set's component, of lists with several of them."""
-    comps = connected_components(links, scratch).withColumnRenamed("v", "sid").withColumnRenamed("c", "to")
-    kept = ("token", "sid", "n", "u", "known")
-    rows = postings.select(*kept).join(comps, "sid", "left").select(*kept, F.coalesce("to", "sid").alias("c"))
-    mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select(F.col("token").alias("t"))
-    return scratch.save(rows.join(mixed, F.col("token") == F.col("t"), "left_semi"))
+def _mixed(postings: DataFrame) -> DataFrame:
+    """Postings of lists with several components."""
+    lists = postings.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select(F.col("token").alias("t"))
+    return postings.join(lists, F.col("token") == F.col("t"), "left_semi")
 
 
-def join_components(docs: DataFrame, percent: int = PERCENT, max_hot: int = MAX_HOT, hot: int = HOT, map_bits: int = MAP_BITS, rounds: int = ROUNDS) -> DataFrame:
+def join_components(docs: DataFrame, percent: int = PERCENT, map_bits: int = MAP_BITS, rank_bits: int = RANK_BITS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    own = scratch.save(classes(docs))
-    bits = lambda df, column: spark.sparkContext.broadcast(BitMap(df, column, map_bits).words)
-    known_docs = docs.filter("doc_id is not null")
-    stand = scratch.save(own.filter("doc_id is not null").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id")))
-    one = bits(stand, "doc_id")  # the first document of each class stands for it
-    tokens, counts, mean_list = frequent_shingles(known_docs, one, hot, max_hot)
-    by_size = stand.filter("n between 1 and 24").groupBy("n").agg(F.count("sid").alias("k"))
+    scratch, kept = Scratch(spark, "jaccard"), Scratch(spark, "jaccard-result")
+    own = kept.save(classes(docs))
+    with_id = docs.filter("doc_id is not null")
+    stand = scratch.save(own.filter("doc_id is not null and n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id")))
+    # the first document of each class stands for it
+    only = spark.sparkContext.broadcast(BitMap(stand, "doc_id", min(map_bits, 24)).words)
+    total = stand.agg(F.sum("n").alias("n")).first().n or 0
+    found, mean_list = count_shingles(with_id, only, total, map_bits, rank_bits)
+    known = spark.sparkContext.broadcast(found)
+    by_size = stand.filter(F.col("n") <= MAX_LIGHT).groupBy("n").agg(F.count("sid").alias("k"))
     light = boundary({r.n: r.k for r in by_size.collect()}, mean_list, percent)
-    known = spark.sparkContext.broadcast((tokens, counts))
-    least = percent * light // 100  # smaller sets cannot link to a heavy one
-
-    def index(ids, values, bounds, sids):
-        found = _prefixes(*known.value, least, percent)(ids, values, bounds, sids)
-        return [] if found is None else [found]
-
-    shared = _scan(known_docs, _flat(), index, one).groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi")
-    shared = scratch.save(shared.select("token"))
-    worth = bits(shared, "token")
-
-    def listed(ids, values, bounds, sids):
-        for arrays in index(ids, values, bounds, sids):
-            keep = _within(worth.value, arrays[0])
-            yield [a[keep] for a in arrays]
-
-    postings = _scan(known_docs, _flat(), listed, one).join(shared.withColumnRenamed("token", "t"), F.col("token") == F.col("t"), "left_semi")
-    postings = scratch.save(postings.distinct())
-    # a set's shingles before its first listed one are in no other set
-    alone = postings.groupBy("sid").agg(F.min("place").alias("u"), F.floor(10 * F.count("place") / F.max(_prefix_column("n", percent))).cast("int").alias("known"))
-    postings = scratch.save(postings.drop("place").join(alone.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s")).drop("s"))
-    # whole sets are kept for those classes alone that meet another
-    met = postings.select("sid").distinct().withColumnRenamed("sid", "s")
-    chosen = bits(stand.join(met, F.col("sid") == F.col("s"), "left_semi"), "doc_id")
-
-    def held(ids, values, bounds, sids):
-        yield sids, pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(sids))], pa.binary()), *parities(values, bounds)
-
-    kind = T.StructType().add("sid", "long").add("held", "binary")
-    for k in range(PARITIES):
-        kind = kind.add(f"p{k}", "long")
-    sets = scratch.save(_scan(known_docs, kind, held, chosen).dropDuplicates(["sid"]))
-    links = scratch.save(light_links(known_docs, light, percent, one))
-    postings = _label(postings, links, scratch)
+    sets = scratch.save(candidates(with_id, only, known, light, percent))
+    only.unpersist()
+    known.unpersist()
+
+    labels = connected_components(light_links(sets), scratch)
+    nodes = scratch.save(_renamed(sets.select("sid", F.col("sid").alias("c")), labels))
+    postings = sets.select("sid", "n", "u", "known", F.explode("tokens").alias("token"))
+    postings = scratch.save(_mixed(postings.join(nodes.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s")).drop("s")))
     for turn in range(rounds):
-        if postings.isEmpty():
-            break
         fresh = scratch.save(verify(_meet(postings, turn, percent), sets, percent))
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            postings = _label(postings, links, scratch)
+        if fresh.isEmpty():
+            break
+        labels = connected_components(fresh.toDF("a", "b"), scratch)
+        nodes = scratch.save(_renamed(nodes, labels))
+        postings = scratch.save(_mixed(_renamed(postings, labels)))
     # what still meets across components, pair by pair
-    names = [f"p{k}" for k in range(PARITIES)]
-    postings = scratch.save(postings.drop("known").join(sets.select(F.col("sid").alias("s"), *names), F.col("sid") == F.col("s")).drop("s"))
-    other = postings.withColumnsRenamed({"token": "t", "sid": "b", "n": "m", "u": "v", "c": "d"} | {p: "q" + p for p in names})
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(p).bitwiseXOR(F.col("q" + p))) for p in names])
+    postings = scratch.save(postings.drop("known").join(sets.select(F.col("sid").alias("s"), "parity"), F.col("sid") == F.col("s")).drop("s"))
+    other = postings.withColumnsRenamed({"token": "t", "sid": "b", "n": "m", "u": "v", "c": "d", "parity": "parities"})
+    differ = F.lit(0)
+    for k in range(PARITIES):
+        differ += F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("parities", F.lit(k))))
     # sets that link differ in at most n + m less twice their least overlap
     alike = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))
     pairs = postings.join(other, (F.col("token") == F.col("t")) & (F.col("c") != F.col("d")) & (F.col("sid") < F.col("b")) & _near(percent) & alike)
-    links = links.union(scratch.save(verify(pairs.select(F.col("sid").alias("a"), "b").distinct(), sets, percent)))
-    comps = connected_components(links, scratch)
+    fresh = scratch.save(verify(pairs.select(F.col("sid").alias("a"), "b", "c", "d").distinct(), sets, percent))
+    nodes = _renamed(nodes, connected_components(fresh.toDF("a", "b"), scratch))
     # classes first: copies meet their class's row, hot or not, by a join
-    named = stand.join(comps, F.col("sid") == F.col("v"), "left").select("sid", "n", "doc_id", F.coalesce("c", "sid").alias("c"))
+    named = stand.join(nodes.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s"), "left").select("sid", "n", "doc_id", F.coalesce("c", "sid").alias("c"))
+    named = scratch.save(named)
     first = named.groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "k")
-    named = named.join(first, F.col("c") == F.col("k")).select(F.col("sid").alias("s"), F.col("n").alias("m"), "component_id")
-    named = scratch.save(named.filter("m > 0"))
+    named = kept.save(named.join(first, F.col("c") == F.col("k")).select(F.col("sid").alias("s"), F.col("n").alias("m"), "component_id"))
+    scratch.drop()
     rows = own.join(named, (F.col("sid") == F.col("s")) & (F.col("n") == F.col("m")) & F.col("doc_id").isNotNull(), "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

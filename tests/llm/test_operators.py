@@ -177,11 +177,11 @@ def test_jaccard(spark, docs, empty):
     base = prose(120)
     rows += [(100 + i, changed(base, 25 + i)) for i in range(8)] + [(200 + i, " ".join(f"q{j}" for j in range(i, i + 14))) for i in range(8)]
     frame = spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string").withColumn("c", F.lit(1))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in five.join_components(frame, max_hot=50).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in five.join_components(frame).collect()}
     assert got.pop(None) == (1, None)
     assert got == components_by_force(rows)
     # the last round alone, without leaders or the order of frequent shingles
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in five.join_components(frame, max_hot=0, rounds=0, map_bits=6).filter("doc_id is not null").collect()} == got
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in five.join_components(frame, rank_bits=9, rounds=0, map_bits=9).filter("doc_id is not null").collect()} == got
     assert five.join_components(empty).isEmpty()
 
 
