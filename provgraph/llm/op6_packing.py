@@ -8,25 +8,29 @@ of least cost for what is still to be packed. At the end every bin is
 downsized to the least permitted length that holds its contents, and the rule
 whose bins then cost least is taken.
 
-Scale: rows (id, piece, length), without texts, are dealt by hash into groups
-of about ``per_group`` pieces, so that a task holds a bounded number of small
-rows; groups are independent, and each loses at most a few part-filled bins,
-which downsizing shrinks. Many equal lengths or one hot source change
-nothing, since ids are hashed. Bins are numbered by group, so that a rerun of
-a lost task gives the same numbers.
+Scale: rows (id, piece, length), without texts, are counted if equal, and
+dealt by hash into groups of about ``per_group`` pieces, counts over that in
+parts; so a task holds a bounded number of small rows even if one id stands on
+a third of them. Groups are independent, and each loses at most a few
+part-filled bins, which downsizing shrinks. Bins are numbered by group, so that
+a rerun of a lost task gives the same numbers. Lengths are saved first, so
+that texts are read once.
 
 Defined results: an item of length 0 or null is packed with length 0, in the
-fullest bin; repeated ids are separate items; an empty table gives no row.
+fullest bin; repeated ids are separate items, equal rows too; a null id is
+packed like others; an empty table gives no row; other columns are not used.
+An id column that is called like one of the result's is returned as ``id``.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.llm.common import table, text_of, words
+from provgraph.llm.common import Scratch, table, text_of, words
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 PER_GROUP = 4000
@@ -82,12 +86,15 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.nd
     return out, best[2][out]
 
 
+RESULT = "piece int, start long, length long, bin_id long, capacity long, offset long"
+
+
 def pieces(items: DataFrame, id_column: str, length: str, most: int) -> DataFrame:
-    """(id, piece, start, length): items cut into pieces of at most ``most``."""
+    """(__id, piece, start, length): items cut into pieces of at most ``most``."""
     n = F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0))
-    cut = items.select(F.col(id_column), n.alias("__n")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("__n") / most) - 1, F.lit(0)).cast("int"))))
+    cut = items.select(F.col(id_column).alias("__id"), n.alias("__n")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("__n") / most) - 1, F.lit(0)).cast("int"))))
     start = F.col("piece").cast("long") * most
-    return cut.select(id_column, "piece", start.alias("start"), F.least(F.col("__n") - start, F.lit(most)).alias("length"))
+    return cut.select("__id", "piece", start.alias("start"), F.least(F.col("__n") - start, F.lit(most)).alias("length"))
 
 
 def best_fit(items: DataFrame, id_column: str, length: str, lengths: tuple[int, ...] = LENGTHS, per_group: int = PER_GROUP) -> DataFrame:
@@ -95,21 +102,32 @@ def best_fit(items: DataFrame, id_column: str, length: str, lengths: tuple[int,
     lengths = tuple(sorted(set(lengths)))
     if not lengths or lengths[0] < 1:
         raise ValueError("lengths must be positive")
-    cut = pieces(items, id_column, length, lengths[-1])
+    cut = Scratch(items.sparkSession, "pieces").save(pieces(items, id_column, length, lengths[-1]))
     n = cut.select(F.count(F.lit(1)).alias("n")).first().n
     groups = max(1, -(-n // per_group))
-    cut = cut.withColumn("grp", F.pmod(F.xxhash64(id_column, "piece"), F.lit(groups)))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([id_column, "piece", "length"], kind="stable").reset_index(drop=True)
-        bins, final = pack(rows["length"].to_numpy(np.int64), lengths)
-        rows["bin_id"] = rows["grp"].to_numpy(np.int64) * (1 << 32) + bins
-        rows["capacity"] = final
-        rows["offset"] = rows.groupby("bin_id")["length"].cumsum() - rows["length"]
-        return rows.drop(columns="grp")
-
-    schema = f"`{id_column}` {cut.schema[id_column].dataType.simpleString()}, piece int, start long, length long, bin_id long, capacity long, offset long"
-    return cut.groupBy("grp").applyInPandas(run, schema)
+    cut = cut.groupBy("__id", "piece", "start", "length").agg(F.count(F.lit(1)).alias("copies"))
+    # equal rows in parts of per_group
+    cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / per_group).cast("int"))))
+    cut = cut.withColumn("copies", F.least(F.col("copies") - F.col("part") * per_group, F.lit(per_group)))
+    cut = cut.withColumn("grp", F.pmod(F.xxhash64("__id", "piece", "length", "part"), F.lit(groups)))
+    id_name = "id" if id_column.lower() in ("piece", "start", "length", "bin_id", "capacity", "offset") else id_column
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("__id", "piece", "length", "part")]))
+        rows = rows.take(np.repeat(np.arange(len(rows)), rows.column("copies").to_numpy()))
+        sizes = rows.column("length").to_numpy()
+        bins, final = pack(sizes, lengths)
+        order = np.argsort(bins, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        first = np.flatnonzero(np.diff(bins[order], prepend=-1))
+        offset = np.empty(len(sizes), np.int64)
+        offset[order] = before - np.repeat(before[first], np.diff(np.append(first, len(sizes))))
+        columns = [rows.column(c).combine_chunks() for c in ("__id", "piece", "start", "length")]
+        columns += [pa.array(x, pa.int64()) for x in (rows.column("grp").to_numpy() * (1 << 32) + bins, final, offset)]
+        return pa.Table.from_arrays(columns, names=names)
+
+    names = [id_name, "piece", "start", "length", "bin_id", "capacity", "offset"]
+    return cut.groupBy("grp").applyInArrow(run, f"`{id_name}` {cut.schema['__id'].dataType.simpleString()}, {RESULT}")
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:
