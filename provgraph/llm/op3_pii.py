@@ -12,8 +12,10 @@ Scale: one pass, text by text, without a shuffle. Each detector is linear in
 the text: candidates start at an "@", a "+" or a run of digits that is not
 preceded by another digit.
 
-Defined results: null text counts as empty and has no spans; rows of equal
-doc_id are handled one by one; clashing columns named ``spans`` are replaced.
+Defined results: null text counts as empty and has no spans; very long texts
+are read whole; rows of equal doc_id, equal or not, are handled one by one; an
+empty table gives no row; clashing columns named ``spans`` are replaced. Spans
+of one kind never overlap; of two kinds they may, and masking joins them.
 """
 
 from __future__ import annotations
@@ -98,7 +100,15 @@ _ALIKE = str.maketrans(
     "авеѕіјорсухкмнтгԁɡАВЕЅІЈОРСУХКМНТαοερικνυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ‐‑‒–—−․。٫",
     "abesijopcyxkmhtrdgABESIJOPCYXKMHTaoepikvuxABEZHIKMNOPTYX------...",
 ) | {0xFF01 + i: 0x21 + i for i in range(94)} | {zero + i: 48 + i for zero in (0x660, 0x6F0, 0x966) for i in range(10)} | {0xA0: 32, 0x2007: 32, 0x202F: 32, 0x3000: 32}
-_ENDINGS = frozenset("com org net edu gov mil int info biz io ai app dev co me tv de fr es uk eu us ca au ch at it nl be pl se pt mx ar br in jp cn".split())
+# Endings of more than two letters; any two letters may be a country's.
+_ENDINGS = frozenset("com org net edu gov mil int info biz name pro app dev xyz online site shop store club tech cloud email mail blog news art museum travel jobs mobi tel cat asia".split())
+# Words that stand before "at", or in place of a host, in plain prose.
+_COMMON = frozenset(
+    "the a an this that these those my your his her its our their me you him us them it i we he she they one all any some each both no not now then here there home work school once least most last first "
+    "is are was were be been being am do does did has have had can could will would may look looks looked looking see seen find found meet met stay stayed live lives lived arrive arrived stop stopped stand stands "
+    "start started end ended good bad better best and or but if so as in on at to of by for from with up out off over under about online available hosted sold made held placed point points dot dots page site "
+    "el la los las un una de del en y o que es le les des et ou un une du est der die das ein eine und oder ist im am".split()
+)
 _HIDDEN = frozenset("­​‌‍⁠﻿")
 _ODD = re.compile("[" + "".join(map(chr, _ALIKE)) + "".join(_HIDDEN) + "]")
 _NUMBERS = (
@@ -119,6 +129,7 @@ _DOT = re.compile(rf"(?<=[A-Za-z0-9])\s*{_OPEN}\s*(?:{_DOT_WORD}|point|\.)\s*{_C
 _HOST = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _AT = re.compile(rf"(?<=[A-Za-z0-9])\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_CLOSE}\s*(?={_HOST})|(?<=[A-Za-z0-9])(?:\s+@\s*|\s*@\s+)(?={_HOST})", re.I)
 _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT_WORD}\s+(?={_HOST})", re.I)
+_BARE_HINT = re.compile(rf"\s{_AT_WORD}\s")
 _EDGE = r"(?<![^\s(\[{<,.-])"
 #: What makes a lower-cased text worth rewriting.
 _HINT = re.compile(rf"{_EDGE}(?:{_NUMBER}(?:{_GAP}{_NUMBER}|\s+(?:dot|point)\s)|{_DOT_WORD}(?!\w))")
@@ -163,22 +174,32 @@ def deobfuscate(text: str) -> Rewritten | None:
     if _HINT.search(low):
         changed |= out.sub(_RUN, _digits)
         changed |= out.sub(_DOTTED, _digits)
-        spelled_dot = out.sub(_DOT, lambda _: ".")
+        changed |= out.sub(_DOT, lambda _: ".")
         changed |= out.sub(_DOTTED, _digits)
         changed |= out.sub(_PLUS, lambda _: "+")
-        if spelled_dot:  # a bare "at" is a plain word elsewhere
-            out.sub(_BARE_AT, lambda _: "@")
-        changed |= spelled_dot
     elif any(o in low for o in "[({<"):
         changed |= out.sub(_DOT, lambda _: ".")
     if "@" in low or any(o in low for o in "[({<"):
         changed |= out.sub(_AT, lambda _: "@")
+    if _BARE_HINT.search(low):
+        changed |= out.sub(_BARE_AT, lambda _: "@")
     return out if changed else None
 
 
-def _plausible(source: str) -> bool:
-    """Whether a disguised address is one: words alone need a known ending."""
-    return not source.isascii() or any(c in source for c in "@[({<") or source.split()[-1].rpartition(".")[2].lower() in _ENDINGS
+def _plausible(source: str, plain: str) -> bool:
+    """Whether a disguised address is one.
+
+    Signs that people do not write otherwise are enough. Words alone need a
+    host that ends like one, and neither a name nor a host that is a common
+    word; of another ending, a name or host with a digit or sign in it.
+    """
+    if not source.isascii() or any(c in source for c in "@[({<"):
+        return True
+    name, _, host = plain.lower().rpartition("@")
+    labels = host.split(".")
+    if name in _COMMON or labels[0] in _COMMON:
+        return False
+    return labels[-1] in _ENDINGS or len(labels[-1]) == 2 or any(c in "0123456789._+-" for c in name + labels[0])
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
@@ -189,8 +210,9 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     found = [(k, s, e, True) for k, spans in base.items() for s, e in spans]
     if out := deobfuscate(text):
         for kind, spans in detect_plain(out.text).items():
-            for s, e in map(out.source, spans):
-                if all(e <= bs or s >= be for bs, be in base[kind]) and (kind != "email" or _plausible(text[s:e])):
+            for at in spans:
+                s, e = out.source(at)
+                if all(e <= bs or s >= be for bs, be in base[kind]) and (kind != "email" or _plausible(text[s:e], out.text[slice(*at)])):
                     found.append((kind, s, e, False))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
