@@ -60,7 +60,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provgraph.llm.common import Scratch, table
+from provgraph.llm.common import SPACE, Scratch, table
 from provgraph.llm.components import connected_components
 from provgraph.llm.hashing import mix, slices, unique_by_row, windows, words_of
 
@@ -174,16 +174,21 @@ def _within(words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (words[(slot >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+def text_keys(docs: DataFrame) -> list:
+    """Two columns that tell texts apart."""
+    return [F.xxhash64(docs["text"]).alias("__text_a"), F.xxhash64(F.lit(2), docs["text"]).alias("__text_b")]
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sid) of every document."""
+    """(doc_id, two keys of the text, n, sid) of every document."""
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 1):
-                values, bounds = shingle_sets(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds).astype(np.int32)), _wide(*set_ids(values, bounds))], names=["doc_id", "n", "sid"])
+            for batch in slices(whole, 3):
+                values, bounds = shingle_sets(batch.column(3))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds).astype(np.int32)), _wide(*set_ids(values, bounds))], names=["doc_id", "__text_a", "__text_b", "n", "sid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sid binary")
+    return docs.select("doc_id", *text_keys(docs), "text").mapInArrow(run, "doc_id long, __text_a long, __text_b long, n int, sid binary")
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -420,8 +425,11 @@ def _mixed(postings: DataFrame) -> DataFrame:
     return postings.join(lists, F.col("token") == F.col("t"), "left_semi")
 
 
-def join_components(docs: DataFrame, percent: int = PERCENT, map_bits: int = MAP_BITS, rank_bits: int = RANK_BITS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def join_groups(docs: DataFrame, percent: int = PERCENT, map_bits: int = MAP_BITS, rank_bits: int = RANK_BITS, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, two keys of the text, n_shingles, component_id, group) of every
+    document. The group is the component itself, null without a doc_id or
+    words: two components have the same component_id if one doc_id stands on
+    texts of both."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     scratch, kept = Scratch(spark, "jaccard"), Scratch(spark, "jaccard-result")
@@ -465,10 +473,31 @@ def join_components(docs: DataFrame, percent: int = PERCENT, map_bits: int = MAP
     named = stand.join(nodes.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s"), "left").select("sid", "n", "doc_id", F.coalesce("c", "sid").alias("c"))
     named = scratch.save(named)
     first = named.groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "k")
-    named = kept.save(named.join(first, F.col("c") == F.col("k")).select(F.col("sid").alias("s"), F.col("n").alias("m"), "component_id"))
+    named = kept.save(named.join(first, F.col("c") == F.col("k")).select(F.col("sid").alias("s"), F.col("n").alias("m"), "component_id", F.col("c").alias("group")))
     scratch.drop()
     rows = own.join(named, (F.col("sid") == F.col("s")) & (F.col("n") == F.col("m")) & F.col("doc_id").isNotNull(), "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "__text_a", "__text_b", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+
+
+def join_components(docs: DataFrame, **parameters: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    return join_groups(docs, **parameters).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of least
+    doc_id, then text key. Rows without a doc_id cannot be named as another's
+    copy, and rows without words are nobody's: both stay."""
+    own = [docs[c] for c in docs.columns]
+    keys = ["doc_id", "__text_a", "__text_b"]
+    groups = join_groups(docs.select("doc_id", "text"))
+    least = groups.filter("`group` is not null").groupBy("group").agg(F.min(F.struct(*keys)).alias("k"))
+    least = least.select(F.col("k.doc_id").alias("__k0"), F.col("k.__text_a").alias("__k1"), F.col("k.__text_b").alias("__k2"))
+    rows = docs.select(*own, *text_keys(docs), docs["doc_id"].cast("long").alias("__id"))
+    alone = F.col("__id").isNull() | ~F.coalesce(F.col("text").rlike(f"[^{SPACE}]"), F.lit(False))
+    same = (F.col("__id") == F.col("__k0")) & (F.col("__text_a") == F.col("__k1")) & (F.col("__text_b") == F.col("__k2"))
+    chosen = rows.filter(~alone).join(least, same, "left_semi").dropDuplicates(["__id", *keys[1:]])
+    return chosen.unionByName(rows.filter(alone)).select(*docs.columns)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
