@@ -10,7 +10,8 @@ from provgraph.schema import NODE_TYPES, RELATIONS
 
 # Property keys and words that state a risk.
 RISK_KEYS = ("risk_level", "risk", "风险等级", "风险")
-RISK_WORDS = {"critical": ("critical", "严重"), "high": ("high", "高"), "medium": ("medium", "中"), "low": ("low", "低")}
+RISK_WORDS = {"critical": ("critical", "严重", "致命"), "high": ("high", "高"), "medium": ("medium", "mid", "中"), "low": ("low", "低")}
+NO_VALUE = "—"
 LABELS = {"node_created": "Node created", "node_updated": "Node updated", "node_deleted": "Node deleted", "edge_created": "Edge created", "edge_updated": "Edge updated", "edge_deleted": "Edge deleted"}
 
 
@@ -32,11 +33,46 @@ def format_time(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd HH:mm:ss")
 
 
+def _wall(t: Column) -> Column:
+    """An instant as +08:00 wall-clock time."""
+    return F.convert_timezone(F.current_timezone(), F.lit("+08:00"), t.cast("timestamp_ntz"))
+
+
+def format_local(t: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A timestamp with time zone as +08:00 wall-clock text; a dash for none."""
+    return F.coalesce(F.date_format(_wall(t), pattern), F.lit(NO_VALUE))
+
+
+def format_short(t: Column) -> Column:
+    return format_local(t, "MM-dd HH:mm")
+
+
+def format_date(t: Column) -> Column:
+    return format_local(t, "yyyy-MM-dd")
+
+
+def format_offset(t: Column) -> Column:
+    """ISO text that ends in +08:00; empty for none."""
+    return F.coalesce(F.concat(F.date_format(_wall(t), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00")), F.lit(""))
+
+
+def format_number(n: Column) -> Column:
+    """With thousands separated, at most three decimals; a dash for none."""
+    text = F.format_number(F.round(n.cast("double"), 3), 3)
+    return F.when(n.isNull() | F.isnan(n.cast("double")), NO_VALUE).otherwise(F.regexp_replace(text, r"\.?0+$", ""))
+
+
+def format_decimal(n: Column, digits: int = 2) -> Column:
+    """Rounded, without zeros at the end; a dash for none."""
+    text = F.round(n.cast("decimal(30,10)"), digits).cast("string")
+    return F.when(n.isNull() | F.isnan(n.cast("double")), NO_VALUE).otherwise(F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text))
+
+
 def relative_time(t: Column, now: Column) -> Column:
     """How long before ``now``, in the largest whole unit."""
     s = F.timestamp_diff("SECOND", t, now)
     unit = lambda n, name: F.concat(F.floor(s / n).cast("string"), F.lit(f" {name} ago"))
-    return F.when(s < 60, "just now").when(s < 3600, unit(60, "minutes")).when(s < 86400, unit(3600, "hours")).otherwise(unit(86400, "days"))
+    return F.when(s < 60, "just now").when(s < 3600, unit(60, "minutes")).when(s < 86400, unit(3600, "hours")).when(s < 30 * 86400, unit(86400, "days")).otherwise(F.date_format(t, "yyyy-MM-dd"))
 
 
 def event_label(event_type: Column) -> Column:
@@ -46,14 +82,14 @@ def event_label(event_type: Column) -> Column:
     return out
 
 
-def middle_ellipsis(text: Column, most: int = 20) -> Column:
-    head = (most - 1) // 2
+def middle_ellipsis(text: Column, most: int = 24) -> Column:
+    head = most // 2
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("…"), F.right(text, F.lit(most - 1 - head))))
 
 
-def node_size(degree: Column, least: float = 18.0, most: float = 46.0) -> Column:
+def node_size(degree: Column, least: float = 20.0, step: float = 6.0, most: float = 46.0) -> Column:
     """A drawing size that grows with the root of the degree."""
-    return F.least(F.lit(least) + 4 * F.sqrt(degree), F.lit(most))
+    return F.least(F.lit(least) + step * F.sqrt(degree), F.lit(most))
 
 
 def merge_properties(old: Column, new: Column, replace: bool = False) -> Column:

@@ -83,3 +83,19 @@ def components(graph: LineageGraph) -> DataFrame:
 def component_sizes(graph: LineageGraph) -> DataFrame:
     """(component, size), largest first."""
     return components(graph).groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component")
+
+
+def analysis(graph: LineageGraph, ids=None) -> dict[str, DataFrame]:
+    """The subgraph of some nodes (all without ids): nodes by id, cells,
+    two_hop, components (id, component), and one row of sizes.
+
+    More than ``limits.matrix`` nodes raise: of a part of them density and
+    components would be wrong.
+    """
+    part = subgraph(graph, ids)
+    if (n := part.nodes.limit(part.limits.matrix + 1).count()) > part.limits.matrix:
+        raise SubgraphTooLarge(f"at least {n} nodes; at most {part.limits.matrix}")
+    labels = components(part)
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.agg(F.count(F.lit(1)).alias("component_count"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component"))
+    return {"nodes": part.nodes.select("id", "name").orderBy("id"), "cells": cells(part), "two_hop": two_hop(part), "components": labels, "summary": density(part).join(F.broadcast(sizes))}

@@ -54,6 +54,25 @@ def violations(log: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return seen.filter(F.col("edge_id").isNotNull() & ~F.coalesce("was", F.lit(False))).select("seq", "edge_id", "node_id")
 
 
+def restore(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A snapshot's tables, or ValidationError if any row breaks a rule, an
+    edge lacks an end, or an id or relation stands there twice: rather no
+    graph than a part of one."""
+    from provgraph.functions.validation import dangling_edges, duplicate_edges, edge_rules, node_rules, require_valid
+
+    require_valid(nodes, node_rules())
+    require_valid(edges, edge_rules())
+    for found, what in (
+        (nodes.groupBy("id").count().filter("count > 1"), "a node's id stands there twice"),
+        (edges.groupBy("id").count().filter("count > 1"), "an edge's id stands there twice"),
+        (dangling_edges(edges, nodes), "an edge lacks an end"),
+        (duplicate_edges(edges), "two edges state one relation"),
+    ):
+        if not found.isEmpty():
+            raise ValidationError(what)
+    return nodes, edges
+
+
 def replay_live(store, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The current state, from the latest checkpoint on if there is one."""
     last = store.latest_checkpoint()

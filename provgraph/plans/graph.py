@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.errors import EdgeNotFound, NodeNotFound, ValidationError
+from provgraph.plans.iterate import Rounds
 from provgraph.schema import Limits
 
 
@@ -21,6 +22,11 @@ class LineageGraph:
     edges: DataFrame
     limits: Limits = field(default_factory=Limits)
 
+    def saved(self) -> LineageGraph:
+        """The same graph with its edges written once, for those whose edges
+        take joins or sums to make."""
+        return LineageGraph(self.nodes, Rounds(self.nodes.sparkSession).save(self.edges), self.limits)
+
     def adjacency(self, direction: str = "out", relations: Iterable[str] = (), types: Iterable[str] = ()) -> DataFrame:
         """(src, dst, edge_id, relation, weight); the filters are applied here
         once, before any loop. ``types`` tests the node that is reached."""

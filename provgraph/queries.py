@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from provgraph.functions.validation import dangling_edges, duplicate_edges, event_violations
 from provgraph.operators import diff as D
 from provgraph.operators import matrix as M
-from provgraph.operators import order, paths, replay, search, stats, traverse
+from provgraph.operators import detail, order, paths, replay, search, stats, traverse
 from provgraph.plans.graph import LineageGraph
 from provgraph.plans.iterate import Rounds
 from provgraph.schema import Limits
@@ -22,11 +22,11 @@ WIDE = Limits(nodes=10_000_000)
 
 
 def key_graph(spark, sf_dir: str) -> LineageGraph:
-    return LineageGraph(tables.key_nodes(spark, sf_dir), tables.key_edges(spark, sf_dir), WIDE)
+    return LineageGraph(tables.key_nodes(spark, sf_dir), tables.key_edges(spark, sf_dir), WIDE).saved()
 
 
 def flow_graph(spark, sf_dir: str) -> LineageGraph:
-    return LineageGraph(tables.flow_nodes(spark, sf_dir), Rounds(spark).save(tables.flow_edges(spark, sf_dir)), WIDE)
+    return LineageGraph(tables.flow_nodes(spark, sf_dir), tables.flow_edges(spark, sf_dir), WIDE).saved()
 
 
 def middle(spark, sf_dir: str):
@@ -109,27 +109,72 @@ def path_costs(spark, sf_dir):
     return best.select("node_id", F.round("cost", 6).alias("cost"))
 
 
-def _all_paths(make, start, goal, depth):
-    def query(spark, sf_dir):
-        found, _ = paths.all_paths(make(spark, sf_dir), start, goal, depth, 0)
-        return found.select(F.concat_ws(">", "node_ids").alias("node_ids"), F.concat_ws(">", "edge_ids").alias("edge_ids"), F.round("cost", 6).alias("cost"), "hops")
+def _path_columns(found: DataFrame) -> DataFrame:
+    return found.select(F.concat_ws(">", "node_ids").alias("node_ids"), F.concat_ws(">", "edge_ids").alias("edge_ids"), F.round("cost", 6).alias("cost"), "hops")
 
-    return query
+
+def all_paths(spark, sf_dir):
+    """All ways from a customer to the first part of one of its orders."""
+    g = key_graph(spark, sf_dir)
+    goal = traverse.reach(g, g.nodes.filter("id = 'C0'").select("id"), 2, "out").filter("node_id like 'P%'").agg(F.min("node_id")).first()[0]
+    return _path_columns(paths.all_paths(g, "C0", goal, 4)[0])
+
+
+def all_paths_flow(spark, sf_dir):
+    return _path_columns(paths.all_paths(flow_graph(spark, sf_dir), "u0", "u7", 2)[0])
+
+
+def path_edges(spark, sf_dir):
+    return paths.path_view(flow_graph(spark, sf_dir), "u0", "u7", 2)["edges"].select("id", "source_id", "target_id")
 
 
 def paths_sql(cte: str, table: str, start: str, goal: str, depth: int) -> str:
+    """goal: an SQL expression."""
     return f"""WITH RECURSIVE {cte}, a AS ({adj(table, "out")}),
 p AS (SELECT '{start}' AS cur, ['{start}'] AS n, []::VARCHAR[] AS e, 0.0::DOUBLE AS cost UNION ALL
- SELECT dst, list_append(n, dst), list_append(e, edge_id), cost + weight FROM p JOIN a ON src = cur WHERE cur <> '{goal}' AND len(e) < {depth} AND NOT list_contains(n, dst)),
-f AS (SELECT * FROM p WHERE cur = '{goal}' ORDER BY e LIMIT 1000)
-SELECT array_to_string(n, '>') AS node_ids, array_to_string(e, '>') AS edge_ids, round(cost, 6) AS cost, CAST(len(e) AS INTEGER) AS hops FROM f"""
+ SELECT dst, list_append(n, dst), list_append(e, edge_id), cost + weight FROM p JOIN a ON src = cur WHERE cur <> {goal} AND len(e) < {depth} AND NOT list_contains(n, dst)),
+f AS (SELECT * FROM p WHERE cur = {goal} ORDER BY e LIMIT 1000)"""
 
 
-def small(spark, sf_dir) -> LineageGraph:
-    """Regions, nations, suppliers and customers of the key graph."""
-    g = key_graph(spark, sf_dir)
-    nodes = g.nodes.filter("type in ('server', 'database', 'person', 'application')")
-    return LineageGraph(nodes, g.induced(nodes.select("id")), g.limits)
+PATHS = " SELECT array_to_string(n, '>') AS node_ids, array_to_string(e, '>') AS edge_ids, round(cost, 6) AS cost, CAST(len(e) AS INTEGER) AS hops FROM f"
+
+
+def lineage_totals(spark, sf_dir):
+    return traverse.lineage_view(key_graph(spark, sf_dir), "P0", 3)["totals"]
+
+
+def lineage_edges(spark, sf_dir):
+    return traverse.lineage_view(key_graph(spark, sf_dir), "P0", 2)["edges"].select("id", "source_id", "target_id")
+
+
+def node_detail(spark, sf_dir):
+    return detail.node_detail(flow_graph(spark, sf_dir), tables.event_log(spark, sf_dir), "u5")["summary"].drop("properties")
+
+
+def structure_summary(spark, sf_dir):
+    return detail.structure(flow_graph(spark, sf_dir))["summary"]
+
+
+def metadata(spark, sf_dir):
+    g = flow_graph(spark, sf_dir)
+    return detail.metadata(LineageGraph(g.nodes, g.edges))
+
+
+def matrix_analysis(spark, sf_dir):
+    g = flow_graph(spark, sf_dir)
+    return M.analysis(g, [f"u{i}" for i in range(12)])["summary"].withColumn("density", F.round("density", 9))
+
+
+def lexical_order(spark, sf_dir):
+    """The flow graph with every edge turned towards the later id."""
+    g = flow_graph(spark, sf_dir)
+    turned = g.edges.withColumns({"source_id": F.least("source_id", "target_id"), "target_id": F.greatest("source_id", "target_id"), "directed": F.lit(True)})
+    return order.topological_order(LineageGraph(g.nodes, turned))
+
+
+def events_page_totals(spark, sf_dir):
+    page = eventlog.event_page(tables.event_log(spark, sf_dir), types=("node_created", "edge_deleted"), limit=900, offset=20)
+    return spark.createDataFrame([(page["total"], page["limit"], page["offset"])], "total bigint, `limit` int, `offset` int")
 
 
 def _snapshot(part, until=True):
@@ -204,10 +249,6 @@ def dfs_order(spark, sf_dir):
     return traverse.dfs(key_graph(spark, sf_dir), "C0", 3)
 
 
-def topological(spark, sf_dir):
-    return order.topological_order(small(spark, sf_dir))
-
-
 QUERIES = {
     "nodes_by_type": lambda s, d: stats.type_counts(tables.key_nodes(s, d)),
     "graph_stats": lambda s, d: stats.stats(key_graph(s, d)),
@@ -240,17 +281,26 @@ QUERIES = {
     "impact_by_type": _impact(True),
     "shortest_path_cost": path_costs,
     "shortest_path_nodes": shortest_path,
-    "all_paths": _all_paths(key_graph, "C0", "P0", 4),
-    "all_paths_flow": _all_paths(flow_graph, "u0", "u7", 2),
+    "all_paths": all_paths,
+    "all_paths_flow": all_paths_flow,
+    "path_edges": path_edges,
+    "lineage_totals": lineage_totals,
+    "lineage_edges": lineage_edges,
+    "node_detail": node_detail,
+    "structure_summary": structure_summary,
+    "metadata": metadata,
+    "matrix_analysis": matrix_analysis,
     "matrix_cells": lambda s, d: M.cells(flow_graph(s, d)),
     "matrix_density": lambda s, d: M.density(flow_graph(s, d)).withColumn("density", F.round("density", 9)),
-    "two_hop": lambda s, d: M.two_hop(small(s, d)),
-    "components": lambda s, d: M.component_sizes(LineageGraph(tables.key_nodes(s, d), tables.key_edges(s, d).filter("relation in ('depends_on', 'deploys_on')"))),
+    "two_hop": lambda s, d: M.two_hop(flow_graph(s, d)),
+    "components": lambda s, d: M.component_sizes(key_graph(s, d)),
     "topo_levels": lambda s, d: order.levels(key_graph(s, d)),
-    "has_cycle": lambda s, d: order.has_cycle(key_graph(s, d)),
-    "topological_order": topological,
+    "has_cycle": lambda s, d: order.has_cycle(flow_graph(s, d)),
+    "topological_order": lambda s, d: order.level_order(key_graph(s, d)),
+    "lexical_order": lexical_order,
     "dfs_order": dfs_order,
     "events_page": events_page,
+    "events_page_totals": events_page_totals,
     "entity_timeline": lambda s, d: eventlog.entity_timeline(tables.event_log(s, d), "u5", 500).select("seq", "event_type", "occurred_at"),
     "timeline_bounds": lambda s, d: eventlog.bounds(tables.event_log(s, d)),
     "snapshot_nodes_at": _snapshot(0),
@@ -278,6 +328,11 @@ _DIST = f"""WITH RECURSIVE {FLOW}, a AS ({adj("fe", "out")}),
 best(node_id, cost) USING KEY (node_id) AS (SELECT 'u0', 0.0::DOUBLE UNION
  SELECT dst, min(c) FROM (SELECT a.dst, best.cost + a.weight AS c FROM best JOIN a ON a.src = best.node_id) x LEFT JOIN recurring.best r ON r.node_id = x.dst
  WHERE r.cost IS NULL OR c < r.cost GROUP BY dst)"""
+_LEVELS = "w AS (SELECT id, 0 AS level FROM kn UNION SELECT target_id, level + 1 FROM w JOIN ke ON source_id = w.id), l AS (SELECT id, max(level) AS level FROM w GROUP BY 1)"
+# nodes on cycles reach themselves; neither they nor what they reach has a place in an order
+_CYCLE = """de AS (SELECT source_id a, target_id b FROM fe WHERE directed), rr AS (SELECT a, b FROM de UNION SELECT rr.a, de.b FROM rr JOIN de ON rr.b = de.a),
+ on_cycle AS (SELECT a AS id FROM rr WHERE a = b), after AS (SELECT id FROM on_cycle UNION SELECT b FROM rr WHERE a IN (FROM on_cycle)),
+ cy AS (SELECT (SELECT count(*) FROM on_cycle) > 0 AS has_cycle, count(*) AS topo_length FROM fn WHERE id NOT IN (FROM after))"""
 
 ORACLE_SQL = {
     "nodes_by_type": f"WITH {KEY} SELECT type, count(*) AS n FROM kn GROUP BY 1",
@@ -307,17 +362,35 @@ ORACLE_SQL = {
     "impact_summary": f"{_IMPACT} SELECT (SELECT count(*) FROM o WHERE depth = 1) AS direct_downstream, (SELECT count(*) FROM o WHERE depth > 0) AS total_downstream, (SELECT count(*) FROM i WHERE depth = 1) AS direct_upstream, (SELECT count(*) FROM i WHERE depth > 0) AS total_upstream, (SELECT max(depth) FROM o) AS max_depth",
     "impact_by_type": f"{_IMPACT} SELECT type, count(*) AS n FROM o JOIN kn ON id = node_id WHERE depth > 0 GROUP BY 1",
     "shortest_path_cost": f"{_DIST} SELECT node_id, round(cost, 6) AS cost FROM best",
-    "all_paths": paths_sql(KEY, "ke", "C0", "P0", 4),
-    "all_paths_flow": paths_sql(FLOW, "fe", "u0", "u7", 2),
+    "all_paths": paths_sql(KEY, "ke", "C0", "(SELECT min(y.target_id) FROM ke x JOIN ke y ON x.target_id = y.source_id WHERE x.source_id = 'C0' AND y.target_id LIKE 'P%')", 4) + PATHS,
+    "all_paths_flow": paths_sql(FLOW, "fe", "u0", "'u7'", 2) + PATHS,
+    "path_edges": paths_sql(FLOW, "fe", "u0", "'u7'", 2) + " SELECT id, source_id, target_id FROM fe WHERE id IN (SELECT unnest(e) FROM f)",
+    "lineage_totals": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'P0', 3, 'in', name='i')}, {bfs_sql('ke', 'P0', 3, 'out', name='o')} SELECT (SELECT count(*) FROM i WHERE depth > 0) AS upstream_count, (SELECT count(*) FROM o WHERE depth > 0) AS downstream_count, false AS truncated",
+    "lineage_edges": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'P0', 2, 'in', name='i')}, {bfs_sql('ke', 'P0', 2, 'out', name='o')}, n AS (SELECT node_id FROM i UNION SELECT node_id FROM o) SELECT id, source_id, target_id FROM ke WHERE source_id IN (FROM n) AND target_id IN (FROM n)",
+    "node_detail": f"""WITH RECURSIVE {FLOW}, {LOG}, {bfs_sql("fe", "u5", 10, "in", name="i")}, {bfs_sql("fe", "u5", 10, "out", name="o")}
+ SELECT id, id AS name, 'account' AS type, (SELECT count(*) FROM fe WHERE target_id = 'u5' OR (source_id = 'u5' AND NOT directed)) AS in_degree, (SELECT count(*) FROM fe WHERE source_id = 'u5' OR (target_id = 'u5' AND NOT directed)) AS out_degree,
+ (SELECT count(*) FROM o WHERE depth = 1) AS direct_downstream, (SELECT count(*) FROM o WHERE depth > 0) AS total_downstream, (SELECT count(*) FROM i WHERE depth = 1) AS direct_upstream, (SELECT count(*) FROM i WHERE depth > 0) AS total_upstream,
+ (SELECT max(depth) FROM o) AS max_depth, (SELECT count(*) FROM ev WHERE entity_id = 'u5') AS event_count FROM fn WHERE id = 'u5'""",
+    "structure_summary": f"WITH RECURSIVE {FLOW}, {_CYCLE}, {_STATS('fn', 'fe').replace('SELECT count(*) AS node_count', 'SELECT (SELECT has_cycle FROM cy) AS has_cycle, (SELECT topo_length FROM cy) AS topo_length, count(*) AS node_count')}",
+    "metadata": f"""WITH RECURSIVE {FLOW}, st AS (WITH {_STATS("fn", "fe")})
+ SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}', '{w}')" for k, v, w in detail.fixed_facts(Limits()))}) AS t(kind, value, label)
+ UNION ALL SELECT 'stat', 'node_count', CAST(node_count AS VARCHAR) FROM st UNION ALL SELECT 'stat', 'edge_count', CAST(edge_count AS VARCHAR) FROM st
+ UNION ALL SELECT 'stat', 'max_degree', CAST(max_degree AS VARCHAR) FROM st UNION ALL SELECT 'stat', 'isolated_count', CAST(isolated_count AS VARCHAR) FROM st
+ UNION ALL SELECT 'stat', 'avg_degree', CAST(avg_degree AS VARCHAR) FROM st""",
+    "matrix_analysis": f"""WITH RECURSIVE {FLOW}, n AS (SELECT id FROM fn WHERE id IN ({", ".join(f"'u{i}'" for i in range(12))})), e AS (SELECT source_id a, target_id b FROM fe WHERE source_id IN (FROM n) AND target_id IN (FROM n)),
+ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), c AS (SELECT b, min(a) AS c FROM r GROUP BY 1), s AS (SELECT c, count(*) AS k FROM c GROUP BY 1)
+ SELECT (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count, round((SELECT count(*) FROM e)::DOUBLE / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)), 9) AS density, (SELECT count(*) FROM s) AS component_count, (SELECT max(k) FROM s) AS largest_component""",
     "matrix_cells": f"WITH {FLOW}, c AS (SELECT source_id i, target_id j, id, weight, directed FROM fe UNION ALL SELECT target_id, source_id, id, weight, directed FROM fe WHERE NOT directed) SELECT i, j, weight FROM c QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY CASE WHEN i < j THEN 0 ELSE directed::INT END DESC, id DESC) = 1",
     "matrix_density": f"WITH {FLOW} SELECT (SELECT count(*) FROM fn) AS node_count, (SELECT count(*) FROM fe) AS edge_count, round((SELECT count(*) FROM fe)::DOUBLE / ((SELECT count(*) FROM fn) * ((SELECT count(*) FROM fn) - 1)), 9) AS density",
-    "two_hop": f"WITH {KEY}, c AS (SELECT DISTINCT source_id i, target_id j FROM ke WHERE relation IN ('depends_on', 'deploys_on')) SELECT a.i, b.j, count(*) AS n FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2",
-    "components": f"""WITH RECURSIVE {KEY}, e AS (SELECT source_id a, target_id b FROM ke WHERE relation IN ('depends_on', 'deploys_on')), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    "two_hop": f"WITH {FLOW}, c AS (SELECT source_id i, target_id j FROM fe UNION SELECT target_id, source_id FROM fe WHERE NOT directed) SELECT a.i, b.j, count(*) AS n FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2",
+    "components": f"""WITH RECURSIVE {KEY}, u AS (SELECT source_id a, target_id b FROM ke UNION ALL SELECT target_id, source_id FROM ke),
  r AS (SELECT id AS root, id FROM kn WHERE type = 'server' UNION SELECT root, b FROM r JOIN u ON a = id),
  l AS (SELECT id, min(root) AS root FROM r GROUP BY 1), s AS (SELECT kn.id, coalesce(l.root, kn.id) AS root FROM kn LEFT JOIN l USING (id))
  SELECT min(id) AS component, count(*) AS size FROM s GROUP BY root""",
-    "topo_levels": f"WITH RECURSIVE {KEY}, w AS (SELECT id, 0 AS level FROM kn UNION SELECT target_id, level + 1 FROM w JOIN ke ON source_id = w.id) SELECT id, max(level) AS level FROM w GROUP BY 1",
-    "has_cycle": f"WITH {KEY} SELECT false AS has_cycle, count(*) AS topo_length FROM kn",
+    "topo_levels": f"WITH RECURSIVE {KEY}, {_LEVELS} SELECT id, level FROM l",
+    "topological_order": f"WITH RECURSIVE {KEY}, {_LEVELS} SELECT id, level, row_number() OVER (ORDER BY level, id) - 1 AS ord FROM l",
+    "has_cycle": f"WITH RECURSIVE {FLOW}, {_CYCLE} SELECT has_cycle, topo_length FROM cy",
+    "events_page_totals": f"WITH {LOG} SELECT count(*) AS total, 500 AS \"limit\", 20 AS \"offset\" FROM ev WHERE event_type IN ('node_created', 'edge_deleted')",
     "events_page": f"WITH {LOG} SELECT seq, event_type, entity_id, occurred_at FROM ev WHERE event_type IN ('node_created', 'edge_deleted') ORDER BY seq DESC LIMIT 100 OFFSET 20",
     "entity_timeline": f"WITH {LOG} SELECT seq, event_type, occurred_at FROM ev WHERE entity_id = 'u5' ORDER BY seq DESC LIMIT 500",
     "timeline_bounds": "SELECT count(*) AS count, min(ts) AS earliest, max(ts) AS latest FROM events",

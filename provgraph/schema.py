@@ -12,6 +12,7 @@ EVENT_TYPES = ("node_created", "node_updated", "node_deleted", "edge_created", "
 NODES = "id string, name string, type string, properties string, created_at timestamp_ntz, updated_at timestamp_ntz"
 EDGES = "id string, source_id string, target_id string, relation string, weight double, directed boolean, properties string, created_at timestamp_ntz, updated_at timestamp_ntz"
 EVENTS = "seq bigint, event_type string, entity_type string, entity_id string, payload string, before string, actor string, reason string, occurred_at timestamp_ntz"
+CHECKPOINTS = "id string, last_seq bigint, node_count bigint, edge_count bigint, created_at timestamp_ntz"
 NODE_PAYLOAD = "id string, name string, type string, properties string"
 EDGE_PAYLOAD = "id string, source_id string, target_id string, relation string, weight double, directed boolean, properties string"
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from provgraph.errors import ValidationError
 from provgraph.functions.validation import require_valid
-from provgraph.schema import EVENT_TYPES, EVENTS, EDGES, NODES
+from provgraph.schema import CHECKPOINTS, EDGES, EVENT_TYPES, EVENTS, NODES
 
 
 class EventLog:
@@ -45,9 +48,10 @@ class EventLog:
         last = self.max_seq()
         numbered = filled.withColumn("seq", (F.row_number().over(Window.orderBy("position")) + last).cast("bigint"))
         numbered.select(*self.spark.createDataFrame([], EVENTS).columns).write.mode("append").parquet(f"{self.path}/events")
-        return self.max_seq()
+        return last + batch.count()
 
     def max_seq(self) -> int:
+        """The last number; Parquet's statistics answer it without a scan."""
         return self.events().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
 
     def count(self) -> int:
@@ -57,25 +61,48 @@ class EventLog:
         return range_of(self.events(), from_seq, until)
 
     def save_checkpoint(self, nodes: DataFrame, edges: DataFrame, last_seq: int) -> None:
-        """A snapshot of both tables as of ``last_seq``."""
+        """A snapshot of both tables as of ``last_seq``.
+
+        Its row (id, last_seq, counts, created_at) is written last: a snapshot
+        without one, such as a crash leaves, is not read.
+        """
         pad = lambda df, ddl: df.sparkSession.createDataFrame([], ddl).unionByName(df, allowMissingColumns=True)
-        target = f"{self.path}/checkpoints/last_seq={last_seq}"
-        pad(nodes, NODES).write.mode("overwrite").parquet(f"{target}/part=nodes")
-        pad(edges, EDGES).write.mode("overwrite").parquet(f"{target}/part=edges")
+        name = uuid.uuid4().hex
+        target = f"{self.path}/checkpoints/{name}"
+        for part, df, ddl in (("nodes", nodes, NODES), ("edges", edges, EDGES)):
+            pad(df, ddl).write.parquet(f"{target}/{part}")
+        counts = [self.spark.read.parquet(f"{target}/{part}").count() for part in ("nodes", "edges")]
+        row = self.spark.createDataFrame([(name, last_seq, *counts)], "id string, last_seq bigint, node_count bigint, edge_count bigint")
+        row.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{self.path}/checkpoint_rows")
+
+    def checkpoints(self) -> DataFrame:
+        """(id, last_seq, node_count, edge_count, created_at) of whole ones."""
+        if not self._exists("checkpoint_rows"):
+            return self.spark.createDataFrame([], CHECKPOINTS)
+        return self.spark.read.schema(CHECKPOINTS).parquet(f"{self.path}/checkpoint_rows")
 
     def checkpoint_seqs(self) -> list[int]:
-        if not self._exists("checkpoints"):
-            return []
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/checkpoints")
-        found = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in found)
-
-    def latest_checkpoint(self, not_after: int | None = None) -> tuple[int, DataFrame, DataFrame] | None:
-        seqs = [s for s in self.checkpoint_seqs() if not_after is None or s <= not_after]
-        if not seqs:
-            return None
-        at = f"{self.path}/checkpoints/last_seq={seqs[-1]}"
-        return seqs[-1], self.spark.read.schema(NODES).parquet(f"{at}/part=nodes"), self.spark.read.schema(EDGES).parquet(f"{at}/part=edges")
+        return sorted(r.last_seq for r in self.checkpoints().select("last_seq").collect())  # one small row a checkpoint
+
+    def latest_checkpoint(self, not_after=None) -> tuple[int, DataFrame, DataFrame] | None:
+        """(last_seq, nodes, edges) of the greatest last_seq among those made
+        not later than ``not_after``.
+
+        One that cannot be read, or does not hold what its row says, is passed
+        over for the one before: the log alone is enough to go on.
+        """
+        rows = self.checkpoints()
+        if not_after is not None:
+            rows = rows.filter(F.col("created_at") <= not_after)
+        for row in rows.orderBy(F.desc("last_seq"), F.desc("created_at"), "id").toLocalIterator():
+            at = f"{self.path}/checkpoints/{row.id}"
+            nodes, edges = (self.spark.read.schema(ddl).parquet(f"{at}/{part}") if self._exists(f"checkpoints/{row.id}/{part}") else None for part, ddl in (("nodes", NODES), ("edges", EDGES)))
+            try:
+                if nodes is not None and edges is not None and (nodes.count(), edges.count()) == (row.node_count, row.edge_count):
+                    return row.last_seq, nodes, edges
+            except Py4JJavaError:  # a file that is no Parquet
+                pass
+        return None
 
     def maybe_checkpoint(self, interval: int = 500) -> bool:
         """Save a snapshot when ``interval`` events have come since the last."""
@@ -96,13 +123,29 @@ def range_of(log: DataFrame, from_seq: int = 0, until=None) -> DataFrame:
     return rows.orderBy("seq")
 
 
+def event_page(log: DataFrame, limit: int = 50, offset: int = 0, **filters) -> dict:
+    """items, the total before paging, and the limit and offset in effect."""
+    rows = matching(log, **{k: v for k, v in filters.items() if k != "desc"})
+    limit, offset = page_limit(limit), max(0, offset)
+    return {"items": list_events(log, limit=limit, offset=offset, **filters), "total": rows.count(), "limit": limit, "offset": offset}
+
+
+def page_limit(limit: int) -> int:
+    return 50 if limit <= 0 else min(limit, 500)
+
+
 def list_events(log: DataFrame, entity_id: str = "", actor: str = "", types=(), start=None, end=None, desc: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of the log, newest first by default; limit 1 to 500."""
+    log = matching(log, entity_id, actor, types, start, end)
+    return log.orderBy(F.desc("seq") if desc else F.asc("seq")).offset(max(0, offset)).limit(page_limit(limit))
+
+
+def matching(log: DataFrame, entity_id: str = "", actor: str = "", types=(), start=None, end=None) -> DataFrame:
+    """The events that meet all conditions; both bounds are included."""
     if start is not None and end is not None and start > end:
         raise ValidationError("start is after end")
     if unknown := [t for t in types if t not in EVENT_TYPES]:
         raise ValidationError(f"unknown event types {unknown}")
-    limit = 50 if limit <= 0 else min(limit, 500)
     for given, name in ((entity_id, "entity_id"), (actor, "actor")):
         if given:
             log = log.filter(F.col(name) == given)
@@ -112,7 +155,7 @@ def list_events(log: DataFrame, entity_id: str = "", actor: str = "", types=(),
         log = log.filter(F.col("occurred_at") >= start)
     if end is not None:
         log = log.filter(F.col("occurred_at") <= end)
-    return log.orderBy(F.desc("seq") if desc else F.asc("seq")).offset(max(0, offset)).limit(limit)
+    return log
 
 
 def entity_timeline(log: DataFrame, entity_id: str, limit: int = 50) -> DataFrame:

@@ -12,7 +12,7 @@ from provgraph.functions.validation import event_violations
 from provgraph.operators import diff, replay
 from provgraph.operators.commands import Commands
 from provgraph.schema import EVENTS
-from provgraph.sources.eventlog import EventLog, bounds, list_events
+from provgraph.sources.eventlog import EventLog, bounds, event_page, list_events
 
 T1 = dt.datetime(2026, 1, 1, 8)
 HOUR = dt.timedelta(hours=1)
@@ -30,7 +30,11 @@ def log(spark, rows):
     return spark.createDataFrame([(i + 1, kind, kind.split("_")[0], e, p, None, "t", "", at) for i, (kind, e, p, at) in enumerate(rows)], EVENTS)
 
 
-FIVE = [("node_created", "app", node("app"), T1), ("node_created", "db", node("db"), T1), ("edge_created", "e1", edge("e1", "app", "db"), T1), ("node_updated", "app", node("app", risk_level="high"), T1 + HOUR), ("edge_deleted", "e1", None, T1 + 2 * HOUR)]
+# a till pays into a vault until the payment is withdrawn; a guard owns the vault
+PAID = [
+    ("node_created", "till", node("till"), T1), ("node_created", "vault", node("vault"), T1), ("node_created", "guard", node("guard"), T1), ("edge_created", "pays", edge("pays", "till", "vault"), T1),
+    ("edge_created", "keeps", edge("keeps", "guard", "vault"), T1), ("node_updated", "vault", node("vault", limit=500), T1 + HOUR / 2), ("edge_deleted", "pays", None, T1 + 3 * HOUR),
+]
 
 
 def ids(df):
@@ -38,17 +42,17 @@ def ids(df):
 
 
 def test_time_travel_and_diff(spark):
-    events = log(spark, FIVE)
-    sizes = [tuple(x.count() for x in replay.snapshot_at(events, t)) for t in (T1 - HOUR, T1, T1 + HOUR, T1 + 2 * HOUR)]
-    assert sizes == [(0, 0), (2, 1), (2, 1), (2, 0)]
-    d = diff.diff_between(events, T1, T1 + 2 * HOUR)
-    assert [(r.id, r.field, r.before, r.after) for r in d["node_fields"].collect()] == [("app", "properties.risk_level", None, '"high"')]
-    assert [(r.id, r.change) for r in d["edges"].collect()] == [("e1", "removed")]
+    events = log(spark, PAID)
+    sizes = [tuple(x.count() for x in replay.snapshot_at(events, t)) for t in (T1 - HOUR, T1, T1 + HOUR, T1 + 3 * HOUR)]
+    assert sizes == [(0, 0), (3, 2), (3, 2), (3, 1)]
+    d = diff.diff_between(events, T1, T1 + 3 * HOUR)
+    assert [(r.id, r.field, r.before, r.after) for r in d["node_fields"].collect()] == [("vault", "properties.limit", None, "500")]
+    assert [(r.id, r.change) for r in d["edges"].collect()] == [("pays", "removed")]
     s = diff.summary(d).first()
     assert (s.edges_removed, s.nodes_modified, s.total) == (1, 1, 2)
     assert diff.summary(diff.diff_between(events, T1, T1)).first().total == 0
     shuffled = events.orderBy(F.rand(3))
-    assert ids(replay.fold(shuffled)[0]) == {"app", "db"}
+    assert ids(replay.fold(shuffled)[0]) == {"till", "vault", "guard"}
     with pytest.raises(ValidationError):
         diff.diff_between(events, T1 + HOUR, T1)
 
@@ -60,17 +64,51 @@ def test_nested_properties_compare_by_value(spark):
 
 
 def test_cascade_and_strict(spark):
-    again = [*FIVE[:3], ("node_deleted", "db", None, T1), ("node_created", "db", node("db"), T1)]
+    again = [*PAID[:5], ("node_deleted", "vault", None, T1), ("node_created", "vault", node("vault"), T1)]
     nodes, edges = replay.fold(log(spark, again))
-    assert ids(nodes) == {"app", "db"} and ids(edges) == set()
-    early = log(spark, [("edge_created", "e1", edge("e1", "app", "db"), T1), *FIVE[:2]])
-    assert {r.node_id for r in replay.violations(early).collect()} == {"app", "db"}
+    assert ids(nodes) == {"till", "vault", "guard"} and ids(edges) == set()
+    early = log(spark, [PAID[3], *PAID[:3]])
+    assert {r.node_id for r in replay.violations(early).collect()} == {"till", "vault"}
     with pytest.raises(ValidationError):
         replay.snapshot_at(early, T1)
-    bad = log(spark, [("node_created", "x", "{", T1), ("node_created", "x", node("y"), T1), ("edge_created", "e", edge("e", "a", "a"), T1), ("node_renamed", "x", node("x"), T1), ("node_created", "x", None, T1), *FIVE])
+    bad = log(spark, [("node_created", "x", "{", T1), ("node_created", "x", node("y"), T1), ("edge_created", "e", edge("e", "a", "a"), T1), ("node_renamed", "x", node("x"), T1), ("node_created", "x", None, T1), *PAID])
     assert [r.violation for r in event_violations(bad).orderBy("seq").collect()] == ["payload unreadable", "payload id differs", "self loop", "unknown event type", "no payload"]
 
 
+def test_restore_takes_all_or_nothing(spark):
+    nodes, edges = replay.fold(log(spark, PAID))
+    assert replay.restore(nodes, edges) == (nodes, edges)
+    for n, e in ((nodes.filter("id != 'guard'"), edges), (nodes.union(nodes), edges), (nodes, edges.union(edges)), (nodes.withColumn("type", F.lit("ship")), edges), (nodes, edges.withColumn("weight", F.lit(-1.0))), (nodes, edges.union(edges.withColumn("id", F.lit("twin"))))):
+        with pytest.raises(ValidationError):
+            replay.restore(n, e)
+
+
+def test_pages_and_checkpoints(spark, tmp_path):
+    store = EventLog(spark, tmp_path.as_uri())
+    store.append(log(spark, PAID).withColumn("position", F.col("seq").cast("int")))
+    page = event_page(store.events(), limit=900, offset=2, types=("node_created", "edge_created"))
+    assert (page["total"], page["limit"], page["offset"]) == (5, 500, 2) and [r.seq for r in page["items"].collect()] == [3, 2, 1]
+    assert event_page(store.events(), limit=0)["limit"] == 50
+    state = replay.fold(store.events())
+    assert store.latest_checkpoint() is None
+    store.save_checkpoint(*state, 5)
+    first = store.checkpoints().first()
+    store.save_checkpoint(*state, 7)
+    assert store.latest_checkpoint()[0] == 7 and store.checkpoint_seqs() == [5, 7]
+    assert store.latest_checkpoint(first.created_at)[0] == 5
+    # a snapshot that lost a part, one whose file is broken, one that a crash left without its row
+    newest = store.checkpoints().filter("last_seq = 7").first()
+    folder = tmp_path / "checkpoints" / newest.id / "nodes"
+    for file in folder.glob("*.parquet"):
+        file.write_bytes(b"no parquet")
+    for crc in folder.glob(".*.crc"):
+        crc.unlink()
+    (tmp_path / "checkpoints" / "half" / "nodes").mkdir(parents=True)
+    assert store.latest_checkpoint()[0] == 5
+    for x, y in zip(state, replay.replay_live(store)):
+        assert ids(x) == ids(y)
+
+
 def test_commands_and_checkpoints(spark, tmp_path):
     store = EventLog(spark, tmp_path.as_uri())
     c = Commands(store, checkpoint_interval=0)
@@ -100,8 +138,8 @@ def test_commands_and_checkpoints(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     from provgraph.streaming.fold import fold_stream, read_stream
 
-    events = log(spark, [*FIVE[:3], ("node_deleted", "db", None, T1), ("node_created", "db", node("db"), T1)])
-    for part in ("seq in (2, 5)", "seq in (1, 3)", "seq = 4"):
+    events = log(spark, [*PAID[:4], ("node_deleted", "vault", None, T1), ("node_created", "vault", node("vault"), T1)])
+    for part in ("seq in (2, 6)", "seq in (1, 3, 4)", "seq = 5"):
         events.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     query = fold_stream(read_stream(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/state")
     query.awaitTermination(120)
@@ -118,3 +156,14 @@ def test_scalars(spark):
     r = one.select(scalars.risk_of(F.col("p")), scalars.merge_properties(F.col("o"), F.col("n")), scalars.middle_ellipsis(F.col("t"), 9)).first()
     assert r[0] == "high" and json.loads(r[1]) == {"a": 1, "c": 3} and r[2] == "abcd…wxyz"
     assert scalars.direction_of(" Upstream ") == "in" and scalars.relations("calls, owns,calls") == ["calls", "owns"]
+
+
+def test_formats(spark):
+    times = spark.sql("select timestamp'2026-03-04 20:05:06+00:00' as t, timestamp'2026-03-05 20:05:06+00:00' as now, 1234567.5 as n, cast(null as timestamp) as none")
+    f = scalars
+    r = times.select(f.format_local(F.col("t")), f.format_short(F.col("t")), f.format_date(F.col("t")), f.format_offset(F.col("t")), f.format_local(F.col("none")), f.format_offset(F.col("none")), f.format_number(F.col("n")), f.format_number(F.lit(1200)), f.format_decimal(F.lit(2.50)), f.format_decimal(F.lit(100)), f.relative_time(F.col("t"), F.col("now"))).first()
+    assert tuple(r) == ("2026-03-05 04:05:06", "03-05 04:05", "2026-03-05", "2026-03-05T04:05:06+08:00", "—", "", "1,234,567.5", "1,200", "2.5", "100", "1 days ago")
+    words = spark.createDataFrame([('{"risk":"致命"}',), ('{"RISK_LEVEL":" Mid "}',), ('{"风险":"低"}',), ('{"risk":"?"}',)], "p string")
+    assert [x[0] for x in words.select(f.risk_of(F.col("p"))).collect()] == ["critical", "medium", "low", None]
+    assert [x[0] for x in spark.createDataFrame([(0,), (4,), (900,)], "d int").select(f.node_size(F.col("d"))).collect()] == [20.0, 32.0, 46.0]
+    assert [x[0] for x in spark.createDataFrame([("node_updated",), ("?",)], "e string").select(f.event_label(F.col("e"))).collect()] == ["Node updated", None]
