@@ -106,7 +106,7 @@ _ENDINGS = frozenset("com org net edu gov mil int info biz name pro app dev xyz
 _COMMON = frozenset(
     "the a an this that these those my your his her its our their me you him us them it i we he she they one all any some each both no not now then here there home work school once least most last first "
     "is are was were be been being am do does did has have had can could will would may look looks looked looking see seen find found meet met stay stayed live lives lived arrive arrived stop stopped stand stands "
-    "start started end ended good bad better best and or but if so as in on at to of by for from with up out off over under about online available hosted sold made held placed point points dot dots page site "
+    "start started end ended good bad better best and or but if so as in on at to of by for from with up out off over under about online available hosted sold made held placed point points dot dots page site more less much many today details information read visit visited "
     "el la los las un una de del en y o que es le les des et ou un une du est der die das ein eine und oder ist im am".split()
 )
 _HIDDEN = frozenset("­​‌‍⁠﻿")

@@ -170,7 +170,7 @@ def test_op6_hot_and_null_ids(spark):
     got = cut.toPandas()
     assert cut.columns[0] == "id" and len(got) == 600 and cut.filter("id is null").count() == 200 and cut.filter(f"id >= {2**60}").select("id").distinct().count() == 100
     assert (got.groupby("bin_id")["length"].sum() <= got.groupby("bin_id")["capacity"].first()).all()
-    assert (got["bin_id"] >> 32).value_counts().max() < 250
+    assert (got["bin_id"].astype("int64") // 2**32).value_counts().max() < 250
 
 
 def test_op8(spark, folder):
@@ -252,7 +252,7 @@ def matches_by_force(rows, items):
 def test_op9_recall_of_paraphrases(spark):
     """Words replaced at 10 to 40 %, sentences put in another order."""
     rng = random.Random(31)
-    word = lambda: f"w{int(rng.paretovariate(0.6)) % 3000}"  # noqa: E731  some words are common
+    word = lambda: f"c{rng.randrange(25)}" if rng.random() < 0.35 else f"w{rng.randrange(4000)}"  # noqa: E731  some words are common
     prose = lambda n: " ".join(word() + ("." if i % 11 == 10 else "") for i in range(n)) + "."
     items = [(i, prose(rng.randint(20, 120))) for i in range(30)]
     rows = [(i, prose(rng.randint(60, 400))) for i in range(250)]
