@@ -86,10 +86,10 @@ def base_columns(text: Column, w: Column) -> dict[str, Column]:
     }
 
 
-def _windows(hashes: Column) -> Column:
-    """Hashes of all windows of three words."""
-    two = F.zip_with(*_pairs(hashes), lambda a, b: F.xxhash64(a, b))
-    return F.zip_with(F.slice(two, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), _pairs(hashes, 2)[1], lambda p, c: F.xxhash64(p, c))
+def _windows(hashes: str) -> Column:
+    """Hashes of all windows of three words; ``hashes`` is a column's name."""
+    of = lambda h, i: F.when(i > 1, F.xxhash64(F.get(F.col(hashes), i - 2), F.get(F.col(hashes), i - 1), h))
+    return F.slice(F.transform(hashes, of), F.lit(3), F.greatest(F.size(hashes) - 2, F.lit(0)))
 
 
 #: Up to so many different repeated windows, membership is tested one by one.
@@ -124,11 +124,11 @@ def quality_rules(docs: DataFrame, weights: list[float], threshold: float = THRE
     rows = docs.select(*[docs[c] for c in keep], text_of(docs).alias(PREFIX + "text"))
     text = rows[PREFIX + "text"]
     rows = rows.withColumn(PREFIX + "words", words(text)).withColumn(PREFIX + "hashes", token_hashes(text))
-    rows = rows.withColumn(PREFIX + "windows", F.transform(PREFIX + "words", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn(PREFIX + "windows", _windows(rows[PREFIX + "windows"]))
+    rows = rows.withColumn(PREFIX + "word_hashes", F.transform(PREFIX + "words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn(PREFIX + "windows", _windows(PREFIX + "word_hashes"))
     hashes = rows[PREFIX + "hashes"]
-    total = F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.get(table, _bucket(bits, h)))
-    total += F.aggregate(F.zip_with(*_pairs(hashes), lambda a, b: F.get(table, _bucket(bits, a, b))), F.lit(0.0), lambda s, x: s + x)
+    pair = lambda h, i: F.when(i > 0, F.get(table, _bucket(bits, F.get(hashes, i - 1), h))).otherwise(0.0)
+    total = F.aggregate(F.transform(hashes, lambda h, i: F.get(table, _bucket(bits, h)) + pair(h, i)), F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumns(base_columns(text, rows[PREFIX + "words"]) | {"score": F.when(F.size(hashes) == 0, 0.0).otherwise(total / (2 * F.size(hashes) - 1))})
     rows = _with_repeats(rows, PREFIX + "windows", "n_repeat_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
