@@ -27,3 +27,7 @@ class EdgeExists(LineageError):
 
 class SubgraphTooLarge(LineageError):
     """A dense matrix of more nodes than the limit was asked for."""
+
+
+class QueryTimeout(LineageError):
+    """A query took longer than its limit."""

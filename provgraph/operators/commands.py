@@ -12,6 +12,7 @@ from provgraph.errors import EdgeExists, NodeExists, ValidationError
 from provgraph.functions.validation import edge_rules, node_rules, require_valid
 from provgraph.operators.replay import replay_live
 from provgraph.plans.graph import LineageGraph
+from provgraph.plans.iterate import numbered
 from provgraph.schema import EDGE_PAYLOAD, NODE_PAYLOAD
 
 BATCH = "position int, event_type string, entity_type string, entity_id string, payload string, before string, actor string, reason string"
@@ -28,7 +29,10 @@ class Commands:
 
     def _append(self, events: list[tuple], actor: str, reason: str) -> int:
         rows = [(i, kind, kind.split("_")[0], entity, payload, before, actor or "anonymous", (reason or "")[:512]) for i, (kind, entity, payload, before) in enumerate(events)]
-        last = self.log.append(self.log.spark.createDataFrame(rows, BATCH))
+        return self._write(self.log.spark.createDataFrame(rows, BATCH))
+
+    def _write(self, batch: DataFrame) -> int:
+        last = self.log.append(batch)
         self.log.maybe_checkpoint(self.interval)
         return last
 
@@ -61,11 +65,16 @@ class Commands:
         self._append([("node_updated", id, self._text(new), self._text(old))], actor, reason)
 
     def delete_node(self, id: str, actor: str = "", reason: str = "") -> None:
-        """Edge deletes by id first, then the node's, in one batch."""
+        """Edge deletes by id first, then the node's, in one batch; the edges
+        of a hub stay a table."""
         graph = self.graph()
         old = self._entity(graph.node(id).first(), ("id", "name", "type"))
-        edges = [self._entity(r, EDGE_FIELDS) for r in graph.incident_edges(id).collect()]
-        self._append([*(("edge_deleted", e["id"], None, self._text(e)) for e in edges), ("node_deleted", id, None, self._text(old))], actor, reason)
+        edges = graph.edges.filter((F.col("source_id") == id) | (F.col("target_id") == id))
+        edges = numbered(edges.select(*EDGE_FIELDS, "properties"), ["id"], "position")
+        before = F.struct(*EDGE_FIELDS, F.from_json(F.coalesce("properties", F.lit("{}")), "map<string,variant>").alias("properties"))
+        gone = edges.select(F.col("position").cast("int"), F.lit("edge_deleted").alias("event_type"), F.lit("edge").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("payload"), F.to_json(before).alias("before"))
+        last = gone.agg(F.count(F.lit(1)).cast("int").alias("position")).select("position", F.lit("node_deleted"), F.lit("node"), F.lit(id), F.lit(None).cast("string"), F.lit(self._text(old)))
+        self._write(gone.union(last).withColumns({"actor": F.lit(actor or "anonymous"), "reason": F.lit((reason or "")[:512])}))
 
     def create_edge(self, source_id: str, target_id: str, relation: str, weight: float = 1.0, directed: bool = True, properties: dict | None = None, id: str = "", actor: str = "", reason: str = "") -> str:
         entity = {"id": id.strip() or str(uuid.uuid4()), "source_id": source_id, "target_id": target_id, "relation": relation, "weight": float(weight), "directed": directed, "properties": properties or {}}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.plans.graph import LineageGraph
-from provgraph.plans.iterate import Rounds
+from provgraph.plans.iterate import Rounds, numbered
 
 
 def levels(graph: LineageGraph) -> DataFrame:
@@ -69,15 +69,5 @@ def topological_order(graph: LineageGraph) -> DataFrame:
 
 def level_order(graph: LineageGraph) -> DataFrame:
     """(id, level, ord): a topological order of any size, by level and id; the
-    nodes that no cycle precedes.
-
-    Rows are dealt by ranges of (level, id), numbered within each range, and
-    shifted by how many the ranges before hold: no task sees all.
-    """
-    rounds = Rounds(graph.nodes.sparkSession)
-    dealt = rounds.save(levels(graph).repartitionByRange("level", "id").withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
-    before = counts.withColumn("shift", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select(F.col("part").alias("p"), "shift")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("level", "id")) - 1
-    numbered = dealt.withColumn("place", place).join(F.broadcast(before), F.col("part") == F.col("p"))
-    return numbered.select("id", "level", (F.col("shift") + F.col("place")).alias("ord"))
+    nodes that no cycle precedes."""
+    return numbered(levels(graph), ["level", "id"], "ord")

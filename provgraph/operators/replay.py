@@ -45,13 +45,17 @@ def fold(log: DataFrame, until=None, strict: bool = False, nodes: DataFrame | No
 def violations(log: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(seq, edge_id, node_id): edge puts whose end was not alive then."""
     put = log.filter("event_type in ('edge_created', 'edge_updated')").select("seq", "entity_id", F.from_json("payload", EDGE_PAYLOAD).alias("n"))
-    asked = put.select(F.explode(F.array("n.source_id", "n.target_id")).alias("node_id"), "seq", F.col("entity_id").alias("edge_id"), F.lit(None).cast("boolean").alias("alive"))
-    known = log.filter("entity_type = 'node'").select(F.col("entity_id").alias("node_id"), "seq", F.lit(None).cast("string").alias("edge_id"), (F.col("event_type") != "node_deleted").alias("alive"))
+    asked = put.select(F.explode(F.array("n.source_id", "n.target_id")).alias("node_id"), "seq", F.col("entity_id").alias("edge_id"))
+    known = log.filter("entity_type = 'node'").select(F.col("entity_id").alias("node_id"), "seq", (F.col("event_type") != "node_deleted").alias("alive"))
     if nodes is not None:
-        known = known.union(nodes.select("id", F.lit(0).cast("bigint"), F.lit(None).cast("string"), F.lit(True)))
-    w = Window.partitionBy("node_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = asked.union(known).withColumn("was", F.last("alive", ignorenulls=True).over(w))
-    return seen.filter(F.col("edge_id").isNotNull() & ~F.coalesce("was", F.lit(False))).select("seq", "edge_id", "node_id")
+        known = known.union(nodes.select("id", F.lit(0).cast("bigint"), F.lit(True)))
+    # the spans of numbers in which a node is alive come of its own events alone;
+    # the puts that name it meet them by a join, so that a hot end can be split
+    w = Window.partitionBy("node_id").orderBy("seq")
+    turns = known.withColumn("was", F.lag("alive").over(w)).filter("was is null or was != alive").withColumn("until", F.lead("seq").over(w))
+    spans = turns.filter("alive").select(F.col("node_id").alias("n"), F.col("seq").alias("since"), "until")
+    inside = (F.col("node_id") == F.col("n")) & (F.col("seq") > F.col("since")) & F.coalesce(F.col("seq") < F.col("until"), F.lit(True))
+    return asked.join(spans, inside, "left_anti").select("seq", "edge_id", "node_id")
 
 
 def restore(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 class Rounds:
@@ -27,3 +28,17 @@ class Rounds:
         path = f"{self.base}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of some columns.
+
+    Rows are dealt by ranges of those columns, numbered within each range, and
+    shifted by how many the ranges before hold: no task sees all.
+    """
+    dealt = Rounds(df.sparkSession).save(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
+    before = counts.select(F.col("__part").alias("__p"), (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__shift"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    rows = dealt.withColumn("__place", place).join(F.broadcast(before), F.col("__part") == F.col("__p"))
+    return rows.select(*df.columns, (F.col("__shift") + F.col("__place")).alias(name))

@@ -7,10 +7,10 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from provgraph.errors import ValidationError
 from provgraph.functions.validation import require_valid
+from provgraph.plans.iterate import numbered
 from provgraph.schema import CHECKPOINTS, EDGES, EVENT_TYPES, EVENTS, NODES
 
 
@@ -35,7 +35,8 @@ class EventLog:
 
     def append(self, batch: DataFrame) -> int:
         """Validate all, number in order of ``position``, append; returns the
-        last number. A batch is one command's events, so it is small."""
+        last number. Positions 0, 1, 2 ... are taken as they are; others, or
+        none, are brought in order first."""
         filled = batch
         for name, kind, value in (("payload", "string", None), ("before", "string", None), ("actor", "string", "system"), ("reason", "string", ""), ("occurred_at", "timestamp_ntz", None), ("position", "int", 0)):
             filled = filled.withColumn(name, F.col(name).cast(kind) if name in batch.columns else F.lit(value).cast(kind))
@@ -46,9 +47,12 @@ class EventLog:
         })
         require_valid(filled)
         last = self.max_seq()
-        numbered = filled.withColumn("seq", (F.row_number().over(Window.orderBy("position")) + last).cast("bigint"))
-        numbered.select(*self.spark.createDataFrame([], EVENTS).columns).write.mode("append").parquet(f"{self.path}/events")
-        return last + batch.count()
+        seen = filled.agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("least"), F.max("position").alias("most"), F.count_distinct("position").alias("different")).first()
+        if seen.n and (seen.least, seen.most, seen.different) != (0, seen.n - 1, seen.n):
+            filled = numbered(filled, ["position"], "place").withColumn("position", F.col("place")).drop("place")
+        rows = filled.withColumn("seq", (F.col("position") + last + 1).cast("bigint"))
+        rows.select(*self.spark.createDataFrame([], EVENTS).columns).write.mode("append").parquet(f"{self.path}/events")
+        return last + seen.n
 
     def max_seq(self) -> int:
         """The last number; Parquet's statistics answer it without a scan."""

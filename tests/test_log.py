@@ -6,11 +6,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.errors import EdgeExists, NodeExists, NodeNotFound, ValidationError
+from provgraph.errors import EdgeExists, NodeExists, NodeNotFound, QueryTimeout, ValidationError
 from provgraph.functions import scalars
 from provgraph.functions.validation import event_violations
 from provgraph.operators import diff, replay
 from provgraph.operators.commands import Commands
+from provgraph.plans.timeout import time_limit
 from provgraph.schema import EVENTS
 from provgraph.sources.eventlog import EventLog, bounds, event_page, list_events
 
@@ -167,3 +168,15 @@ def test_formats(spark):
     assert [x[0] for x in words.select(f.risk_of(F.col("p"))).collect()] == ["critical", "medium", "low", None]
     assert [x[0] for x in spark.createDataFrame([(0,), (4,), (900,)], "d int").select(f.node_size(F.col("d"))).collect()] == [20.0, 32.0, 46.0]
     assert [x[0] for x in spark.createDataFrame([("node_updated",), ("?",)], "e string").select(f.event_label(F.col("e"))).collect()] == ["Node updated", None]
+
+
+def test_time_limit(spark):
+    sum_of = lambda n: spark.range(n).select(F.sum(F.sqrt("id"))).first()
+    with pytest.raises(QueryTimeout), time_limit(spark, 0.5):
+        for _ in range(100):
+            sum_of(10**8)
+    with time_limit(spark, 60):
+        assert sum_of(10)
+    with pytest.raises(ZeroDivisionError), time_limit(spark, 60):
+        1 / 0
+    assert sum_of(10)
