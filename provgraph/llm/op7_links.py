@@ -129,7 +129,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int
         if final:
             break
     sums = ranks.groupBy("kind").agg(F.sum("rank").alias("sum"))  # two rows
-    return ranks.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("sum")).alias("rank"))
+    ranks = scratch.save(ranks.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("sum")).alias("rank")))
+    if held:
+        held.drop()
+    return ranks
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rounds: int | None = None, damping: float = DAMPING, edges: DataFrame | None = None) -> DataFrame:
