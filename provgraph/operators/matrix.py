@@ -77,7 +77,7 @@ def components(graph: LineageGraph) -> DataFrame:
         moved = live.join(lead.withColumnsRenamed({"from": "f", "to": "ta"}), F.col("a") == F.col("f")).join(lead.withColumnsRenamed({"from": "g", "to": "tb"}), F.col("b") == F.col("g"))
         live = rounds.save(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a != b").distinct())
     names = labels.groupBy("c").agg(F.min("id").alias("component"))
-    return labels.join(names, "c").select("id", "component")
+    return rounds.finish(labels.join(names, "c").select("id", "component"))
 
 
 def component_sizes(graph: LineageGraph) -> DataFrame:

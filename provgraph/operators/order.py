@@ -20,7 +20,7 @@ def levels(graph: LineageGraph) -> DataFrame:
     while True:
         free = rounds.save(left.join(e.select(F.col("target_id").alias("id")), "id", "left_anti").select("id", F.lit(level).alias("level")))
         if free.isEmpty():
-            return free if out is None else out
+            return rounds.finish(free if out is None else out)
         out = free if out is None else out.union(free)
         left = rounds.save(left.join(free, "id", "left_anti"))
         e = rounds.save(e.join(free.select(F.col("id").alias("source_id")), "source_id", "left_anti"))

@@ -39,7 +39,7 @@ def distances(graph: LineageGraph, start: str, goal: str | None = None, directio
         held = held.union(front)
         if turn % MERGE == 0:
             held = rounds.save(least(held))
-    return rounds.save(least(held)), a
+    return rounds.finish(least(held)), a
 
 
 def shortest_path(graph: LineageGraph, start: str, goal: str, direction: str = "out", relations=(), types=(), max_visit: int = 0) -> DataFrame:

@@ -29,6 +29,13 @@ class Rounds:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write the result apart, and delete the rounds' own tables."""
+        out = Rounds(self.spark).save(df)
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        return out
+
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with each row's place, from 0, in the order of some columns.
