@@ -266,6 +266,7 @@ def test_op9_recall_of_paraphrases(spark):
     got = {(r.doc_id, r.item_id) for r in nine.find_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = matches_by_force(rows, items)
     planted = {w for w in want if w[0] >= 1000}
+    print(f"of {len(planted)} planted matches {len(planted & got)} found")
     assert len(planted) > 70 and len(planted & got) >= 0.9 * len(planted), (len(planted), len(planted & got))
     assert got <= want and not any(d < 1000 for d, _ in got)
 
