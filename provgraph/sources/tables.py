@@ -31,7 +31,10 @@ def key_edges(spark: SparkSession, folder: str) -> DataFrame:
     edges = edge(n, end("N", "n_nationkey"), end("R", "n_regionkey"), "deploys_on")
     edges = edges.union(edge(c, end("C", "c_custkey"), end("N", "c_nationkey"), "depends_on")).union(edge(s, end("S", "s_suppkey"), end("N", "s_nationkey"), "depends_on"))
     edges = edges.union(edge(o, end("C", "o_custkey"), end("O", "o_orderkey"), "owns"))
-    edges = edges.union(edge(li, end("O", "l_orderkey"), end("P", "l_partkey"), "reads_from").distinct()).union(edge(li, end("S", "l_suppkey"), end("P", "l_partkey"), "writes_to").distinct())
+    # pairs of numbers are told apart before they become texts
+    pairs = lambda a, b: li.select(a, b).distinct()
+    edges = edges.union(edge(pairs("l_orderkey", "l_partkey"), end("O", "l_orderkey"), end("P", "l_partkey"), "reads_from"))
+    edges = edges.union(edge(pairs("l_suppkey", "l_partkey"), end("S", "l_suppkey"), end("P", "l_partkey"), "writes_to"))
     return edges.select(F.concat_ws("-", "source_id", "relation", "target_id").alias("id"), "*", F.lit(1.0).alias("weight"), F.lit(True).alias("directed"), F.lit("{}").alias("properties"))
 
 
