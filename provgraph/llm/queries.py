@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from provgraph.llm.op10_spans import op10_sentence_spans
+from provgraph.llm.op11_merkle import op11_merkle_manifest
+from provgraph.llm.op12_simhash import op12_simhash_dedup
+from provgraph.llm.op13_runs import op13_periodic_runs
 from provgraph.llm.op1_classifier import op1_quality_classifier
 from provgraph.llm.op2_sharding import op2_sharding, oracle as oracle2
 from provgraph.llm.op3_pii import op3_pii
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Queries without an entry are tested against brute force in tests/llm.

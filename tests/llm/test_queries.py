@@ -39,7 +39,7 @@ def folder(spark, tmp_path_factory):
     rows += [(400 + i, f"write to kadan at lofel{i} dot com or 10.0.0.{i}, card 4111 1111 1111 1111", "en", "s") for i in range(5)]
     folder = tmp_path_factory.mktemp("data")
     docs = spark.createDataFrame([(*r, 7, 7, 7, 7) for r in rows], "doc_id long, text string, lang string, source string, score int, kept int, piece int, spans int")
-    docs.repartition(5).write.parquet(f"{folder}/documents.parquet")
+    docs.withColumn("n_chars", F.length("text").cast("long")).repartition(5).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(0, prose(40)), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder), rows
