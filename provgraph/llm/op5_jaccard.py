@@ -31,11 +31,12 @@ differ. No link between components is lost, and a group of near copies costs
 its size, not its square. Only a group whose sets nearly link, and none of
 which does, costs a bit comparison (no row) for each pair of a list.
 
-Scale: texts are read in three passes and never shuffled. What is broadcast is
-bounded by parameters: a bit for each of ``2**map_bits`` classes of document
-numbers, and of shingles that occur in several classes (both only spare work;
-full ones would let all pass), and a byte for each of ``2**rank_bits`` classes
-of shingles, which orders the lists. The counts behind them are of every
+Scale: texts are read in three passes and never shuffled. What is broadcast
+grows with the data up to a bound: at least eight bits for each class of equal
+sets, one for each shingle (of which those in several classes are marked), and
+a byte for eight shingles, which orders the lists; 2**31 bits and 2**28 bytes
+at most, which some 10^9 shingles in several classes fill to a half. They only
+spare work: fuller ones let more sets pass to the lists, never fewer. The counts behind them are of every
 shingle of every class; a task combines its own first, and the number of
 ranges that they are dealt to follows their number, so that a range stays
 small. Hot lists are split by Spark's skew join. Nothing else comes to the
@@ -65,7 +66,9 @@ from provgraph.llm.components import connected_components
 from provgraph.llm.hashing import mix, slices, unique_by_row, windows, words_of
 
 SHINGLE, PERCENT = 5, 80
-MAP_BITS, RANK_BITS, ROUNDS, MAX_LIGHT = 26, 23, 3, 24
+ROUNDS, MAX_LIGHT = 3, 24
+#: Most bits of the maps' sizes: 2**31 bits and 2**28 bytes are 256 MB each.
+MOST_BITS, MOST_RANKS = 31, 28
 #: Shingles are counted by their first so many bits, in ranges of about so many.
 TOKEN_BITS, RANGE = 40, 4_000_000
 #: Words of 64 parity bits that a set is summed up in.
@@ -95,6 +98,11 @@ def set_ids(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both[0], both[1]
 
 
+def map_size(numbers: int, most: int) -> int:
+    """Bits of the size of a map for so many numbers, 20 at least."""
+    return min(most, max(20, int(numbers).bit_length()))
+
+
 def least_overlap(n, m, percent: int = PERCENT):
     """The fewest shared shingles of linked sets of n and m shingles."""
     return -(-percent * (n + m) // (100 + percent))
@@ -219,7 +227,7 @@ class Known:
         return self.ranks[(values >> np.uint64(64 - (len(self.ranks).bit_length() - 1))).astype(np.int64)]
 
 
-def count_shingles(docs: DataFrame, only, total: int, map_bits: int = MAP_BITS, rank_bits: int = RANK_BITS, flush: int = 1 << 21) -> tuple[Known, float]:
+def count_shingles(docs: DataFrame, only, total: int, map_bits: int, rank_bits: int, flush: int = 1 << 21) -> tuple[Known, float]:
     """(Known, mean list length) from every shingle of every class.
 
     only: a bit map of the doc_ids that stand for a class; total: about how
@@ -425,7 +433,7 @@ def _mixed(postings: DataFrame) -> DataFrame:
     return postings.join(lists, F.col("token") == F.col("t"), "left_semi")
 
 
-def join_groups(docs: DataFrame, percent: int = PERCENT, map_bits: int = MAP_BITS, rank_bits: int = RANK_BITS, rounds: int = ROUNDS) -> DataFrame:
+def join_groups(docs: DataFrame, percent: int = PERCENT, map_bits: int = MOST_BITS, rank_bits: int = MOST_RANKS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, two keys of the text, n_shingles, component_id, group) of every
     document. The group is the component itself, null without a doc_id or
     words: two components have the same component_id if one doc_id stands on
@@ -436,9 +444,12 @@ def join_groups(docs: DataFrame, percent: int = PERCENT, map_bits: int = MAP_BIT
     own = kept.save(classes(docs))
     with_id = docs.filter("doc_id is not null")
     stand = scratch.save(own.filter("doc_id is not null and n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id")))
+    size = stand.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    total = size.n
+    # the maps grow with what they hold: classes, shingles, and ranks, of which fewer do
+    map_bits, rank_bits = map_size(total, map_bits), map_size(total // 8, rank_bits)
     # the first document of each class stands for it
-    only = spark.sparkContext.broadcast(BitMap(stand, "doc_id", min(map_bits, 24)).words)
-    total = stand.agg(F.sum("n").alias("n")).first().n or 0
+    only = spark.sparkContext.broadcast(BitMap(stand, "doc_id", map_size(8 * size.k, MOST_BITS)).words)
     found, mean_list = count_shingles(with_id, only, total, map_bits, rank_bits)
     known = spark.sparkContext.broadcast(found)
     by_size = stand.filter(F.col("n") <= MAX_LIGHT).groupBy("n").agg(F.count("sid").alias("k"))

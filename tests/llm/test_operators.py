@@ -416,3 +416,18 @@ def test_scratch_is_shared(spark):
     df = scratch.save(spark.range(3))
     assert df.count() == 3 and scratch.base.startswith(spark.conf.get("spark.checkpoint.dir"))
     scratch.drop()
+
+
+def test_sample_of_texts(spark):
+    """Ids that are null or stand on many rows have no part in the sample, and
+    copies count once; it does not run out however small the share."""
+    rows = [(None, f"text {i}") for i in range(3000)] + [(7, f"more {i}") for i in range(3000)] + [(i, "hot copy") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in nine.sampled(frame, 0.1).collect()]
+    of = lambda word: sum(t.startswith(word) for t in got)
+    assert len(set(got)) == len(got) and 200 < of("text") < 400 and 200 < of("more") < 400 and of("hot") <= 1
+    assert nine.sampled(frame, 1.0).count() == 6001
+
+
+def test_maps_grow_with_what_they_hold():
+    assert [five.map_size(n, 31) for n in (0, 10**6, 10**8, 10**9, 10**13)] == [20, 20, 27, 30, 31]
