@@ -31,3 +31,11 @@ class SubgraphTooLarge(LineageError):
 
 class QueryTimeout(LineageError):
     """A query took longer than its limit."""
+
+
+class Conflict(LineageError):
+    """Another writer came first."""
+
+
+class DamagedLog(LineageError):
+    """A file of the log is not as its commit says."""

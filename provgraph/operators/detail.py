@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provgraph.functions.scalars import LABELS
 from provgraph.operators import order, traverse
 from provgraph.operators.search import property_keys
-from provgraph.operators.stats import roots_and_leaves, stats
+from provgraph.operators.stats import roots_and_leaves, stats, topology
 from provgraph.plans.graph import LineageGraph
 from provgraph.schema import EVENT_TYPES, NODE_TYPES, RELATIONS
 
@@ -42,6 +42,14 @@ def structure(graph: LineageGraph, most: int = 50) -> dict[str, DataFrame]:
     return {"summary": summary, "roots": roots.limit(most), "leaves": leaves.limit(most)}
 
 
+def history_view(graph: LineageGraph, log: DataFrame, at, limit: int = 0) -> dict[str, DataFrame]:
+    """The graph of an instant as it is shown: the ``limit`` nodes of greatest
+    degree, the edges among them, totals (total_nodes, total_edges,
+    truncated), and replay (events_applied, last_seq) of the log until then."""
+    applied = log.filter(F.col("occurred_at") <= at).agg(F.count(F.lit(1)).alias("events_applied"), F.coalesce(F.max("seq"), F.lit(0)).alias("last_seq"))
+    return topology(graph, limit=limit) | {"replay": applied}
+
+
 def fixed_facts(limits) -> list[tuple[str, str, str]]:
     """(kind, value, label) of the closed sets and the limits."""
     rows = [("node_type", v, v) for v in NODE_TYPES] + [("relation", v, v) for v in RELATIONS] + [("event_type", v, LABELS[v]) for v in EVENT_TYPES]

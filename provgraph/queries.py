@@ -13,6 +13,7 @@ from provgraph.functions.validation import dangling_edges, duplicate_edges, even
 from provgraph.operators import diff as D
 from provgraph.operators import matrix as M
 from provgraph.operators import detail, order, paths, replay, search, stats, traverse
+from provgraph.operators.versions import Versions
 from provgraph.plans.graph import LineageGraph
 from provgraph.plans.iterate import Rounds
 from provgraph.schema import Limits
@@ -25,6 +26,51 @@ def key_graph(spark, sf_dir: str) -> LineageGraph:
     return LineageGraph(tables.key_nodes(spark, sf_dir), tables.key_edges(spark, sf_dir), WIDE).saved()
 
 
+def late_log(spark, sf_dir: str) -> DataFrame:
+    """The log as if events had happened up to ten hours before they came, so
+    that numbers and times differ in order."""
+    log = tables.event_log(spark, sf_dir)
+    return log.withColumn("occurred_at", F.col("occurred_at") - F.make_dt_interval(mins=((F.col("seq") - 1) * 7919 % 600).cast("int")))
+
+
+def late_versions(spark, sf_dir: str) -> Versions:
+    return Versions(spark, Rounds(spark).base).build(late_log(spark, sf_dir))
+
+
+def quarter(spark, sf_dir: str):
+    """The time of the event at a quarter of the log."""
+    e = tables.read(spark, sf_dir, "events")
+    return e.join(F.broadcast(e.agg(F.floor(F.max("event_id") / 4).alias("event_id"))), "event_id").select("ts").first().ts
+
+
+def _late(part: str):
+    def query(spark, sf_dir):
+        found = late_versions(spark, sf_dir).at(middle(spark, sf_dir))
+        return _k(getattr(found, part)).drop("directed")
+
+    return query
+
+
+def late_diff(spark, sf_dir):
+    rounds = Rounds(spark)
+    before, after = late_versions(spark, sf_dir).changed(quarter(spark, sf_dir), middle(spark, sf_dir))
+    save = lambda g: (rounds.save(g.nodes), rounds.save(g.edges))
+    return D.summary(D.diff(save(before), save(after)))
+
+
+def _history(part: str):
+    """The graph in the middle of the late log, its 20 best connected nodes."""
+
+    def query(spark, sf_dir):
+        at = middle(spark, sf_dir)
+        view = detail.history_view(late_versions(spark, sf_dir).at(at), late_log(spark, sf_dir), at, 20)
+        if part == "totals":
+            return view["totals"].join(F.broadcast(view["replay"]))
+        return view[part].select("id", *(("source_id", "target_id") if part == "edges" else ("name",)))
+
+    return query
+
+
 def flow_graph(spark, sf_dir: str) -> LineageGraph:
     return LineageGraph(tables.flow_nodes(spark, sf_dir), tables.flow_edges(spark, sf_dir), WIDE).saved()
 
@@ -307,6 +353,12 @@ QUERIES = {
     "snapshot_edges_at": _snapshot(1),
     "live_nodes": _snapshot(0, False),
     "live_edges": _snapshot(1, False),
+    "late_snapshot_nodes": _late("nodes"),
+    "late_snapshot_edges": _late("edges"),
+    "late_diff_summary": late_diff,
+    "history_nodes": _history("nodes"),
+    "history_edges": _history("edges"),
+    "history_totals": _history("totals"),
     "replay_violations": lambda s, d: replay.violations(tables.event_log(s, d)),
     "diff_nodes": _diff("nodes"),
     "diff_edges": _diff("edges"),
@@ -334,6 +386,13 @@ _CYCLE = """de AS (SELECT source_id a, target_id b FROM fe WHERE directed), rr A
  on_cycle AS (SELECT a AS id FROM rr WHERE a = b), after AS (SELECT id FROM on_cycle UNION SELECT b FROM rr WHERE a IN (FROM on_cycle)),
  cy AS (SELECT (SELECT count(*) FROM on_cycle) > 0 AS has_cycle, count(*) AS topo_length FROM fn WHERE id NOT IN (FROM after))"""
 
+_SUMMARY = f""", i AS (SELECT 'nodes_' || change AS w, id FROM ({_ids_sql("n")}) UNION ALL SELECT 'edges_' || change, id FROM ({_ids_sql("x")})
+ UNION ALL SELECT DISTINCT 'nodes_modified', id FROM ({_fields_sql("n")}) UNION ALL SELECT DISTINCT 'edges_modified', id FROM ({_fields_sql("x")}))
+ SELECT {", ".join(f"count(*) FILTER (w = '{k}_{c}') AS {k}_{c}" for k in ("nodes", "edges") for c in ("added", "removed", "modified"))}, count(*) AS total FROM i"""
+LATE = LOG.replace("ts AS occurred_at", "ts - to_minutes(CAST(event_id * 7919 % 600 AS BIGINT)) AS occurred_at") + ", qtr AS (SELECT ts AS moment FROM events WHERE event_id = (SELECT max(event_id) // 4 FROM events))"
+_HISTORY = f"""WITH {LATE}, {fold_sql("a", "occurred_at <= (SELECT moment FROM mid)")}, ends AS (SELECT source_id AS id FROM ax UNION ALL SELECT target_id FROM ax),
+ top AS (SELECT an.id, count(ends.id) AS degree FROM an LEFT JOIN ends USING (id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)"""
+
 ORACLE_SQL = {
     "nodes_by_type": f"WITH {KEY} SELECT type, count(*) AS n FROM kn GROUP BY 1",
     "graph_stats": f"WITH {KEY}, {_END} SELECT (SELECT count(*) FROM kn) AS node_count, (SELECT count(*) FROM ke) AS edge_count, 2.0::DOUBLE * (SELECT count(*) FROM ke) / (SELECT count(*) FROM kn) AS avg_degree, (SELECT max(degree) FROM d) AS max_degree, (SELECT count(*) FROM kn ANTI JOIN d USING (id)) AS isolated_count",
@@ -405,9 +464,13 @@ ORACLE_SQL = {
     "diff_edges": f"{BOTH} {_ids_sql('x')}",
     "diff_node_properties": f"{BOTH} {_fields_sql('n')}",
     "diff_edge_properties": f"{BOTH} {_fields_sql('x')}",
-    "diff_summary": f"""{BOTH}, i AS (SELECT 'nodes_' || change AS w, id FROM ({_ids_sql("n")}) UNION ALL SELECT 'edges_' || change, id FROM ({_ids_sql("x")})
- UNION ALL SELECT DISTINCT 'nodes_modified', id FROM ({_fields_sql("n")}) UNION ALL SELECT DISTINCT 'edges_modified', id FROM ({_fields_sql("x")}))
- SELECT {", ".join(f"count(*) FILTER (w = '{k}_{c}') AS {k}_{c}" for k in ("nodes", "edges") for c in ("added", "removed", "modified"))}, count(*) AS total FROM i""",
+    "diff_summary": BOTH + _SUMMARY,
+    "late_snapshot_nodes": f"WITH {LATE}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM mid)')} FROM an",
+    "late_snapshot_edges": f"WITH {LATE}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM mid)')} FROM ax",
+    "late_diff_summary": f"WITH {LATE}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM qtr)')}, {fold_sql('b', 'occurred_at <= (SELECT moment FROM mid)')}{_SUMMARY}",
+    "history_nodes": f"{_HISTORY} SELECT id, name FROM an WHERE id IN (SELECT id FROM top)",
+    "history_edges": f"{_HISTORY} SELECT id, source_id, target_id FROM ax WHERE source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top)",
+    "history_totals": f"{_HISTORY} SELECT (SELECT count(*) FROM an) AS total_nodes, (SELECT count(*) FROM ax) AS total_edges, (SELECT count(*) FROM an) > 20 AS truncated, count(*) AS events_applied, max(seq) AS last_seq FROM ae",
     "duplicate_edges": f"WITH {FLOW} SELECT CASE WHEN directed THEN source_id ELSE least(source_id, target_id) END AS source_id, CASE WHEN directed THEN target_id ELSE greatest(source_id, target_id) END AS target_id, 'calls' AS relation, count(*) AS n FROM fe GROUP BY 1, 2 HAVING count(*) > 1",
     "dangling_edges": f"WITH {KEY}, k AS (SELECT id FROM kn WHERE type IN ('api', 'account')) SELECT id FROM ke WHERE source_id NOT IN (FROM k) OR target_id NOT IN (FROM k)",
     "invalid_events": f"""WITH {LOG} SELECT * FROM (SELECT seq, CASE WHEN seq % 10 = 2 THEN CASE WHEN true THEN 'unknown event type' END WHEN seq % 10 = 0 THEN 'blank entity id'

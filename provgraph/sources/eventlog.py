@@ -8,35 +8,65 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provgraph.errors import ValidationError
+from provgraph.errors import Conflict, DamagedLog, ValidationError
 from provgraph.functions.validation import require_valid
 from provgraph.plans.iterate import numbered
 from provgraph.schema import CHECKPOINTS, EDGES, EVENT_TYPES, EVENTS, NODES
+from provgraph.sources.manifest import Files, Manifest, clustered, described
+
+EVENTS_COLUMNS = [field.split()[0] for field in EVENTS.split(", ")]
 
 
 class EventLog:
     """Events under ``path``/events, snapshots under ``path``/checkpoints.
 
-    Only ever appended to. One writer at a time; a batch becomes visible as a
-    whole, with consecutive numbers.
+    Only ever appended to. A batch is written to a folder of its own and then
+    named, with its range of numbers and its files' lengths and hashes, by a
+    numbered commit that is put only if its number is free: readers see all of
+    it or nothing, and of two writers at once the later one renumbers what it
+    has written, or learns of the other if it expected none. Files that are
+    not as long as their commit says, or whose pages do not match their
+    checksums, are refused; ``verify`` hashes all.
+
+    ``cluster`` brings batches together in files by ranges of entity, so that
+    an entity's history is read from few places, while the commits' ranges of
+    numbers still tell which files hold what follows a number.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.manifest = Manifest(spark, f"{self.path}/commits")
+        self.files = Files(spark, f"{self.path}/events")
 
     def events(self) -> DataFrame:
-        if not self._exists("events"):
+        return self._read(self.manifest.state()[1].values())
+
+    def _read(self, entries, low: str | None = None) -> DataFrame:
+        """The events of some entries; with ``low``, of those files alone in
+        which that entity may stand."""
+        paths = []
+        for entry in entries:
+            found = self.files.sizes(entry["name"])
+            for file in entry["files"]:
+                if found.get(file["file"]) != file["bytes"]:
+                    raise DamagedLog(f"{entry['name']}/{file['file']}")
+                if low is None or file["low"] <= low <= file["high"]:
+                    paths.append(f"{self.files.path}/{entry['name']}/{file['file']}")
+        if not paths:
             return self.spark.createDataFrame([], EVENTS)
-        return self.spark.read.schema(EVENTS).parquet(f"{self.path}/events")
+        return self.spark.read.schema(EVENTS).option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
 
     def _exists(self, part: str) -> bool:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        return self.files.fs.exists(self.files.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}"))
 
-    def append(self, batch: DataFrame) -> int:
+    def append(self, batch: DataFrame, expected: int | None = None, attempts: int = 20) -> int:
         """Validate all, number in order of ``position``, append; returns the
         last number. Positions 0, 1, 2 ... are taken as they are; others, or
-        none, are brought in order first."""
+        none, are brought in order first.
+
+        ``expected`` is the last number that the batch relies on: if another
+        writer has appended since, Conflict is raised and nothing appended.
+        """
         filled = batch
         for name, kind, value in (("payload", "string", None), ("before", "string", None), ("actor", "string", "system"), ("reason", "string", ""), ("occurred_at", "timestamp_ntz", None), ("position", "int", 0)):
             filled = filled.withColumn(name, F.col(name).cast(kind) if name in batch.columns else F.lit(value).cast(kind))
@@ -46,23 +76,83 @@ class EventLog:
             "occurred_at": F.coalesce("occurred_at", F.current_timestamp().cast("timestamp_ntz")),
         })
         require_valid(filled)
-        last = self.max_seq()
         seen = filled.agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("least"), F.max("position").alias("most"), F.count_distinct("position").alias("different")).first()
-        if seen.n and (seen.least, seen.most, seen.different) != (0, seen.n - 1, seen.n):
+        if not seen.n:
+            return self.max_seq()
+        if (seen.least, seen.most, seen.different) != (0, seen.n - 1, seen.n):
             filled = numbered(filled, ["position"], "place").withColumn("position", F.col("place")).drop("place")
-        rows = filled.withColumn("seq", (F.col("position") + last + 1).cast("bigint"))
-        rows.select(*self.spark.createDataFrame([], EVENTS).columns).write.mode("append").parquet(f"{self.path}/events")
-        return last + seen.n
+        rows, base = filled.withColumn("seq", F.col("position").cast("bigint")).select(*EVENTS_COLUMNS), 0
+        for _ in range(attempts):
+            version, entries, facts = self.manifest.state()
+            last = facts.get("last_seq", 0)
+            if expected is not None and last != expected:
+                raise Conflict(f"{last} events, not {expected}")
+            name = uuid.uuid4().hex
+            rows.withColumn("seq", F.col("seq") + (last + 1 - base)).write.parquet(f"{self.files.path}/{name}")
+            entry = {"name": name, "first": last + 1, "last": last + seen.n, "rows": seen.n, "clustered": False, "files": described(self.spark, f"{self.files.path}/{name}", "entity_id")}
+            try:
+                self.manifest.commit(version, entries, {"last_seq": last + seen.n}, [entry])
+                return last + seen.n
+            except Conflict:  # the batch is read back, as its plan need not give the same rows again
+                rows, base = self.spark.read.schema(EVENTS).parquet(f"{self.files.path}/{name}"), last + 1
+        raise Conflict(f"not appended after {attempts} attempts")
 
     def max_seq(self) -> int:
-        """The last number; Parquet's statistics answer it without a scan."""
-        return self.events().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        """The last number, from the commits alone."""
+        return self.manifest.state()[2].get("last_seq", 0)
 
     def count(self) -> int:
-        return self.events().count()
+        return sum(e["rows"] for e in self.manifest.state()[1].values())
 
     def range(self, from_seq: int = 0, until=None) -> DataFrame:
-        return range_of(self.events(), from_seq, until)
+        """Events after ``from_seq`` and not after ``until``, from the files
+        that reach beyond that number."""
+        entries = [e for e in self.manifest.state()[1].values() if e["last"] > from_seq]
+        return range_of(self._read(entries), from_seq, until)
+
+    def of_entity(self, entity_id: str) -> DataFrame:
+        """An entity's events, from files in whose range of ids it lies; Bloom
+        filters and statistics leave out most of their row groups."""
+        return self._read(self.manifest.state()[1].values(), entity_id).filter(F.col("entity_id") == entity_id)
+
+    def verify(self) -> int:
+        """Hash every named file; how many there are, or DamagedLog."""
+        told = {f"{e['name']}/{f['file']}": f["sha256"] for e in self.manifest.state()[1].values() for f in e["files"]}
+        if told:
+            content = self.spark.read.format("binaryFile").load([f"{self.files.path}/{p}" for p in told])
+            found = content.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("p"), F.sha2("content", 256).alias("h"))
+            if wrong := sorted(r.p for r in found.collect() if told[r.p] != r.h):  # a row a file
+                raise DamagedLog(", ".join(wrong))
+        return len(told)
+
+    def cluster(self, rows_per_file: int = 1_000_000) -> int:
+        """Bring the batches since the last call together in one entry, along
+        with entries that are not much larger; how many it replaced.
+
+        Entries hold ranges of numbers, and each is at least twice as large as
+        the next, so that an event is written again a logarithmic number of
+        times. An entity of any number of events is spread over files by seq.
+        """
+        version, entries, facts = self.manifest.state()
+        held = sorted(entries.values(), key=lambda e: e["first"])
+        merged, rows = [], 0
+        while held and (not held[-1]["clustered"] or held[-1]["rows"] <= 2 * rows):
+            merged.append(held.pop())
+            rows += merged[-1]["rows"]
+        if not merged or (len(merged) == 1 and merged[0]["clustered"]):
+            return 0
+        name = uuid.uuid4().hex
+        clustered(self._read(merged), ["entity_id", "seq"], -(-rows // rows_per_file), "entity_id", min(rows, rows_per_file), f"{self.files.path}/{name}")
+        entry = {"name": name, "first": merged[-1]["first"], "last": merged[0]["last"], "rows": rows, "clustered": True, "files": described(self.spark, f"{self.files.path}/{name}", "entity_id")}
+        drop = [e["name"] for e in merged]
+        while True:
+            try:
+                self.manifest.commit(version, entries, facts, [entry], drop)
+                return len(drop)
+            except Conflict:  # appends since do no harm; another clustering does
+                version, entries, facts = self.manifest.state()
+                if not set(drop) <= set(entries):
+                    raise
 
     def save_checkpoint(self, nodes: DataFrame, edges: DataFrame, last_seq: int) -> None:
         """A snapshot of both tables as of ``last_seq``.
@@ -108,14 +198,23 @@ class EventLog:
                 pass
         return None
 
-    def maybe_checkpoint(self, interval: int = 500) -> bool:
-        """Save a snapshot when ``interval`` events have come since the last."""
+    def maybe_checkpoint(self, interval: int = 500, projection=None) -> bool:
+        """Save a snapshot when ``interval`` events have come since the last:
+        of the maintained projection if there is one, else of a fold."""
         from provgraph.operators.replay import replay_live
 
-        last, seqs = self.max_seq(), self.checkpoint_seqs()
-        if interval <= 0 or last - (seqs[-1] if seqs else 0) < interval:
+        last = self.max_seq()
+        if interval <= 0 or last < interval:
+            return False
+        seqs = self.checkpoint_seqs()
+        if last - (seqs[-1] if seqs else 0) < interval:
             return False
-        self.save_checkpoint(*replay_live(self), last)
+        if projection is None:
+            self.save_checkpoint(*replay_live(self), last)
+        else:
+            projection.catch_up()
+            last, graph = projection.snapshot()
+            self.save_checkpoint(graph.nodes, graph.edges, last)
         return True
 
 
