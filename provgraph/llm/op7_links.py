@@ -8,9 +8,12 @@ links backwards, to those who point at them. A host whose distrust makes up
 more than ``threshold`` of both is blocked.
 
 Links are absolute hrefs to other hosts, the host named after a page's
-copyright sign, the hosts of mail addresses in a page, and those between a
-host and its parent domain, both ways: a host shares in the standing of its
-domain. Top-level domains and ``SHARED_SUFFIXES`` are nobody's domain.
+copyright sign, and the hosts of mail addresses in a page. A host that they
+give no standing may inherit one: the ranks are also propagated over a wider
+graph, of the links and of edges between a host and its parent domain, both
+ways. Column ``by`` tells whether a verdict comes of a rule, of links, of the
+domain, or of nothing. Top-level domains and ``SHARED_SUFFIXES`` are nobody's
+domain.
 
 Rank that reaches a host without links goes back to the seeds. As that only
 scales a kind's ranks, it is done once, at the end: each kind's sum is 1.
@@ -31,6 +34,8 @@ pages are judged row by row, and their links count as often; other columns are n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +47,8 @@ ROUNDS, DAMPING, THRESHOLD = 64, 0.85, 0.5
 #: Ranks are final once none moves by this share of itself; a verdict needs
 #: more than the share of both ranks that may then be missing.
 CONVERGED, MARGIN = 1e-4, 1e-3
+#: What is added to a kind's name for its ranks over the wider graph.
+WIDE = "_wide"
 #: Rounds between two that are written.
 STEPS = 8
 # Suffixes of two labels under which anyone may have a name.
@@ -91,11 +98,6 @@ def domain_edges(judged: DataFrame) -> DataFrame:
     return pairs.select(F.col("sub").alias("src"), F.col("domain").alias("dst"), "n").union(pairs.select("domain", "sub", "n"))
 
 
-def host_edges(judged: DataFrame) -> DataFrame:
-    """(src, dst, n): all links between hosts."""
-    return named_hosts(judged).union(domain_edges(judged)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
-
-
 def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank) after ``rounds`` rounds, or once they are final.
 
@@ -135,33 +137,50 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int
     return ranks
 
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rounds: int | None = None, damping: float = DAMPING, edges: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) of every page.
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, rounds: int | None = None, damping: float = DAMPING, edges: DataFrame | None = None, inherit: bool = True) -> DataFrame:
+    """(page_id, host, path, rule, verdict, by, links_in, links_out, trust,
+    distrust) of every page; the last two are those that its host has by links,
+    or else by its domain, links_in and links_out how often hosts name each
+    other.
 
-    edges: (src, dst, n) to go by instead of the pages' own.
+    edges: links (src, dst, n) to go by instead of the pages' own; inherit:
+    whether a host without standing may have its domain's.
     """
     scratch = Scratch(pages.sparkSession, "links")
     host, path = host_and_path(pages["url"])
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": name, "given": verdict})
-    edges = scratch.save(host_edges(judged) if edges is None else edges)
-    both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("n")))
+    links = scratch.save(named_hosts(judged) if edges is None else edges)
+    graphs = {"": links}
+    if inherit:
+        graphs[WIDE] = scratch.save(links.union(domain_edges(judged)).groupBy("src", "dst").agg(F.sum("n").alias("n")))
+    way = lambda kind, e, a, b: e.select(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "n")
+    both = reduce(DataFrame.union, [way(kind + wide, e, *ends) for wide, e in graphs.items() for kind, ends in (("trust", ("src", "dst")), ("distrust", ("dst", "src")))])
+    kinds = F.explode(F.array(*map(F.lit, graphs)))
     seeds = judged.filter("given is not null").select(F.when(F.col("given") == "allow", "trust").otherwise("distrust").alias("kind"), "host").distinct()
+    seeds = seeds.withColumn("wide", kinds).select(F.concat("kind", "wide").alias("kind"), "host")
     ranks = propagate(both, seeds, scratch, rounds, damping)
-    rank = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
-    hosts = ranks.groupBy("host").agg(rank("trust").alias("trust"), rank("distrust").alias("distrust")).withColumnRenamed("host", "h")
-    hosts = Scratch(pages.sparkSession, "standing").save(hosts)
+    # what each host has by kind, and how often it names others and is named
+    rank = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
+    times = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).cast("long").alias(kind)
+    count = lambda kind, end: links.select(F.lit(kind).alias("kind"), F.col(end).alias("host"), F.col("n").cast("double").alias("rank"))
+    facts = ranks.union(count("links_in", "dst")).union(count("links_out", "src"))
+    facts = facts.groupBy("host").agg(*[rank(k + w) for w in ("", WIDE) for k in ("trust", "distrust")], times("links_in"), times("links_out"))
+    hosts = Scratch(pages.sparkSession, "standing").save(facts.withColumnRenamed("host", "h"))
     scratch.drop()
     rows = judged.drop("html").join(hosts, F.col("host") == F.col("h"), "left")
-    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
+    own = F.coalesce(F.col("trust") + F.col("distrust") > 0, F.lit(False))
+    trust, distrust = (F.coalesce(F.when(own, F.col(k)).otherwise(F.col(k + WIDE)), F.lit(0.0)) for k in ("trust", "distrust"))
     standing = F.when(distrust - threshold * (trust + distrust) > MARGIN * (trust + distrust), "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("given", standing).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    by = F.when(F.col("given").isNotNull(), "rule").when(own, "links").when(trust + distrust > 0, "domain").otherwise("none")
+    named = [F.coalesce(c, F.lit(0)).alias(c) for c in ("links_in", "links_out")]
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("given", standing).alias("verdict"), by.alias("by"), *named, trust.alias("trust"), distrust.alias("distrust"))
 
 
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict", "by", "links_in", "links_out")
 
 
 def oracle() -> str:
@@ -176,6 +195,7 @@ def oracle() -> str:
   UNION ALL SELECT kind, host, {1 - DAMPING} * start FROM start) GROUP BY ALL)""")
     quoted = [p.replace("'", "''") for p in (HREF, OWNER, MAIL)]
     named = "list_concat(" + ", ".join(f"regexp_extract_all(coalesce(html, ''), '{p}', 1)" for p in quoted) + ")"
+    sums = ", ".join(f"coalesce(sum(rank) FILTER (kind = '{k}{w}'), 0) AS {k}{w}" for k in ("trust", "distrust") for w in ("", WIDE))
     shared = ", ".join(f"'{x}'" for x in SHARED_SUFFIXES)
     return f"""
 WITH rest AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -188,12 +208,16 @@ hosted AS (SELECT string_split(host, '.') AS l, count(*) AS n FROM judged WHERE
 below AS (SELECT l, n, unnest(range(1, len(l) - 1)) AS i FROM hosted),
 pairs AS (SELECT array_to_string(l[i:], '.') AS sub, array_to_string(l[i + 1:], '.') AS domain, sum(n) AS n FROM below GROUP BY ALL HAVING domain NOT IN ({shared}) AND sub <> ''),
 edges AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM links UNION ALL SELECT sub, domain, n FROM pairs UNION ALL SELECT domain, sub, n FROM pairs) AS u(src, dst, n) GROUP BY ALL),
-flows AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+flows AS (SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links
+  UNION ALL SELECT 'trust{WIDE}' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust{WIDE}', dst, src, n FROM edges),
 flow AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM flows),
-seeds AS (SELECT DISTINCT CASE given WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host FROM judged WHERE given IS NOT NULL),
+seeds AS (SELECT DISTINCT CASE given WHEN 'allow' THEN 'trust' ELSE 'distrust' END || wide AS kind, host FROM judged, (VALUES (''), ('{WIDE}')) AS w(wide) WHERE given IS NOT NULL),
 start AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS start FROM seeds),
 {", ".join(steps)},
 scaled AS (SELECT kind, host, rank / sum(rank) OVER (PARTITION BY kind) AS rank FROM r{ROUNDS}),
-hosts AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d FROM scaled GROUP BY host)
-SELECT page_id, judged.host, path, rule, coalesce(given, CASE WHEN d - {THRESHOLD} * (t + d) > {MARGIN} * (t + d) THEN 'block' ELSE 'allow' END) AS verdict
+sums AS (SELECT host, {sums} FROM scaled GROUP BY host),
+hosts AS (SELECT *, trust + distrust > 0 AS own, CASE WHEN own THEN trust ELSE trust{WIDE} END AS t, CASE WHEN own THEN distrust ELSE distrust{WIDE} END AS d FROM sums)
+SELECT page_id, judged.host, path, rule, coalesce(given, CASE WHEN d - {THRESHOLD} * (t + d) > {MARGIN} * (t + d) THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN given IS NOT NULL THEN 'rule' WHEN own THEN 'links' WHEN t + d > 0 THEN 'domain' ELSE 'none' END AS by,
+  (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM links WHERE dst = judged.host) AS links_in, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM links WHERE src = judged.host) AS links_out
 FROM judged LEFT JOIN hosts ON judged.host = hosts.host"""

@@ -232,8 +232,13 @@ def test_urls_verdict_by_one_link(spark):
     frame = spark.createDataFrame([(*p, 1.0, "t", "u") for p in pages], "page_id long, url string, html string, trust double, kind string, src string")
     got = {r.page_id: r for r in seven.judge_urls(frame).collect()}
     assert {k: v.verdict for k, v in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block"}
-    edges = seven.host_edges(frame.select("*", seven.host_and_path(F.col("url"))[0].alias("host")))
-    found = {(r.src, r.dst): r.n for r in edges.collect()}
+    assert {k: v.by for k, v in got.items()} == {1: "rule", 2: "links", 3: "rule", 4: "links", 5: "none", 6: "links", 7: "domain"}
+    assert (got[2].links_out, got[1].links_in, got[4].links_in) == (1, 2, 1)
+    alone = {r.page_id: (r.verdict, r.by) for r in seven.judge_urls(frame, inherit=False).collect()}
+    assert alone[2] == alone[6] == ("block", "links") and alone[7] == ("allow", "none")
+    hosts = frame.select("*", seven.host_and_path(F.col("url"))[0].alias("host"))
+    edges = seven.named_hosts(hosts)
+    found = {(r.src, r.dst): r.n for r in edges.union(seven.domain_edges(hosts)).collect()}
     assert found["farm.net", "bad.com"] == 1 and found["in.bad.com", "bad.com"] == 1 == found["bad.com", "in.bad.com"] and found["a.shop.co.uk", "shop.co.uk"] == 1
     assert not any("co.uk" == x for e in found for x in e) and ("pal.net", "net") not in found
     cut = edges.filter("not (src = 'farm.net')")
