@@ -27,7 +27,7 @@ def node_detail(graph: LineageGraph, log: DataFrame, node_id: str) -> dict[str,
     events = log.filter(F.col("entity_id") == node_id).agg(F.count(F.lit(1)).alias("event_count"))
     sides = traverse.lineage_sides(graph, node_id)
     summary = node.select("id", "name", "type", "properties")
-    for one_row in (degrees, traverse.impact_of(sides), events):
+    for one_row in (degrees, traverse.impact_of(sides, graph.limits.nodes), events):
         summary = summary.join(F.broadcast(one_row))
     below = sides.filter("side = 'out' and depth > 0").select("node_id")
     by_type = graph.nodes.join(below, F.col("id") == F.col("node_id"), "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("n"))

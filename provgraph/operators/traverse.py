@@ -157,15 +157,20 @@ def lineage_view(graph: LineageGraph, root: str, depth: int = 0, relations=(), m
 
 
 def impact(graph: LineageGraph, node_id: str, depth: int = 0) -> DataFrame:
-    """One row: direct and total counts of both sides, greatest depth below."""
-    return impact_of(lineage_sides(graph, node_id, depth))
-
-
-def impact_of(sides: DataFrame) -> DataFrame:
-    """The same from (side, node_id, depth)."""
-    count = lambda side, direct: F.count(F.when((F.col("side") == side) & ((F.col("depth") == 1) if direct else (F.col("depth") > 0)), 1))
-    deepest = F.coalesce(F.max(F.when(F.col("side") == "out", F.col("depth"))), F.lit(0))
-    return sides.agg(count("out", True).alias("direct_downstream"), count("out", False).alias("total_downstream"), count("in", True).alias("direct_upstream"), count("in", False).alias("total_upstream"), deepest.alias("max_depth"))
+    """One row: direct and total counts of both sides, greatest depth below,
+    and whether a side holds more than the graph's limit of nodes."""
+    return impact_of(lineage_sides(graph, node_id, depth), graph.limits.nodes)
+
+
+def impact_of(sides: DataFrame, most: int) -> DataFrame:
+    """The same from (side, node_id, depth): of each side the first ``most``
+    nodes, the root among them, by depth count."""
+    levels = sides.groupBy("side", "depth").agg(F.count(F.lit(1)).alias("n"))  # a row a level
+    below = F.sum("n").over(Window.partitionBy("side").orderBy("depth"))
+    levels = levels.withColumn("upto", below).withColumn("kept", F.least("n", F.greatest(F.lit(0), most - F.col("upto") + F.col("n"))))
+    count = lambda side, direct: F.coalesce(F.sum(F.when((F.col("side") == side) & ((F.col("depth") == 1) if direct else (F.col("depth") > 0)), F.col("kept"))), F.lit(0))
+    deepest = F.coalesce(F.max(F.when((F.col("side") == "out") & (F.col("kept") > 0), F.col("depth"))), F.lit(0))
+    return levels.agg(count("out", True).alias("direct_downstream"), count("out", False).alias("total_downstream"), count("in", True).alias("direct_upstream"), count("in", False).alias("total_upstream"), deepest.alias("max_depth"), F.coalesce(F.max(F.col("upto") > most), F.lit(False)).alias("truncated"))
 
 
 def lineage_sides(graph: LineageGraph, node_id: str, depth: int = 0) -> DataFrame:

@@ -37,6 +37,14 @@ class Rounds:
         return out
 
 
+def kept(table: DataFrame) -> bool:
+    """Whether the files of a table that was written are still there."""
+    hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [hadoop.Path(f) for f in table.inputFiles()]
+    return all(p.getFileSystem(conf).exists(p) for p in paths)
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with each row's place, from 0, in the order of some columns.
 

@@ -6,24 +6,49 @@ cyclic, partly undirected. Log: node and edge changes from the events.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.functions.validation import dangling_edges, duplicate_edges, event_violations
 from provgraph.operators import diff as D
 from provgraph.operators import matrix as M
-from provgraph.operators import detail, order, paths, replay, search, stats, traverse
+from provgraph.operators import detail, many, order, paths, replay, search, stats, traverse
 from provgraph.operators.versions import Versions
 from provgraph.plans.graph import LineageGraph
-from provgraph.plans.iterate import Rounds
+from provgraph.plans.iterate import Rounds, kept
 from provgraph.schema import Limits
 from provgraph.sources import eventlog, tables
 
+#: For traversals that no task orders.
 WIDE = Limits(nodes=10_000_000)
 
 
-def key_graph(spark, sf_dir: str) -> LineageGraph:
-    return LineageGraph(tables.key_nodes(spark, sf_dir), tables.key_edges(spark, sf_dir), WIDE).saved()
+def bounded(graph: LineageGraph) -> LineageGraph:
+    """The graph with the limits that hold where one task orders nodes."""
+    return replace(graph, limits=Limits())
+
+
+#: Graphs that this process has written, by application, kind and folder.
+_saved: dict[tuple, LineageGraph] = {}
+
+
+def _once(kind: str, make):
+    """A graph whose edges take joins or sums to make is written once in a
+    session and read by all queries over the same folder."""
+
+    def graph(spark, sf_dir: str) -> LineageGraph:
+        key = (spark.sparkContext.applicationId, kind, sf_dir)
+        if key not in _saved or not kept(_saved[key].edges):
+            _saved[key] = make(spark, sf_dir).saved()
+        return _saved[key]
+
+    return graph
+
+
+key_graph = _once("key", lambda s, d: LineageGraph(tables.key_nodes(s, d), tables.key_edges(s, d), WIDE))
+flow_graph = _once("flow", lambda s, d: LineageGraph(tables.flow_nodes(s, d), tables.flow_edges(s, d), WIDE))
 
 
 def late_log(spark, sf_dir: str) -> DataFrame:
@@ -71,10 +96,6 @@ def _history(part: str):
     return query
 
 
-def flow_graph(spark, sf_dir: str) -> LineageGraph:
-    return LineageGraph(tables.flow_nodes(spark, sf_dir), tables.flow_edges(spark, sf_dir), WIDE).saved()
-
-
 def middle(spark, sf_dir: str):
     """The time of the event in the middle of the log."""
     e = tables.read(spark, sf_dir, "events")
@@ -185,12 +206,22 @@ f AS (SELECT * FROM p WHERE cur = {goal} ORDER BY e LIMIT 1000)"""
 PATHS = " SELECT array_to_string(n, '>') AS node_ids, array_to_string(e, '>') AS edge_ids, round(cost, 6) AS cost, CAST(len(e) AS INTEGER) AS hops FROM f"
 
 
+def impact_of_parts(spark, sf_dir):
+    """What is upstream of every part: orders, suppliers, their customers."""
+    g = key_graph(spark, sf_dir)
+    return many.reach_many(g, g.nodes.filter("type = 'api'").select("id"), 2, "in").counts()
+
+
+def log_components(spark, sf_dir):
+    return M.component_sizes(LineageGraph(*replay.fold(tables.event_log(spark, sf_dir))))
+
+
 def lineage_totals(spark, sf_dir):
-    return traverse.lineage_view(key_graph(spark, sf_dir), "P0", 3)["totals"]
+    return traverse.lineage_view(bounded(key_graph(spark, sf_dir)), "P0", 3)["totals"]
 
 
 def lineage_edges(spark, sf_dir):
-    return traverse.lineage_view(key_graph(spark, sf_dir), "P0", 2)["edges"].select("id", "source_id", "target_id")
+    return traverse.lineage_view(bounded(key_graph(spark, sf_dir)), "P0", 2)["edges"].select("id", "source_id", "target_id")
 
 
 def node_detail(spark, sf_dir):
@@ -292,7 +323,7 @@ def duplicates(spark, sf_dir):
 
 
 def dfs_order(spark, sf_dir):
-    return traverse.dfs(key_graph(spark, sf_dir), "C0", 3)
+    return traverse.dfs(bounded(key_graph(spark, sf_dir)), "C0", 3)
 
 
 QUERIES = {
@@ -324,6 +355,10 @@ QUERIES = {
     "induced_edges": induced_edges,
     "lineage_levels": lineage_levels,
     "impact_summary": _impact(False),
+    "impact_truncated": lambda s, d: traverse.impact(replace(flow_graph(s, d), limits=Limits(nodes=40)), "u0", 3),
+    "impact_many": impact_of_parts,
+    "lineage_truncated": lambda s, d: traverse.lineage_view(flow_graph(s, d), "u0", 3, max_nodes=40)["totals"],
+    "log_components": log_components,
     "impact_by_type": _impact(True),
     "shortest_path_cost": path_costs,
     "shortest_path_nodes": shortest_path,
@@ -418,7 +453,11 @@ ORACLE_SQL = {
     "neighbors_2hop": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'S1', 2, 'both')} FROM b",
     "induced_edges": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'C0', 2, 'out')} SELECT id, source_id, target_id FROM ke WHERE source_id IN (SELECT node_id FROM b) AND target_id IN (SELECT node_id FROM b)",
     "lineage_levels": f"WITH RECURSIVE {KEY}, {bfs_sql('ke', 'P0', 3, 'in', name='i')}, {bfs_sql('ke', 'P0', 3, 'out', name='o')} SELECT node_id, name, type, max(level) AS level FROM (SELECT node_id, -depth AS level FROM i UNION ALL SELECT node_id, depth FROM o) JOIN kn ON kn.id = node_id GROUP BY 1, 2, 3",
-    "impact_summary": f"{_IMPACT} SELECT (SELECT count(*) FROM o WHERE depth = 1) AS direct_downstream, (SELECT count(*) FROM o WHERE depth > 0) AS total_downstream, (SELECT count(*) FROM i WHERE depth = 1) AS direct_upstream, (SELECT count(*) FROM i WHERE depth > 0) AS total_upstream, (SELECT max(depth) FROM o) AS max_depth",
+    "impact_summary": f"{_IMPACT} SELECT (SELECT count(*) FROM o WHERE depth = 1) AS direct_downstream, (SELECT count(*) FROM o WHERE depth > 0) AS total_downstream, (SELECT count(*) FROM i WHERE depth = 1) AS direct_upstream, (SELECT count(*) FROM i WHERE depth > 0) AS total_upstream, (SELECT max(depth) FROM o) AS max_depth, false AS truncated",
+    "impact_truncated": f"WITH RECURSIVE {FLOW}, {bfs_sql('fe', 'u0', 3, 'out', name='o')}, {bfs_sql('fe', 'u0', 3, 'in', name='i')} SELECT (SELECT least(count(*), 39) FROM o WHERE depth = 1) AS direct_downstream, (SELECT least(count(*), 40) - 1 FROM o) AS total_downstream, (SELECT least(count(*), 39) FROM i WHERE depth = 1) AS direct_upstream, (SELECT least(count(*), 40) - 1 FROM i) AS total_upstream, (SELECT max(depth) FROM (SELECT depth FROM o ORDER BY depth LIMIT 40)) AS max_depth, (SELECT count(*) FROM o) > 40 OR (SELECT count(*) FROM i) > 40 AS truncated",
+    "impact_many": f"WITH RECURSIVE {KEY}, a AS ({adj('ke', 'in')}), w AS (SELECT id AS root, id AS node_id, 0 AS depth FROM kn WHERE type = 'api' UNION SELECT root, dst, depth + 1 FROM w JOIN a ON src = node_id WHERE depth < 2), m AS (SELECT root, node_id, min(depth) AS depth FROM w GROUP BY 1, 2) SELECT root, depth, count(*) AS n FROM m GROUP BY 1, 2",
+    "lineage_truncated": f"WITH RECURSIVE {FLOW}, {bfs_sql('fe', 'u0', 3, 'out', name='o')}, {bfs_sql('fe', 'u0', 3, 'in', name='i')} SELECT (SELECT least(count(*), 40) - 1 FROM i) AS upstream_count, (SELECT least(count(*), 40) - 1 FROM o) AS downstream_count, (SELECT count(*) FROM o) > 40 OR (SELECT count(*) FROM i) > 40 AS truncated",
+    "log_components": f"WITH RECURSIVE {LOG}, {fold_sql('a')}, u AS (SELECT source_id a, target_id b FROM ax UNION SELECT target_id, source_id FROM ax), r AS (SELECT id AS a, id AS b FROM an UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), c AS (SELECT b, min(a) AS component FROM r GROUP BY 1) SELECT component, count(*) AS size FROM c GROUP BY 1",
     "impact_by_type": f"{_IMPACT} SELECT type, count(*) AS n FROM o JOIN kn ON id = node_id WHERE depth > 0 GROUP BY 1",
     "shortest_path_cost": f"{_DIST} SELECT node_id, round(cost, 6) AS cost FROM best",
     "all_paths": paths_sql(KEY, "ke", "C0", "(SELECT min(y.target_id) FROM ke x JOIN ke y ON x.target_id = y.source_id WHERE x.source_id = 'C0' AND y.target_id LIKE 'P%')", 4) + PATHS,
@@ -429,7 +468,7 @@ ORACLE_SQL = {
     "node_detail": f"""WITH RECURSIVE {FLOW}, {LOG}, {bfs_sql("fe", "u5", 10, "in", name="i")}, {bfs_sql("fe", "u5", 10, "out", name="o")}
  SELECT id, id AS name, 'account' AS type, (SELECT count(*) FROM fe WHERE target_id = 'u5' OR (source_id = 'u5' AND NOT directed)) AS in_degree, (SELECT count(*) FROM fe WHERE source_id = 'u5' OR (target_id = 'u5' AND NOT directed)) AS out_degree,
  (SELECT count(*) FROM o WHERE depth = 1) AS direct_downstream, (SELECT count(*) FROM o WHERE depth > 0) AS total_downstream, (SELECT count(*) FROM i WHERE depth = 1) AS direct_upstream, (SELECT count(*) FROM i WHERE depth > 0) AS total_upstream,
- (SELECT max(depth) FROM o) AS max_depth, (SELECT count(*) FROM ev WHERE entity_id = 'u5') AS event_count FROM fn WHERE id = 'u5'""",
+ (SELECT max(depth) FROM o) AS max_depth, false AS truncated, (SELECT count(*) FROM ev WHERE entity_id = 'u5') AS event_count FROM fn WHERE id = 'u5'""",
     "structure_summary": f"WITH RECURSIVE {FLOW}, {_CYCLE}, {_STATS('fn', 'fe').replace('SELECT count(*) AS node_count', 'SELECT (SELECT has_cycle FROM cy) AS has_cycle, (SELECT topo_length FROM cy) AS topo_length, count(*) AS node_count')}",
     "metadata": f"""WITH RECURSIVE {FLOW}, st AS (WITH {_STATS("fn", "fe")})
  SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}', '{w}')" for k, v, w in detail.fixed_facts(Limits()))}) AS t(kind, value, label)

@@ -202,3 +202,28 @@ def test_random_against_dijkstra(spark):
             for m, w in out.get(n, []):
                 heapq.heappush(heap, (c + w, m))
     assert {r.node_id: r.cost for r in paths.distances(g, "n0")[0].collect()} == best
+
+
+def test_many_roots_equal_one_by_one(spark):
+    """More roots than a word has bits, in a graph with cycles."""
+    import random
+
+    from provgraph.operators import many
+
+    rng = random.Random(4)
+    nodes = spark.createDataFrame([(f"n{i}", f"n{i}", "api", "{}") for i in range(150)], "id string, name string, type string, properties string")
+    rows = [(f"e{k}", f"n{rng.randrange(150)}", f"n{rng.randrange(150)}", rng.choice(["calls", "owns"]), 1.0, rng.random() < 0.7, "{}") for k in range(260)]
+    graph = LineageGraph(nodes, spark.createDataFrame(rows, "id string, source_id string, target_id string, relation string, weight double, directed boolean, properties string")).saved()
+    roots = nodes.select("id").filter("id != 'n7'")
+    for direction, relations in (("out", ()), ("both", ("calls",))):
+        found = many.reach_many(graph, roots, 4, direction, relations)
+        want = {tuple(r) for r in traverse.reach(graph, roots, 4, direction, relations).collect()}
+        assert {tuple(r) for r in found.pairs().collect()} == want and len(want) > 1000
+        counts = {}
+        for root, _, depth in want:
+            counts[root, depth] = counts.get((root, depth), 0) + 1
+        assert {(r.root, r.depth): r.n for r in found.counts().collect()} == counts
+    one = {r.root: r for r in many.impact_many(graph, roots, 3).collect()}["n3"]
+    alone = traverse.impact(graph, "n3", 3).first()
+    assert (one.direct_downstream, one.total_downstream, one.max_depth) == (alone.direct_downstream, alone.total_downstream, alone.max_depth)
+    assert many.reach_many(graph, roots.filter("false"), 2).counts().isEmpty()
