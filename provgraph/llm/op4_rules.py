@@ -7,11 +7,12 @@ document's score is the mean, over its unigrams and bigrams, of
 threshold and the base rules hold.
 
 Scale: one pass counts, with map-side sums over ``2**bits`` keys, so the
-shuffle is at most 2**bits rows a task; the documents with an id meet all
-trusted ids in an equi-join, which shuffles their texts once (a sort-merge
-join at any size, so that small runs tell what large ones need); one pass
-scores, without a shuffle. The weights (2**bits doubles) are the only thing
-the driver sends to executors.
+shuffle is at most 2**bits rows a task; of the documents with an id, those
+that a map of 2**``MAP_BITS`` bits does not rule out meet all trusted ids in an
+equi-join, which shuffles their texts (a sort-merge join at any size, so that
+small runs tell what large ones need; with very many trusted ids the map rules
+out few); one pass scores, without a shuffle. The weights (2**bits doubles)
+and that map are the only things the driver sends to executors.
 
 Defined results: null text counts as empty and fails the base rules; with no
 trusted document, or no n-gram in the corpus, every weight is 0, so that the
@@ -31,6 +32,8 @@ from provgraph.llm.common import SPACE, text_of, words
 #: Runs of letters and digits, or of other visible characters.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 BITS, THRESHOLD = 14, -0.25
+#: Size of the map of trusted ids: 16,384 words of 64 bits.
+MAP_BITS = 20
 PREFIX = "__rules_"
 
 
@@ -54,11 +57,29 @@ def trusted_ids(docs_or_labels: DataFrame) -> DataFrame:
     return docs_or_labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(PREFIX + "id")).distinct()
 
 
+def _constant(numbers: list, kind: str) -> Column:
+    """An array of numbers that the plan folds into a constant."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast(f"array<{kind}>")
+
+
+def may_be_trusted(ids: DataFrame, column: Column, bits: int = MAP_BITS) -> Column:
+    """Whether a number may be one of ``ids``: never false for one that is."""
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c.cast("string")), 64 - bits)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), slot(c).bitwiseAND(F.lit(63)).cast("int"))
+    own = ids[ids.columns[0]]
+    found = ids.groupBy(F.shiftright(slot(own), 6).alias("word")).agg(F.bit_or(bit(own)).alias("held")).collect()  # 2**(bits - 6) rows at most
+    held = [0] * (1 << (bits - 6))
+    for r in found:
+        held[r.word] = r.held
+    return F.get(_constant(held, "bigint"), F.shiftright(slot(column), 6).cast("int")).bitwiseAND(bit(column)) != 0
+
+
 def ngram_weights(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothing: float = 1.0) -> list[float]:
     """log p_target - log p_raw of each bucket, from all documents."""
     n_buckets = 1 << bits
     texts = docs.select(docs["doc_id"].alias(PREFIX + "id"), text_of(docs).alias("text"))
-    trusted = texts.filter(F.col(PREFIX + "id").isNotNull()).join(trusted_ids(labels).hint("merge"), PREFIX + "id", "left_semi")
+    ids = trusted_ids(labels)
+    trusted = texts.filter(F.col(PREFIX + "id").isNotNull() & may_be_trusted(ids, F.col(PREFIX + "id"))).join(ids.hint("merge"), PREFIX + "id", "left_semi")
     rows = texts.select(F.lit(None).cast("int").alias("trusted"), "text").union(trusted.select(F.lit(1), "text"))
     rows = rows.select("trusted", token_hashes(F.col("text")).alias("hashes"))
     # each token with its successor; the last one's is null
@@ -120,7 +141,7 @@ def quality_rules(docs: DataFrame, weights: list[float], threshold: float = THRE
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
     keep = [c for c in docs.columns if c.lower() not in names]
     bits = len(weights).bit_length() - 1
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into a constant
+    table = _constant(weights, "double")
     rows = docs.select(*[docs[c] for c in keep], text_of(docs).alias(PREFIX + "text"))
     text = rows[PREFIX + "text"]
     rows = rows.withColumn(PREFIX + "words", words(text)).withColumn(PREFIX + "hashes", token_hashes(text))

@@ -123,7 +123,7 @@ def test_pii_base_is_the_plain_rule(docs, empty):
 
 
 def test_rules(spark, docs, empty):
-    odd = spark.createDataFrame([(1, "a b a b a b\nx\nx\n \nx #$", 0), (2, None, 0), (3, LONG, 0), (4, ("p q r s " * 300), 0), (5, " ".join(WORDS[:60]), 0), (6, " ".join(WORDS[:100] * 2) + " end", 0), (7, " ".join([*WORDS[:90], "x", *WORDS[:90], *WORDS[20:110]]), 0)], "doc_id long, text string, kept int")
+    odd = spark.createDataFrame([(1, "a b a b a b\nx\nx\n \nx #$", 0), (2, None, 0), (3, LONG, 0), (4, ("p q r s " * 300), 0), (5, " ".join(WORDS[:60]), 0), (6, " ".join(WORDS[:100] * 2) + " end", 0), (60, " ".join([f"w{i}" for i in range(400)] * 2 + ["x"] + [f"v{i}" for i in range(90)] * 3), 0), (7, " ".join([*WORDS[:90], "x", *WORDS[:90], *WORDS[20:110]]), 0)], "doc_id long, text string, kept int")
     judged = {r.doc_id: r for r in four.quality_rules(odd, [0.0] * (1 << 10)).collect()}
     for r in odd.collect():
         w = split(r.text)
