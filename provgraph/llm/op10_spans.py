@@ -6,7 +6,8 @@ is hashed (words without case, white space aside) and joined over all
 documents; one with fewer than ``min_words`` words is lengthened forwards, and
 also backwards, until it has them, so that chance repeats of tiny sentences do
 not count while both ends of a passage do. Two sentences with ``pair_words``
-words, or one with ``long_words``, are runs as well. A document is its doc_id
+words, or one with ``long_words``, are runs as well. With 0 for each of the
+three, runs are plain ones of ``n_sentences``. A document is its doc_id
 and its whole text, the latter as a hash of 128 bits. The first occurrence of
 a run, by doc_id, text hash and place, stays; the sentences of every later one
 are removed.
@@ -75,7 +76,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, n_sentences: int, min_words: int
     after = np.searchsorted(stop, first + min_words)  # last sentence of a run that starts here
     before = np.searchsorted(first, stop - min_words, "right") - 1  # first one of a run that ends here
     pair = np.minimum(here + 1, len(first) - 1)
-    whole = here[stop - first >= long_words], here[stop[pair] - first >= pair_words]
+    whole = here[(stop - first >= long_words) & (long_words > 0)], here[(stop[pair] - first >= pair_words) & (pair_words > 0)]
     from_ = np.concatenate((here, np.minimum(before, here - n_sentences + 1), *whole))
     to = np.concatenate((np.maximum(after, here + n_sentences - 1), here, whole[0], whole[1] + 1))
     of = np.concatenate((here, here, *whole))

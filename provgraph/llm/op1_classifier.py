@@ -8,10 +8,10 @@ compressed share (texts that repeat themselves) and their product, becomes a
 probability by logistic calibration on labelled texts that were not used for
 the dictionaries.
 
-Scale: fitting uses at most ``max_docs`` labelled documents of each class, of
-at most ``max_bytes`` bytes each (longer ones are left out of the sample, and
-scored in full like all others); ids are broadcast and texts come to the
-driver within that bound. Scoring is one pass without a shuffle, with a
+Scale: fitting uses at most ``max_docs`` labelled documents of each class, and
+at most ``max_bytes`` bytes of each (of a longer one a stretch from a place
+that its id names; it is scored in full like all others); ids are broadcast
+and texts come to the driver within that bound. Scoring is one pass without a shuffle, with a
 constant amount of memory a row beyond the text.
 
 Defined results: a null text is scored as an empty one; an empty text has
@@ -29,12 +29,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provgraph.llm.common import table
-from provgraph.llm.hashing import utf8
+from provgraph.llm.hashing import slices, utf8
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 64 * 1024
 MAX_DOCS, MAX_BYTES = 1500, 16 * 1024
@@ -135,13 +135,22 @@ def training_rows(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and quality in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
 
 
+def _part(text: Column, doc_id: Column, max_bytes: int) -> Column:
+    """A text, or of one of more than ``max_bytes`` bytes a stretch of a fourth
+    as many characters, from a place that its id's hash names."""
+    size = max_bytes // 4
+    place = F.pmod(F.xxhash64(doc_id), F.greatest(F.length(text) - size, F.lit(0)) + 1).cast("int") + 1
+    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.substring(text, place, F.lit(size)))
+
+
 def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> tuple[list[bytes], list[bytes]]:
     """At most ``max_docs`` good and bad texts, those of least id hash."""
     known = training_rows(labels).select("doc_id", "quality").distinct()
     texts: dict[int, list[bytes]] = {1: [], 0: []}
     for quality in (1, 0):
         ids = known.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-        rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id")
+        rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")
+        rows = rows.select("doc_id", _part(F.col("text"), F.col("doc_id"), max_bytes).alias("text"))
         rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs)  # bounded even with repeated ids
         texts[quality] = [r.text.encode() for r in rows.select("text").collect()]
     return texts[1], texts[0]
@@ -155,9 +164,10 @@ def classify(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     at = kept.index("text")
 
     def run(batches):
-        for batch in batches:
-            score = score_texts(model, batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= cut).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+        for whole in batches:
+            for batch in slices(whole, at):
+                score = score_texts(model, batch.column(at))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= cut).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)
 

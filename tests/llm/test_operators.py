@@ -63,6 +63,9 @@ def test_classifier(spark, docs, empty):
     assert one.fit([], []).prior == 0.5 and one.score_texts(one.fit(good, []), pa.array(["x"]))[0] == 1.0
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     assert all(not one.held_out(r.doc_id) for r in one.training_rows(labels).collect())
+    long = spark.createDataFrame([(i, f"{i} " * 9000) for i in range(40)], "doc_id long, text string")
+    texts = one.sample(long, labels)
+    assert all(len(x) > 10 and all(1000 < len(t) <= one.MAX_BYTES for t in x) for x in texts)
     texts = one.sample(docs, labels, max_docs=3)
     assert len(texts[0]) <= 3 and len(texts[1]) <= 3
 
@@ -378,6 +381,22 @@ def test_spans(spark, docs, empty):
     assert ten.remove_repeats(docs).count() == len(ROWS) and ten.remove_repeats(empty).isEmpty()
 
 
+def test_plain_spans(spark):
+    """With 0 for all word counts: runs of three sentences, however short."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(rng.choice("ab") for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    seen, want = set(), {}
+    for d, t in rows:
+        lines, gone = [x for x in t.split("\n") if x], set()
+        for i in range(len(lines) - 2):
+            run = tuple(" ".join(lines[i : i + 3]).split())
+            gone |= {i, i + 1, i + 2} if run in seen else set()
+            seen.add(run)
+        want[d] = (len(lines), len(gone))
+    got = ten.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=0, pair_words=0, long_words=0)
+    assert {r.doc_id: (r.n_sentences, r.n_removed) for r in got.collect()} == want and sum(g > 0 for _, g in want.values()) > 10
+
+
 def test_spans_of_null_and_repeated_ids(spark):
     passage, other = prose(70), prose(60)
     rows = [(None, prose(40) + "\n" + passage), (None, prose(40) + "\n" + passage), (None, passage + "\n" + prose(90)), (None, prose(30)), (None, prose(18) + "\n" + passage)]

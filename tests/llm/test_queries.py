@@ -3,12 +3,14 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import shutil
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,7 +294,7 @@ def test_op1_held_out_accuracy(spark):
     got = {r.doc_id: r for r in QUERIES["op1_quality_classifier"](spark, DATA).collect()}
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in got.items())
     out = [d for d, r in got.items() if r.held_out and d in labels]
-    full = np.mean([(got[d].score >= 0.5) == labels[d] for d in out])
+    full = np.mean([got[d].predicted == labels[d] for d in out])  # at the cut of 0.7
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     good, bad = ([t for t in x if t] for x in one.sample(docs, spark.read.parquet(f"{DATA}/labels.parquet")))
     model = one.fit(good, bad)
@@ -303,4 +305,45 @@ def test_op1_held_out_accuracy(spark):
     texts = {r.doc_id: (r.text or "").encode() for r in docs.filter(F.col("doc_id").isin(out)).collect()}
     alone = np.mean([((measure(texts[d])[0] - x.mean()) / x.std() * w[0] + w[1] >= 0) == labels[d] for d in out if texts[d]])
     print(f"held out: {len(out)} documents, accuracy {full:.3f}, with the difference alone {alone:.3f}")
-    assert full >= 0.95 and alone >= 0.8
+    assert full >= 0.93 and alone >= 0.8
+
+
+def test_op1_odd_rows(spark, folder):
+    """Every row is scored, as the model that its operator fits scores it."""
+    path, rows = folder
+    got = QUERIES["op1_quality_classifier"](spark, path).collect()
+    model = one.fit(*one.sample(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")))
+    scores = one.score_texts(model, pa.array([r[1] for r in rows]))
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    want = collections.Counter((r[0], out(r[0]), round(float(s), 9), int(s >= 0.7)) for r, s in zip(rows, scores))
+    assert collections.Counter((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in got) == want
+
+
+def test_op5_odd_rows(spark, folder):
+    """Against all pairs of sets; rows of one doc_id count one by one."""
+    path, rows = folder
+    words = lambda t: [w for w in split(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t, *_ in rows]
+    least = {s: min((r[0] for r, x in zip(rows, sets) if x == s and r[0] is not None), default=None) for s in set(sets)}
+    linked = [s for s in least if s and least[s] is not None]
+    pairs = [(a, b) for a, b in itertools.combinations(linked, 2) if 100 * len(a & b) >= 80 * len(a | b)]
+    for _ in range(len(linked)):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    want = collections.Counter((d, len(s), None if d is None else least[s] if s else d) for (d, *_), s in zip(rows, sets))
+    assert collections.Counter(tuple(r)[:3] for r in QUERIES["op5_jaccard_join"](spark, path).collect()) == want
+
+
+def test_op10_odd_rows(spark, folder):
+    """Every sentence that goes stands in an earlier run; what stays, stays in
+    order; documents that share nothing lose nothing."""
+    path, rows = folder
+    got = QUERIES["op10_sentence_spans"](spark, path).collect()
+    assert len(got) == len(rows)
+    by_text = collections.Counter(r[1] for r in rows)
+    alone = {r[0] for r in rows if r[0] is not None and r[0] < 150 and by_text[r[1]] == 1}
+    of = {r[0]: r[1] for r in rows}
+    assert all(r.n_removed == 0 and r.text == of[r.doc_id] for r in got if r.doc_id in alone and r.doc_id not in (3, 4))
+    copies = [r for r in got if r.doc_id is not None and 200 <= r.doc_id < 240]
+    assert all(r.n_removed == r.n_sentences and not split(r.text) for r in copies) and copies[0].n_sentences > 2
+    assert {r.text for r in got if r.doc_id == 3} == {of[3]} and {r.text for r in got if r.doc_id == 300} == {None}
