@@ -15,11 +15,14 @@ from provgraph.functions.validation import dangling_edges, duplicate_edges, even
 from provgraph.operators import diff as D
 from provgraph.operators import matrix as M
 from provgraph.operators import detail, many, order, paths, replay, search, stats, traverse
+from provgraph.operators.projection import Projection
+from provgraph.operators.twoended import two_ended
 from provgraph.operators.versions import Versions
 from provgraph.plans.graph import LineageGraph
 from provgraph.plans.iterate import Rounds, kept
 from provgraph.schema import Limits
 from provgraph.sources import eventlog, tables
+from provgraph.sources.eventlog import EventLog
 
 #: For traversals that no task orders.
 WIDE = Limits(nodes=10_000_000)
@@ -32,6 +35,8 @@ def bounded(graph: LineageGraph) -> LineageGraph:
 
 #: Graphs that this process has written, by application, kind and folder.
 _saved: dict[tuple, LineageGraph] = {}
+#: Logs that it has stored.
+_stored: dict[tuple, tuple] = {}
 
 
 def _once(kind: str, make):
@@ -51,6 +56,36 @@ key_graph = _once("key", lambda s, d: LineageGraph(tables.key_nodes(s, d), table
 flow_graph = _once("flow", lambda s, d: LineageGraph(tables.flow_nodes(s, d), tables.flow_edges(s, d), WIDE))
 
 
+def stored_log(spark, sf_dir: str, batches: int = 4) -> tuple[EventLog, Projection]:
+    """The log, appended in batches to a folder, and the projection that each
+    batch brought forward; the earlier batches are clustered."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _stored and _stored[key][0].count() and kept(_stored[key][0].events()):
+        return _stored[key]
+    rows = tables.event_log(spark, sf_dir)
+    log = EventLog(spark, f"{Rounds(spark).base}/log")
+    held, n = Projection(log), rows.count()
+    for k in range(batches):
+        low, high = n * k // batches, n * (k + 1) // batches
+        log.append(rows.filter((F.col("seq") > low) & (F.col("seq") <= high)).withColumn("position", (F.col("seq") - low - 1).cast("int")))
+        held.catch_up()
+        if k == batches - 2:
+            log.cluster()
+    _stored[key] = log, held
+    return log, held
+
+
+def _projected(part: str):
+    def query(spark, sf_dir):
+        return _k(getattr(stored_log(spark, sf_dir)[1].graph(), part)).drop("directed")
+
+    return query
+
+
+def stored_timeline(spark, sf_dir):
+    return eventlog.entity_timeline(stored_log(spark, sf_dir)[0].of_entity("u5"), "u5", 500).select("seq", "event_type", "occurred_at")
+
+
 def late_log(spark, sf_dir: str) -> DataFrame:
     """The log as if events had happened up to ten hours before they came, so
     that numbers and times differ in order."""
@@ -171,6 +206,12 @@ def shortest_path(spark, sf_dir):
     return row.select("found", F.round("cost", 6).alias("cost"), "hops", F.concat_ws(">", "node_ids").alias("node_ids"), F.concat_ws(">", "edge_ids").alias("edge_ids"))
 
 
+def shortest_two_ended(spark, sf_dir):
+    g = flow_graph(spark, sf_dir)
+    row, _ = two_ended(g, "u0", "u7")
+    return row.select("found", F.round("cost", 6).alias("cost"))
+
+
 def path_costs(spark, sf_dir):
     best, _ = paths.distances(flow_graph(spark, sf_dir), "u0")
     return best.select("node_id", F.round("cost", 6).alias("cost"))
@@ -362,6 +403,7 @@ QUERIES = {
     "impact_by_type": _impact(True),
     "shortest_path_cost": path_costs,
     "shortest_path_nodes": shortest_path,
+    "shortest_two_ended": shortest_two_ended,
     "all_paths": all_paths,
     "all_paths_flow": all_paths_flow,
     "path_edges": path_edges,
@@ -388,6 +430,9 @@ QUERIES = {
     "snapshot_edges_at": _snapshot(1),
     "live_nodes": _snapshot(0, False),
     "live_edges": _snapshot(1, False),
+    "projected_nodes": _projected("nodes"),
+    "projected_edges": _projected("edges"),
+    "stored_timeline": stored_timeline,
     "late_snapshot_nodes": _late("nodes"),
     "late_snapshot_edges": _late("edges"),
     "late_diff_summary": late_diff,
@@ -460,6 +505,7 @@ ORACLE_SQL = {
     "log_components": f"WITH RECURSIVE {LOG}, {fold_sql('a')}, u AS (SELECT source_id a, target_id b FROM ax UNION SELECT target_id, source_id FROM ax), r AS (SELECT id AS a, id AS b FROM an UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), c AS (SELECT b, min(a) AS component FROM r GROUP BY 1) SELECT component, count(*) AS size FROM c GROUP BY 1",
     "impact_by_type": f"{_IMPACT} SELECT type, count(*) AS n FROM o JOIN kn ON id = node_id WHERE depth > 0 GROUP BY 1",
     "shortest_path_cost": f"{_DIST} SELECT node_id, round(cost, 6) AS cost FROM best",
+    "shortest_two_ended": f"{_DIST} SELECT true AS found, round(cost, 6) AS cost FROM best WHERE node_id = 'u7'",
     "all_paths": paths_sql(KEY, "ke", "C0", "(SELECT min(y.target_id) FROM ke x JOIN ke y ON x.target_id = y.source_id WHERE x.source_id = 'C0' AND y.target_id LIKE 'P%')", 4) + PATHS,
     "all_paths_flow": paths_sql(FLOW, "fe", "u0", "'u7'", 2) + PATHS,
     "path_edges": paths_sql(FLOW, "fe", "u0", "'u7'", 2) + " SELECT id, source_id, target_id FROM fe WHERE id IN (SELECT unnest(e) FROM f)",
@@ -504,6 +550,9 @@ ORACLE_SQL = {
     "diff_node_properties": f"{BOTH} {_fields_sql('n')}",
     "diff_edge_properties": f"{BOTH} {_fields_sql('x')}",
     "diff_summary": BOTH + _SUMMARY,
+    "projected_nodes": f"WITH {LOG}, {fold_sql('a')} FROM an",
+    "projected_edges": f"WITH {LOG}, {fold_sql('a')} FROM ax",
+    "stored_timeline": f"WITH {LOG} SELECT seq, event_type, occurred_at FROM ev WHERE entity_id = 'u5' ORDER BY seq DESC LIMIT 500",
     "late_snapshot_nodes": f"WITH {LATE}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM mid)')} FROM an",
     "late_snapshot_edges": f"WITH {LATE}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM mid)')} FROM ax",
     "late_diff_summary": f"WITH {LATE}, {fold_sql('a', 'occurred_at <= (SELECT moment FROM qtr)')}, {fold_sql('b', 'occurred_at <= (SELECT moment FROM mid)')}{_SUMMARY}",

@@ -227,3 +227,29 @@ def test_many_roots_equal_one_by_one(spark):
     alone = traverse.impact(graph, "n3", 3).first()
     assert (one.direct_downstream, one.total_downstream, one.max_depth) == (alone.direct_downstream, alone.total_downstream, alone.max_depth)
     assert many.reach_many(graph, roots.filter("false"), 2).counts().isEmpty()
+
+
+def test_two_ended_equals_one_sided(spark):
+    """Random weights, cycles, undirected edges, and goals out of reach."""
+    import random
+
+    from provgraph.operators.twoended import two_ended
+
+    rng = random.Random(6)
+    nodes = spark.createDataFrame([(f"n{i}", f"n{i}", "api", "{}") for i in range(60)], "id string, name string, type string, properties string")
+    rows = [(f"e{k}", f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", "calls", rng.choice([0.5, 1.0, rng.uniform(1, 9)]), rng.random() < 0.8, "{}") for k in range(130)]
+    g = LineageGraph(nodes, spark.createDataFrame(rows, "id string, source_id string, target_id string, relation string, weight double, directed boolean, properties string")).saved()
+    weight, found = {r[0]: r[4] for r in rows}, 0
+    best = {r.node_id: r.cost for r in paths.distances(g, "n0")[0].collect()}
+    for goal, width in (("n17", 0.0), ("n23", 0.7), ("n41", 100.0), ("n5", 0.0), ("n0", 0.0)):
+        row = two_ended(g, "n0", goal, width=width)[0].first()
+        assert row.found == (goal in best)
+        if row.found:
+            found += 1
+            assert abs(row.cost - best[goal]) < 1e-9 and abs(sum(weight[e] for e in row.edge_ids) - row.cost) < 1e-9
+            assert row.node_ids[0] == "n0" and row.node_ids[-1] == goal and len(row.node_ids) == row.hops + 1 == len(row.edge_ids) + 1
+            ends = {r[0]: ({(r[1], r[2])} | (set() if r[5] else {(r[2], r[1])})) for r in rows}
+            assert all((a, b) in ends[e] for a, b, e in zip(row.node_ids, row.node_ids[1:], row.edge_ids))
+    assert found >= 3
+    back = two_ended(g, "n17", "n0", direction="in")[0].first()
+    assert back.found == ("n17" in best) and (not back.found or abs(back.cost - best["n17"]) < 1e-9)
