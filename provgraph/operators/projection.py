@@ -1,12 +1,14 @@
 """The current graph as maintained tables, brought forward by each batch.
 
-Three tables of immutable runs, named by a manifest's commits:
+Four tables of immutable runs, named by a manifest's commits:
 
 * ``nodes`` (id, seq, gone, alive and the node's fields) and ``edges`` (id,
   seq, alive and the edge's fields): what the last event of each entity said.
   ``gone`` is the number of a node's last delete.
 * ``ends`` (node_id, id): every edge that was ever put on a node, so that a
-  node's edges are found without reading the others.
+  node's edges are found without reading the others; ``postings`` (term, id):
+  every node that ever had a property's value. Both only name candidates,
+  whose rows tell.
 
 A batch of events adds a run to each; a row with a greater seq wins over one
 of the same id. Edges that a node's delete takes along become rows that are
@@ -23,24 +25,28 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provgraph.errors import Conflict
+from provgraph.operators.search import search
 from provgraph.plans.graph import LineageGraph
 from provgraph.schema import EDGE_PAYLOAD, NODE_PAYLOAD
 from provgraph.sources.manifest import Files, Manifest
 
 STATE = "seq bigint, gone bigint, alive boolean, updated_at timestamp_ntz"
-TABLES = {"nodes": f"{NODE_PAYLOAD}, {STATE}", "edges": f"{EDGE_PAYLOAD}, {STATE}", "ends": "node_id string, id string"}
-KEYS = {"nodes": "id", "edges": "id", "ends": "node_id"}
+TABLES = {"nodes": f"{NODE_PAYLOAD}, {STATE}", "edges": f"{EDGE_PAYLOAD}, {STATE}", "ends": "node_id string, id string", "postings": "term string, id string"}
+KEYS = {"nodes": "id", "edges": "id", "ends": "node_id", "postings": "term"}
+#: Parts of a run over which one key may spread: a property value or a node may
+#: have any number of rows.
+SPREAD = {"nodes": 1, "edges": 1, "ends": 8, "postings": 8}
 #: Rows of a part of a run, and ids that are looked up one by one at most.
 ROWS, FEW = 1_000_000, 200
 
 
 def _latest(rows: DataFrame, table: str) -> DataFrame:
     """One row of each key: that of greatest seq."""
-    if table == "ends":
+    if table in ("ends", "postings"):
         return rows.distinct()
     columns = rows.columns
     # of one seq, which a cascade and a repeated batch can give, what is gone
@@ -49,6 +55,16 @@ def _latest(rows: DataFrame, table: str) -> DataFrame:
     return found.select(*[F.col("g").alias(c) if c == "gone" else F.col(f"r.{c}") for c in columns])
 
 
+def _part(table: str, key: Column, other: Column, buckets: int) -> Column:
+    """The part of a run that a row belongs to."""
+    shift = F.pmod(F.xxhash64(other), F.lit(SPREAD[table]))
+    return F.pmod(F.pmod(F.xxhash64(key), F.lit(buckets)) + shift, F.lit(buckets)).cast("int")
+
+
+def _term(key: Column, value: Column) -> Column:
+    return F.concat(key, F.lit("\x1f"), value)
+
+
 class Projection:
     """The graph of a log, under ``log.path``/projection unless said. Without
     a log it is brought forward by ``apply`` alone, and needs a session."""
@@ -94,7 +110,8 @@ class Projection:
         for run in self._runs(table, entries):
             rows = self._read(table, run)
             if len(few) <= FEW:
-                parts = [F.pmod(F.xxhash64(F.lit(i)), F.lit(run["buckets"])).cast("int") for i in few]
+                home = lambda i: F.pmod(F.xxhash64(F.lit(i)), F.lit(run["buckets"]))  # noqa: E731, B023
+                parts = [F.pmod(home(i) + k, F.lit(run["buckets"])).cast("int") for i in few for k in range(min(SPREAD[table], run["buckets"]))]
                 rows = rows.filter(F.col("bucket").isin(*parts) & F.col(key).isin(*few)) if few else rows.filter("false")
             else:
                 rows = rows.join(asked, key, "left_semi")
@@ -120,6 +137,12 @@ class Projection:
         """A node's edges of which the other end is there as well."""
         return self._standing(self.incident([node_id]))
 
+    def search(self, key: str, value: str) -> DataFrame:
+        """What ``operators.search.search`` finds for a property's value, from
+        the nodes that ever had it."""
+        ids = self.pick("postings", [f"{key.strip()}\x1f{value.strip()}"]).select("id")
+        return search(self.pick("nodes", ids).filter("alive").drop("seq", "gone", "alive"), key=key, value=value)
+
     def between(self, source_id: str, target_id: str) -> DataFrame:
         """The edges from one node to another, or back."""
         here, there = F.col("source_id"), F.col("target_id")
@@ -171,7 +194,7 @@ class Projection:
         delta = self._delta(events, entries)
         added, dropped = [], []
         for table, fresh in delta.items():
-            runs, size = self._runs(table, entries), rows * (2 if table == "ends" else 1)
+            runs, size = self._runs(table, entries), rows * (2 if SPREAD[table] > 1 else 1)
             while runs and runs[-1]["rows"] <= 2 * size:
                 run = runs.pop()
                 fresh, size = fresh.unionByName(self._read(table, run).drop("bucket")), size + run["rows"]
@@ -193,7 +216,7 @@ class Projection:
     def _write(self, table: str, rows: DataFrame, size: int) -> dict:
         run = {"name": f"{table}-{uuid.uuid4().hex}", "table": table, "rows": size, "buckets": max(1, -(-size // ROWS))}
         key = KEYS[table]
-        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(run["buckets"])).cast("int"))
+        dealt = rows.withColumn("bucket", _part(table, F.col(key), F.col("id"), run["buckets"]))
         dealt.repartition(run["buckets"], "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{run['name']}")
         return run | {"rows": self._read(table, run).count()}  # from the files' footers
 
@@ -213,6 +236,8 @@ class Projection:
         nodes, edges = fields("node", NODE_PAYLOAD), fields("edge", EDGE_PAYLOAD)
         edges = edges.withColumn("directed", F.coalesce("directed", F.lit(False)))
         ends = edges.filter("alive").select(F.explode(F.array("source_id", "target_id")).alias("node_id"), "id")
+        values = nodes.filter("alive").select("id", F.explode(F.from_json("properties", "map<string,string>")).alias("k", "v"))
+        postings = values.filter("v is not null").select(_term(F.col("k"), F.col("v")).alias("term"), "id")
         # deletes of the batch, and those of before, whichever is later
         deletes = nodes.filter("gone is not null").select(F.col("id").alias("n"), F.col("gone").alias("at"))
         known = self.pick("nodes", ends.select("node_id"), entries).filter("gone is not null").select(F.col("id").alias("n"), F.col("gone").alias("at")) if self._runs("nodes", entries) else deletes.limit(0)
@@ -221,7 +246,7 @@ class Projection:
         lost = _taken_along(old, deletes).filter("not alive")
         both = edges.unionByName(lost.select(*edges.columns))
         columns: Callable[[str], list] = lambda table: [f.split()[0] for f in TABLES[table].split(", ")]
-        return {"nodes": nodes.select(*columns("nodes")), "edges": _latest(both, "edges").select(*columns("edges")), "ends": ends.distinct().select(*columns("ends"))}
+        return {"nodes": nodes.select(*columns("nodes")), "edges": _latest(both, "edges").select(*columns("edges")), "ends": ends.distinct().select(*columns("ends")), "postings": postings.distinct()}
 
 
 def _taken_along(edges: DataFrame, deletes: DataFrame) -> DataFrame:

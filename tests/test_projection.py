@@ -12,6 +12,7 @@ from provgraph.errors import Conflict, DamagedLog, EdgeExists
 from provgraph.operators import replay
 from provgraph.operators.commands import Commands
 from provgraph.operators.projection import Projection
+from provgraph.operators.search import search
 from provgraph.schema import EVENTS
 from provgraph.sources.eventlog import EventLog, entity_timeline
 
@@ -26,7 +27,7 @@ def random_events(rng, n, nodes=8, edges=14):
         at = START + dt.timedelta(minutes=rng.randint(0, n))
         if rng.random() < 0.5:
             i, kind = f"n{rng.randrange(nodes)}", rng.choice(["node_created", "node_updated", "node_deleted"])
-            payload = {"id": i, "name": i.upper(), "type": "api", "properties": {"v": rng.randrange(9)}}
+            payload = {"id": i, "name": i.upper(), "type": "api", "properties": {"v": rng.choice([*range(6), "3", "true", True, 3.5, {"a": 1}, None])}}
         else:
             i, kind = f"e{rng.randrange(edges)}", rng.choice(["edge_created", "edge_updated", "edge_created", "edge_deleted"])
             a = rng.randrange(nodes)
@@ -46,18 +47,18 @@ def state(nodes, edges):
 
 def test_projection_equals_fold(spark, tmp_path):
     rng = random.Random(2)
-    rows = random_events(rng, 160)
+    rows = random_events(rng, 120)
     store = EventLog(spark, (tmp_path / "log").as_uri())
     held, at = Projection(store), 0
     while at < len(rows):
-        size = rng.choice([1, 3, 30])
+        size = rng.choice([2, 7, 30])
         put(spark, store, rows[at : at + size])
         held.catch_up()
         at += size
         if size == 30 or at >= len(rows):
             graph = held.graph()
             assert state(graph.nodes, graph.edges) == state(*replay.fold(store.events()))
-    assert held.seq() == 160 and len(held._runs("edges")) < 8
+    assert held.seq() == 120 and len(held._runs("edges")) < 8
     graph, anew = held.graph(), Projection(store, (tmp_path / "anew").as_uri())
     anew.catch_up()
     assert state(anew.graph().nodes, anew.graph().edges) == state(graph.nodes, graph.edges)
@@ -81,6 +82,7 @@ def test_batches_in_any_order(spark, tmp_path):
 def test_look_ups(spark, tmp_path, monkeypatch):
     store = EventLog(spark, tmp_path.as_uri())
     rows = random_events(random.Random(7), 200)
+    monkeypatch.setattr("provgraph.operators.projection.ROWS", 40)  # several parts a run
     put(spark, store, rows)
     held = Projection(store)
     held.catch_up()
@@ -89,6 +91,9 @@ def test_look_ups(spark, tmp_path, monkeypatch):
         assert {tuple(r) for r in held.node(n).select("id", "properties").collect()} == {tuple(r) for r in graph.nodes.filter(F.col("id") == n).select("id", "properties").collect()}
         want = {r.id for r in graph.incident_edges(n).collect()}
         assert {r.id for r in held.standing_at(n).collect()} == want
+    for key, value in (("v", "3"), ("v", "true"), ("v", "3.5"), ("v", '{"a":1}'), ("w", "x")):
+        want = [tuple(r) for r in search(graph.nodes, key=key, value=value).select("id", "properties").collect()]
+        assert [tuple(r) for r in held.search(key, value).select("id", "properties").collect()] == want
     # beyond a few ids the look-up is a join
     monkeypatch.setattr("provgraph.operators.projection.FEW", 2)
     ids = graph.nodes.select("id")
