@@ -79,14 +79,15 @@ def ngram_weights(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothin
     n_buckets = 1 << bits
     texts = docs.select(docs["doc_id"].alias(PREFIX + "id"), text_of(docs).alias("text"))
     ids = trusted_ids(labels)
-    trusted = texts.filter(F.col(PREFIX + "id").isNotNull() & may_be_trusted(ids, F.col(PREFIX + "id"))).join(ids.hint("merge"), PREFIX + "id", "left_semi")
-    rows = texts.select(F.lit(None).cast("int").alias("trusted"), "text").union(trusted.select(F.lit(1), "text"))
+    may = F.coalesce(may_be_trusted(ids, F.col(PREFIX + "id")), F.lit(False))
+    asked = texts.filter(may).join(ids.withColumn("trusted", F.lit(1)).hint("merge"), PREFIX + "id", "left")
+    rows = asked.select("trusted", "text").union(texts.filter(~may).select(F.lit(None).cast("int"), "text"))
     rows = rows.select("trusted", token_hashes(F.col("text")).alias("hashes"))
     # each token with its successor; the last one's is null
     grams = rows.select("trusted", F.inline(F.arrays_zip(F.col("hashes").alias("a"), F.slice("hashes", 2, 2**31 - 1).alias("b"))).alias("a", "b"))
     both = F.array(_bucket(bits, F.col("a")), F.when(F.col("b").isNotNull(), _bucket(bits, F.col("a"), F.col("b"))))
     grams = grams.select("trusted", F.explode(both).alias("bucket")).filter("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count(F.when(F.col("trusted").isNull(), 1)).alias("raw"), F.count("trusted").alias("target"))
+    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     found = counts.collect()  # 2**bits rows at most
     raw_total, target_total = sum(c.raw for c in found), sum(c.target for c in found)
     weights = [0.0] * n_buckets
