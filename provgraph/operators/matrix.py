@@ -64,18 +64,26 @@ def components(graph: LineageGraph) -> DataFrame:
     factor a round, for chains as well as for stars.
     """
     rounds = Rounds(graph.nodes.sparkSession)
-    labels = rounds.save(graph.nodes.select("id", F.col("id").alias("c")))
     live = graph.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     live = rounds.save(live.filter("a != b").distinct())
-    turn = 0
+    leads: list[DataFrame] = []
     while not live.isEmpty():
-        turn += 1
-        rank = lambda x, t=turn: F.struct(F.xxhash64(x, F.lit(t)).alias("h"), F.col(x).alias("v"))
+        rank = lambda x, t=len(leads): F.struct(F.xxhash64(x, F.lit(t)).alias("h"), F.col(x).alias("v"))
         both = live.union(live.select("b", "a"))
         lead = rounds.save(both.groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a")))["v"].alias("to")).withColumnRenamed("a", "from"))
-        labels = rounds.save(labels.join(lead, F.col("c") == F.col("from"), "left").select("id", F.coalesce("to", "c").alias("c")))
+        leads.append(lead)
         moved = live.join(lead.withColumnsRenamed({"from": "f", "to": "ta"}), F.col("a") == F.col("f")).join(lead.withColumnsRenamed({"from": "g", "to": "tb"}), F.col("b") == F.col("g"))
         live = rounds.save(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a != b").distinct())
+    # where each round's nodes end, from the last round back: each table has
+    # the nodes of its round alone, which grow by a constant factor
+    labels = graph.nodes.select("id", F.col("id").alias("c"))
+    if leads:
+        ends = leads.pop()
+        while leads:
+            further = ends.withColumnsRenamed({"from": "f", "to": "end"})
+            ends = leads.pop().join(further, F.col("to") == F.col("f"), "left").select("from", F.coalesce("end", "to").alias("to"))
+            ends = rounds.save(ends) if len(leads) % 2 else ends
+        labels = rounds.save(graph.nodes.select("id").join(ends, F.col("id") == F.col("from"), "left").select("id", F.coalesce("to", "id").alias("c")))
     names = labels.groupBy("c").agg(F.min("id").alias("component"))
     return rounds.finish(labels.join(names, "c").select("id", "component"))
 
