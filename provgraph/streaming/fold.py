@@ -56,7 +56,8 @@ class Newest(StatefulProcessor):
 
 
 def newest_events(events: DataFrame) -> DataFrame:
-    """The events of a stream that change what is known of their entity."""
+    """The events of a stream that change what is known of their entity. The
+    session's state store becomes RocksDB, which such state needs."""
     events.sparkSession.conf.set(PROVIDER, ROCKS)
     return events.groupBy("entity_type", "entity_id").transformWithStateInPandas(Newest(), EVENTS, "Append", "None")
 
