@@ -12,13 +12,14 @@ from provgraph.plans.iterate import Rounds, numbered
 def levels(graph: LineageGraph) -> DataFrame:
     """(id, level): the longest directed path that ends there, for the nodes
     that no cycle precedes. Peels nodes without incoming edges round by round;
-    undirected edges do not count."""
+    undirected edges do not count. The graph's own edges are read twice, and
+    those that the first round leaves are written."""
     rounds = Rounds(graph.nodes.sparkSession)
-    e = rounds.save(graph.edges.filter("directed").select("source_id", "target_id"))
+    e = graph.edges.filter("directed").select("source_id", "target_id")
     left = rounds.save(graph.nodes.select("id"))
     out, level = None, 0
     while True:
-        free = rounds.save(left.join(e.select(F.col("target_id").alias("id")), "id", "left_anti").select("id", F.lit(level).alias("level")))
+        free = rounds.save(left.join(e.select(F.col("target_id").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(level).alias("level")))
         if free.isEmpty():
             return rounds.finish(free if out is None else out)
         out = free if out is None else out.union(free)
