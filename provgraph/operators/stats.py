@@ -54,5 +54,5 @@ def topology(graph: LineageGraph, types=(), relations=(), limit: int = 0) -> dic
 
 def roots_and_leaves(graph: LineageGraph) -> tuple[DataFrame, DataFrame]:
     """Nodes without incoming, and without outgoing adjacency; by name, id."""
-    without = lambda d: graph.nodes.join(graph.adjacency(d).select(F.col("src").alias("id")), "id", "left_anti").select("id", "name", "type").orderBy("name", "id")
+    without = lambda d: graph.nodes.join(graph.adjacency(d).select(F.col("src").alias("id")).distinct(), "id", "left_anti").select("id", "name", "type").orderBy("name", "id")
     return without("in"), without("out")
