@@ -23,8 +23,8 @@ def reach_sides(graph: LineageGraph, starts: DataFrame, depth: int, sides=("out"
     broadcast by Spark, so that they are not shuffled either. Graphs whose
     edges are dear to make are saved first (``LineageGraph.saved``).
     """
-    rounds = Rounds(starts.sparkSession)
-    way = lambda d: graph.adjacency(d, relations, types).select(F.lit(d).alias("side"), "src", "dst")
+    rounds, types = Rounds(starts.sparkSession), list(types)
+    way = lambda d: graph.adjacency(d, relations).select(F.lit(d).alias("side"), "src", "dst")
     a = reduce(DataFrame.union, [way(d) for d in sides])
     root = F.col(starts.columns[0])
     front = rounds.save(starts.select(F.explode(F.array(*map(F.lit, sides))).alias("side"), root.alias("root"), root.alias("node_id"), F.lit(0).alias("depth")))
@@ -32,6 +32,8 @@ def reach_sides(graph: LineageGraph, starts: DataFrame, depth: int, sides=("out"
     for level in range(1, clamp(depth, graph.limits.depth) + 1):
         met = front.withColumnRenamed("side", "s").join(a, (F.col("s") == F.col("side")) & (F.col("node_id") == F.col("src")))
         met = met.select("side", "root", F.col("dst").alias("node_id")).distinct()
+        if types:  # of what is met, not of all edges
+            met = met.join(graph.nodes.filter(F.col("type").isin(types)).select(F.col("id").alias("node_id")), "node_id", "left_semi").select(*keys)
         front = rounds.save(met.join(visits, keys, "left_anti").select(*keys, F.lit(level).alias("depth")))
         if front.isEmpty():
             break

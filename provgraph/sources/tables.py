@@ -23,21 +23,32 @@ def key_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def key_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges of the foreign-key graph; directed, weight 1, without cycles."""
+def key_pairs(spark: SparkSession, folder: str, repeats: bool = False) -> DataFrame:
+    """(a, a_key, b, b_key, relation): the foreign keys, letters and numbers
+    of both ends. With ``repeats`` an order or a supplier may stand with one
+    part in many rows, which spares telling all pairs apart."""
     n, c, s, o, li = (read(spark, folder, t) for t in ("nation", "customer", "supplier", "orders", "lineitem"))
-    end = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
-    edge = lambda df, a, b, relation: df.select(a.alias("source_id"), b.alias("target_id"), F.lit(relation).alias("relation"))
-    edges = edge(n, end("N", "n_nationkey"), end("R", "n_regionkey"), "deploys_on")
-    edges = edges.union(edge(c, end("C", "c_custkey"), end("N", "c_nationkey"), "depends_on")).union(edge(s, end("S", "s_suppkey"), end("N", "s_nationkey"), "depends_on"))
-    edges = edges.union(edge(o, end("C", "o_custkey"), end("O", "o_orderkey"), "owns"))
-    # pairs of numbers are told apart before they become texts
-    pairs = lambda a, b: li.select(a, b).distinct()
-    edges = edges.union(edge(pairs("l_orderkey", "l_partkey"), end("O", "l_orderkey"), end("P", "l_partkey"), "reads_from"))
-    edges = edges.union(edge(pairs("l_suppkey", "l_partkey"), end("S", "l_suppkey"), end("P", "l_partkey"), "writes_to"))
+    pair = lambda df, a, key, b, other, relation: df.select(F.lit(a).alias("a"), F.col(key).alias("a_key"), F.lit(b).alias("b"), F.col(other).alias("b_key"), F.lit(relation).alias("relation"))
+    some = lambda x, y: li.select(x, y) if repeats else li.select(x, y).distinct()
+    pairs = pair(n, "N", "n_nationkey", "R", "n_regionkey", "deploys_on")
+    pairs = pairs.union(pair(c, "C", "c_custkey", "N", "c_nationkey", "depends_on")).union(pair(s, "S", "s_suppkey", "N", "s_nationkey", "depends_on"))
+    pairs = pairs.union(pair(o, "C", "o_custkey", "O", "o_orderkey", "owns"))
+    pairs = pairs.union(pair(some("l_orderkey", "l_partkey"), "O", "l_orderkey", "P", "l_partkey", "reads_from"))
+    return pairs.union(pair(some("l_suppkey", "l_partkey"), "S", "l_suppkey", "P", "l_partkey", "writes_to"))
+
+
+def edges_of(pairs: DataFrame) -> DataFrame:
+    """The edges that pairs of keys stand for; directed, weight 1."""
+    end = lambda letter, key: F.concat(letter, F.col(key).cast("string"))
+    edges = pairs.select(end("a", "a_key").alias("source_id"), end("b", "b_key").alias("target_id"), "relation")
     return edges.select(F.concat_ws("-", "source_id", "relation", "target_id").alias("id"), "*", F.lit(1.0).alias("weight"), F.lit(True).alias("directed"), F.lit("{}").alias("properties"))
 
 
+def key_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of the foreign-key graph; directed, weight 1, without cycles."""
+    return edges_of(key_pairs(spark, folder))
+
+
 def flow_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Edges of the flow graph: from each event's user to the next event's.
 

@@ -1,5 +1,7 @@
 """Small graphs with known answers."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +255,19 @@ def test_two_ended_equals_one_sided(spark):
     assert found >= 2
     back = two_ended(g, "n17", "n0", direction="in")[0].first()
     assert back.found == ("n17" in best) and (not back.found or abs(back.cost - best["n17"]) < 1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_what_asks_for_links_does_not_write_the_key_graph(spark):
+    from provgraph import queries
+
+    queries._saved.clear()
+    for name in ("bfs_in", "roots"):
+        assert not queries.QUERIES[name](spark, "/root/testdata/sf0.001").isEmpty()
+    assert not queries._saved
+
+
+def test_dangling_needs_no_ids(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "x"), ("y", "b"), ("y", "x")], "source_id string, target_id string")
+    assert sorted(map(tuple, dangling_edges(edges, nodes).collect())) == [("a", "x"), ("y", "b"), ("y", "x")]
