@@ -37,13 +37,10 @@ def has_cycle(graph: LineageGraph) -> DataFrame:
 
 def topological_order(graph: LineageGraph) -> DataFrame:
     """(id, ord): the lexicographically smallest order; a prefix if there is a
-    cycle. Which node comes next depends on all before, so one task keeps the
-    heap; it gets ids and edges only, and at most ``limits.nodes`` nodes."""
-    n = graph.nodes.count()
-    if n > graph.limits.nodes:
-        from provgraph.errors import SubgraphTooLarge
-
-        raise SubgraphTooLarge(f"{n} nodes; at most {graph.limits.nodes}")
+    cycle. Up to ``limits.nodes`` nodes one task keeps the heap, which gets ids
+    and edges only; larger graphs are ordered by ``_by_records``."""
+    if graph.nodes.limit(graph.limits.nodes + 1).count() > graph.limits.nodes:
+        return _by_records(graph)
     rows = graph.nodes.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).union(graph.edges.filter("directed").select("source_id", "target_id"))
 
     def run(table):
@@ -72,3 +69,35 @@ def level_order(graph: LineageGraph) -> DataFrame:
     """(id, level, ord): a topological order of any size, by level and id; the
     nodes that no cycle precedes."""
     return numbered(levels(graph), ["level", "id"], "ord")
+
+
+def _by_records(graph: LineageGraph) -> DataFrame:
+    """The lexicographically smallest order of a graph of any size.
+
+    Let ``top`` of a node be the greatest id among itself and all before it.
+    The heap gives nodes by rising top: as long as one of a lesser top waits,
+    one of that top is free and less than any of a greater one. Of those that
+    share a top the node of that id comes first, as it is before the others,
+    and they follow in the same way among themselves. So a node's place is that
+    of the list of its tops. Where every edge rises, that is the node's id.
+    """
+    rounds = Rounds(graph.nodes.sparkSession)
+    e = graph.edges.filter("directed").select("source_id", "target_id")
+    if e.filter("source_id >= target_id").isEmpty():
+        return numbered(graph.nodes.select("id"), ["id"], "ord")
+    left = rounds.save(levels(graph).select("id", F.array().cast("array<string>").alias("tops")))
+    done = None
+    while not left.isEmpty():
+        at = left.select(F.col("id").alias("source_id"), F.col("tops").alias("s")), left.select(F.col("id").alias("target_id"), F.col("tops").alias("t"))
+        e = rounds.save(e.join(at[0], "source_id").join(at[1], "target_id").filter("s = t").select("source_id", "target_id").distinct())
+        # greatest ids go along the edges, those alone that have changed
+        best = front = left.select("id", F.col("id").alias("top"))
+        while not front.isEmpty():
+            met = front.withColumnRenamed("id", "source_id").join(e, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.max("top").alias("new"))
+            front = rounds.save(met.join(best, "id").filter("new > top").select("id", F.col("new").alias("top")))
+            best = rounds.save(best.union(front).groupBy("id").agg(F.max("top").alias("top")))
+        placed = rounds.save(left.join(best, "id").select("id", F.concat("tops", F.array("top")).alias("tops")))
+        here = F.element_at("tops", -1) == F.col("id")
+        done = placed.filter(here) if done is None else done.union(placed.filter(here))
+        left = placed.filter(~here)
+    return numbered(left if done is None else done, ["tops"], "ord").select("id", "ord")

@@ -271,3 +271,18 @@ def test_dangling_needs_no_ids(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
     edges = spark.createDataFrame([("a", "b"), ("a", "x"), ("y", "b"), ("y", "x")], "source_id string, target_id string")
     assert sorted(map(tuple, dangling_edges(edges, nodes).collect())) == [("a", "x"), ("y", "b"), ("y", "x")]
+
+
+@pytest.mark.parametrize("rising", [True, False])
+def test_topological_order_beyond_one_task(spark, rising):
+    import random
+
+    draw = random.Random(5)
+    names = [f"n{i}" for i in range(1, 15)]
+    order_ = sorted(names) if rising else draw.sample(names, len(names))
+    pairs = {tuple(sorted(draw.sample(range(14), 2))) for _ in range(18)}
+    ends = [(order_[i], order_[j]) for i, j in pairs] + ([] if rising else [("c1", "c2"), ("c2", "c1"), ("c2", "c3")])
+    g = graph(spark, [(n,) for n in names + ([] if rising else ["c1", "c2", "c3"])], [(str(i), a, b, "calls", 1.0) for i, (a, b) in enumerate(ends)])
+    listed = lambda x: [r.id for r in sorted(order.topological_order(x).collect(), key=lambda r: r.ord)]
+    found = listed(LineageGraph(g.nodes, g.edges, Limits(nodes=5)))
+    assert found == listed(g) and len(found) == 14
