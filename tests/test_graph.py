@@ -286,3 +286,11 @@ def test_topological_order_beyond_one_task(spark, rising):
     listed = lambda x: [r.id for r in sorted(order.topological_order(x).collect(), key=lambda r: r.ord)]
     found = listed(LineageGraph(g.nodes, g.edges, Limits(nodes=5)))
     assert found == listed(g) and len(found) == 14
+
+
+def test_two_hop_shuffles_no_single_ways(spark, it):
+    two = matrix.two_hop(it)
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Generate explode(js") < plan.rindex("REPARTITION_BY_COL") and "Exchange" not in plan[: plan.index("Generate explode(js")]
+    pairs = {(r.source_id, r.target_id) for r in it.edges.collect()}
+    assert {(r.i, r.j): r.n for r in two.collect()} == {(a, d): sum((a, k) in pairs and (k, d) in pairs for k in {b for _, b in pairs}) for a, b in pairs for c, d in pairs if b == c}
