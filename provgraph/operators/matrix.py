@@ -63,40 +63,82 @@ def two_hop(graph: LineageGraph) -> DataFrame:
     return met.select("i", F.explode("js").alias("j")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
-def components(graph: LineageGraph) -> DataFrame:
-    """(id, component): weakly connected; named by the smallest id in it.
-
-    Contraction by random neighbours: the number of nodes falls by a constant
-    factor a round, for chains as well as for stars.
-    """
-    rounds = Rounds(graph.nodes.sparkSession)
-    live = graph.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    live = rounds.save(live.filter("a != b").distinct())
+def _contract(live: DataFrame, rounds: Rounds) -> DataFrame | None:
+    """(from, to): where each end of some pairs (a, b) of different nodes, told
+    apart and written, ends when what is linked is contracted by random
+    neighbours; the number of nodes falls by a constant factor a round, for
+    chains as well as for stars. None without pairs."""
     leads: list[DataFrame] = []
     while not live.isEmpty():
         rank = lambda x, t=len(leads): F.struct(F.xxhash64(x, F.lit(t)).alias("h"), F.col(x).alias("v"))
         both = live.union(live.select("b", "a"))
         lead = rounds.save(both.groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a")))["v"].alias("to")).withColumnRenamed("a", "from"))
         leads.append(lead)
-        moved = live.join(lead.withColumnsRenamed({"from": "f", "to": "ta"}), F.col("a") == F.col("f")).join(lead.withColumnsRenamed({"from": "g", "to": "tb"}), F.col("b") == F.col("g"))
-        live = rounds.save(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a != b").distinct())
+        live = _moved(live, lead, rounds)
+    if not leads:
+        return None
     # where each round's nodes end, from the last round back: each table has
     # the nodes of its round alone, which grow by a constant factor
-    labels = graph.nodes.select("id", F.col("id").alias("c"))
-    if leads:
-        ends = leads.pop()
-        while leads:
-            further = ends.withColumnsRenamed({"from": "f", "to": "end"})
-            ends = leads.pop().join(further, F.col("to") == F.col("f"), "left").select("from", F.coalesce("end", "to").alias("to"))
-            ends = rounds.save(ends) if len(leads) % 2 else ends
-        labels = rounds.save(graph.nodes.select("id").join(ends, F.col("id") == F.col("from"), "left").select("id", F.coalesce("to", "id").alias("c")))
+    ends = leads.pop()
+    while leads:
+        further = ends.withColumnsRenamed({"from": "f", "to": "end"})
+        ends = leads.pop().join(further, F.col("to") == F.col("f"), "left").select("from", F.coalesce("end", "to").alias("to"))
+        ends = rounds.save(ends) if len(leads) % 2 else ends
+    return rounds.save(ends)
+
+
+def _moved(pairs: DataFrame, lead: DataFrame, rounds: Rounds) -> DataFrame:
+    """The pairs between what their ends lead to, where that differs."""
+    moved = pairs.join(lead.withColumnsRenamed({"from": "f", "to": "ta"}), F.col("a") == F.col("f")).join(lead.withColumnsRenamed({"from": "g", "to": "tb"}), F.col("b") == F.col("g"))
+    return rounds.save(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a != b").distinct())
+
+
+def _labels(graph: LineageGraph, rounds: Rounds) -> DataFrame:
+    """(id, c): nodes that are linked have the same c.
+
+    First the pairs of each node's least and greatest neighbour are contracted,
+    one a node at most, and a node goes where its least neighbour goes; that
+    joins most of what is joined. Of the edges only those are looked at again
+    that have an end outside of the largest part so far.
+    """
+    nodes = graph.nodes.select("id")
+    pairs = graph.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).filter("a != b")
+    near = pairs.union(pairs.select("b", "a")).groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    near = rounds.save(near)
+    if near.isEmpty():
+        return nodes.withColumn("c", F.col("id"))
+    ends = near.select(F.col("a").alias("from"), F.col("lo").alias("to"))
+    ends = _further(ends, _contract(rounds.save(near.filter("lo != hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()), rounds))
+    ends = rounds.save(ends)
+    largest = ends.groupBy("to").count().orderBy(F.desc("count"), "to").first()["to"]
+    outside = rounds.save(ends.filter(F.col("to") != largest).select("from"))
+    if not outside.isEmpty():
+        at = lambda end: pairs.join(outside.withColumnRenamed("from", end), end, "left_semi").select("a", "b")
+        ends = _further(ends, _contract(_moved(at("a").union(at("b")), ends, rounds), rounds))
+    return rounds.save(nodes.join(ends, F.col("id") == F.col("from"), "left").select("id", F.coalesce("to", "id").alias("c")))
+
+
+def _further(ends: DataFrame, more: DataFrame | None) -> DataFrame:
+    """(from, to), and on to where ``more`` says that these lead."""
+    if more is None:
+        return ends
+    more = more.withColumnsRenamed({"from": "f", "to": "end"})
+    return ends.join(more, F.col("to") == F.col("f"), "left").select("from", F.coalesce("end", "to").alias("to"))
+
+
+def components(graph: LineageGraph) -> DataFrame:
+    """(id, component): weakly connected; named by the smallest id in it."""
+    rounds = Rounds(graph.nodes.sparkSession)
+    labels = _labels(graph, rounds)
     names = labels.groupBy("c").agg(F.min("id").alias("component"))
     return rounds.finish(labels.join(names, "c").select("id", "component"))
 
 
 def component_sizes(graph: LineageGraph) -> DataFrame:
     """(component, size), largest first."""
-    return components(graph).groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component")
+    rounds = Rounds(graph.nodes.sparkSession)
+    sizes = _labels(graph, rounds).groupBy("c").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    return rounds.finish(sizes.select("component", "size")).orderBy(F.desc("size"), "component")
 
 
 def analysis(graph: LineageGraph, ids=None) -> dict[str, DataFrame]:

@@ -288,6 +288,22 @@ def test_topological_order_beyond_one_task(spark, rising):
     assert found == listed(g) and len(found) == 14
 
 
+def test_components_of_many_shapes(spark):
+    import random
+
+    draw = random.Random(3)
+    ends = [(f"a{draw.randrange(30)}", f"a{draw.randrange(30)}") for _ in range(22)] + [(f"l{i}", f"l{i + 1}") for i in range(9)] + [("hub", f"s{i}") for i in range(6)] + [("p", "q"), ("q", "p"), ("z", "z"), ("hub", "s1")]
+    names = sorted({n for pair in ends for n in pair} | {"lone"})
+    root = {n: n for n in names}
+    for _ in names:
+        for a, b in ends:
+            root[a] = root[b] = min(root[a], root[b])
+    g = graph(spark, [(n,) for n in names], [(str(i), a, b, "calls", 1.0) for i, (a, b) in enumerate(ends)])
+    assert {r.id: r.component for r in matrix.components(g).collect()} == root
+    sizes = {r.component: r.size for r in matrix.component_sizes(g).collect()}
+    assert sizes == {c: list(root.values()).count(c) for c in root.values()}
+
+
 def test_two_hop_shuffles_no_single_ways(spark, it):
     two = matrix.two_hop(it)
     plan = two._jdf.queryExecution().executedPlan().toString()
