@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -345,6 +346,24 @@ def test_decontamination_finds_long_items(spark):
     assert len(want) > 12 and want <= got and not any(d < 1000 or d >= 3000 for d, _ in got)
 
 
+def test_decontamination_fits_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    n = rng.integers(0, 25, 10_000)  # one batch of passages
+    at, bounds = rng.integers(0, 3000, n.sum()).astype(np.int32), np.concatenate(([0], np.cumsum(n))) + 7
+    weights, q = rng.random(3000).astype(np.float32), rng.standard_normal((3000, 264)).astype(np.float32)
+    out = np.zeros((3000, 264))
+    tracemalloc.start()
+    nine.add_products(out, at, bounds, weights, q)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = np.zeros((10_000, 3000))
+    np.add.at(x, (np.repeat(np.arange(10_000), n), at), weights[at])
+    length = np.sqrt(np.bincount(np.repeat(np.arange(10_000), n), weights[at] ** 2, 10_000))
+    x /= np.maximum(length, 1e-9)[:, None]
+    assert np.abs(x.T @ (x @ q) - out).max() < 1e-3
+    assert most < 40e6  # all rows of the batch at once are some 120 MB, and were held four times
+
+
 def spans_by_force(rows):
     """What is left of each text, for texts of plain lines as sentences."""
     cut = {d: [s for s in re.split(r"(?<=[.!?])\s+|\n", t or "") if split(s)] for d, t in rows}
