@@ -12,34 +12,53 @@ from provgraph.schema import clamp
 
 #: Rounds whose improvements are kept apart before they are merged.
 MERGE = 8
+#: Counted rows of nodes and costs, some MB at most, that are broadcast.
+SMALL = 50_000
 
 
 def distances(graph: LineageGraph, start: str, goal: str | None = None, direction: str = "out", relations=(), types=()) -> tuple[DataFrame, DataFrame]:
-    """((node_id, cost), adjacency): least cost from ``start`` by rounds of
-    relaxation; what costs more than the goal's best is cut off.
+    """((node_id, cost, hop), adjacency): least cost from ``start`` by rounds
+    of relaxation, and the fewest edges by which it is reached; what costs more
+    than the goal's best is cut off.
 
     A round writes what it improved; those few tables together are the costs
-    so far, and every ``MERGE`` rounds they become one.
+    so far, and every ``MERGE`` rounds they become one. As a round adds one
+    edge to every way, the first round that finds a node's least cost is the
+    fewest edges. An edge that weighs more than the goal's best is on no way
+    that counts and is left out; once no more than a quarter is left, those are
+    written, and later rounds and the caller read them alone.
     """
-    rounds = Rounds(graph.nodes.sparkSession)
+    rounds, left = Rounds(graph.nodes.sparkSession), Rounds(graph.nodes.sparkSession)
     a = graph.adjacency(direction, relations, types)
-    front = rounds.save(graph.nodes.filter(F.col("id") == start).select(F.col("id").alias("node_id"), F.lit(0.0).alias("cost")))
-    held, turn, bound = front, 0, None
-    least = lambda df: df.groupBy("node_id").agg(F.min("cost").alias("cost"))
-    while not front.isEmpty():
+    front = rounds.save(graph.nodes.filter(F.col("id") == start).select(F.col("id").alias("node_id"), F.lit(0.0).alias("cost"), F.lit(0).alias("hop")))
+    held, turn, bound, looked, size = front, 0, None, None, 0
+    least = lambda df: df.groupBy("node_id").agg(F.min(F.struct("cost", "hop")).alias("l")).select("node_id", "l.*")
+    # one row: how many improved, and the goal's cost if it did
+    state = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("node_id") == goal, F.col("cost")) if goal is not None else F.lit(None)).alias("c")).first()
+    seen = state(front)
+    while seen.n:
         turn += 1
-        tried = front.join(a, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.min(F.col("cost") + F.col("weight")).alias("new"))
-        if goal is not None:
-            bound = held.filter(F.col("node_id") == goal).agg(F.min("cost")).first()[0]
+        if seen.c is not None:
+            bound = seen.c
+        if bound is not None and (looked is None or bound < looked / 2):
+            size, looked, n = size or a.count(), bound, a.filter(F.col("weight") <= bound).count()
+            if n <= size / 4:
+                a, size = left.save(a.filter(F.col("weight") <= bound)), n
+        counts = a if bound is None else a.filter(F.col("weight") <= bound)
+        tried = small(front, seen.n).join(counts, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.min(F.col("cost") + F.col("weight")).alias("new"))
         if bound is not None:
             tried = tried.filter(F.col("new") <= bound)
-        best = least(held)
-        front = tried.join(best, F.col("dst") == F.col("node_id"), "left").filter(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select(F.col("dst").alias("node_id"), F.col("new").alias("cost"))
-        front = rounds.save(front)
-        held = held.union(front)
+        front = tried.join(least(held), F.col("dst") == F.col("node_id"), "left").filter(F.col("cost").isNull() | (F.col("new") < F.col("cost")))
+        front = rounds.save(front.select(F.col("dst").alias("node_id"), F.col("new").alias("cost"), F.lit(turn).alias("hop")))
+        held, seen = held.union(front), state(front)
         if turn % MERGE == 0:
             held = rounds.save(least(held))
-    return rounds.finish(least(held)), a
+    return rounds.finish(least(held)), a if bound is None else a.filter(F.col("weight") <= bound)
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows, to be broadcast where those are few."""
+    return F.broadcast(df) if n <= SMALL else df
 
 
 def shortest_path(graph: LineageGraph, start: str, goal: str, direction: str = "out", relations=(), types=(), max_visit: int = 0) -> DataFrame:
@@ -60,12 +79,13 @@ def shortest_path(graph: LineageGraph, start: str, goal: str, direction: str = "
     seen = before.count()
     truncated = seen > most or (not cost and seen == most)
     visited = F.lit(min(seen, most)).cast("long").alias("visited_count")
-    d, t = best.withColumnsRenamed({"node_id": "src", "cost": "from_cost"}), best.withColumnsRenamed({"node_id": "dst", "cost": "to_cost"})
+    n = best.count()
+    d, t = (small(best.select(F.col("node_id").alias(end), F.col("cost").alias(f"{way}_cost"), *also), n) for end, way, also in (("src", "from", ["hop"]), ("dst", "to", [])))
     tight = a.join(d, "src").join(t, "dst").filter((F.col("from_cost") + F.col("weight") == F.col("to_cost")) & (F.col("dst") != start))
-    tight = rounds.save(tight).withColumn("hop", F.lit(0))
-    if not tight.filter("from_cost = to_cost").isEmpty():
-        # along edges of weight 0 cost alone could lead in circles: fewest hops first
-        tight = tight.drop("hop").join(_hops_from(tight, start, rounds), "src")
+    tight = rounds.save(tight)
+    if tight.filter("from_cost = to_cost").isEmpty():
+        # only along edges of weight 0 cost alone could lead in circles: fewest hops first
+        tight = tight.withColumn("hop", F.lit(0))
     pred = rounds.save(tight.groupBy("dst").agg(F.min(F.struct("from_cost", "hop", "src", "edge_id")).alias("p")).select("dst", "p.src", "p.edge_id"))
     empty = F.array().cast("array<string>")
     path = best.filter(F.col("node_id") == goal).select("node_id", "cost", F.array("node_id").alias("node_ids"), empty.alias("edge_ids"))
@@ -78,17 +98,6 @@ def shortest_path(graph: LineageGraph, start: str, goal: str, direction: str = "
     return row.union(none.filter(F.lit(truncated or not cost))).select("*", visited, F.lit(truncated).alias("truncated"))
 
 
-def _hops_from(edges: DataFrame, start: str, rounds: Rounds) -> DataFrame:
-    """(src, hop): fewest edges from ``start`` to each node."""
-    front = rounds.save(edges.sparkSession.createDataFrame([(start, 0)], "src string, hop int"))
-    seen = front
-    while not front.isEmpty():
-        met = edges.select("src", "dst").join(front, "src").select(F.col("dst").alias("src"), (F.col("hop") + 1).alias("hop")).distinct()
-        front = rounds.save(met.join(seen.select("src"), "src", "left_anti"))
-        seen = seen.union(front)
-    return seen
-
-
 def all_paths(graph: LineageGraph, start: str, goal: str, depth: int = 0, max_paths: int = 0, direction: str = "out", relations=(), types=()) -> tuple[DataFrame, bool]:
     """((node_ids, edge_ids, cost, hops), truncated): simple paths of at most
     ``depth`` edges; the first max_paths by edge ids, then by cost and hops."""

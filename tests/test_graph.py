@@ -206,6 +206,31 @@ def test_random_against_dijkstra(spark):
     assert {r.node_id: r.cost for r in paths.distances(g, "n0")[0].collect()} == best
 
 
+def test_shortest_path_reads_only_edges_that_count(spark):
+    """Of 81 edges, free ones among them, those no dearer than the goal's best
+    are left; the path is that of all edges, by the same order of ties."""
+    import random
+
+    rng = random.Random(9)
+    edges = [(f"e{i:03d}", *rng.sample([f"n{k}" for k in range(20)], 2), "calls", float(rng.choice([0, 0, 1, 1, 2, 9, 50]))) for i in range(80)] + [("far", "n0", "n7", "calls", 7.0)]
+    g = graph(spark, [(f"n{k}",) for k in range(20)], edges)
+    best = {"n0": (0.0, 0)}  # least cost, then fewest edges
+    for _ in range(20):
+        for _, a, b, _, w in edges:
+            if a in best:
+                best[b] = min(best.get(b, (1e9, 0)), (best[a][0] + w, best[a][1] + 1))
+    for goal in ("n7",):
+        cost, found, via = best[goal][0], [goal], []
+        while found[0] != "n0":
+            (_, _, a, e) = min((*best[a], a, e) for e, a, b, _, w in edges if b == found[0] and a in best and best[a][0] + w == best[b][0])
+            found, via = [a, *found], [e, *via]
+        r = paths.shortest_path(g, "n0", goal).first()
+        assert (r.cost, r.node_ids, r.edge_ids) == (cost, found, via)
+        costs, left = paths.distances(g, "n0", goal)
+        assert {x.node_id: x.hop for x in costs.collect() if x.cost <= cost} == {n: h for n, (c, h) in best.items() if c <= cost}
+        assert left.count() < 81 and left.agg({"weight": "max"}).first()[0] <= cost
+
+
 def test_many_roots_equal_one_by_one(spark):
     """More roots than a word has bits, in a graph with cycles."""
     import random
