@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provgraph.llm.common import table
+from provgraph.llm.hashing import PART, slices
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
@@ -252,9 +253,10 @@ def redact(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            masked = pa.array([mask(x) for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([masked if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+        for whole in batches:
+            for batch in slices(whole, at, PART):
+                masked = pa.array([mask(x) for x in batch.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([masked if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -61,9 +61,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provgraph.llm.common import SPACE, Scratch, table
+from provgraph.llm.common import SPACE, Scratch, small_batches, table
 from provgraph.llm.components import connected_components
-from provgraph.llm.hashing import mix, slices, unique_by_row, windows, words_of
+from provgraph.llm.hashing import PART, mix, slices, unique_by_row, windows, words_of
 
 SHINGLE, PERCENT = 5, 80
 ROUNDS, MAX_LIGHT = 3, 24
@@ -143,9 +143,9 @@ def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(n), np.diff(bounds))
     bit = (mix(values ^ np.uint64(0xA5A5A5A5)) % np.uint64(width)).astype(np.int64)
     odd = np.zeros((n, width), np.uint8)
-    for at in range(0, n, 4096):  # by parts, as the counts are wide
-        a, z = bounds[at], bounds[min(at + 4096, n)]
-        part = min(4096, n - at)
+    for at in range(0, n, 1024):  # by parts, as the counts are wide
+        a, z = bounds[at], bounds[min(at + 1024, n)]
+        part = min(1024, n - at)
         odd[at : at + part] = (np.bincount((row[a:z] - at) * width + bit[a:z], minlength=part * width) & 1).reshape(part, width)
     return np.packbits(odd, axis=1).view(np.int64)
 
@@ -192,7 +192,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 3):
+            for batch in slices(whole, 3, PART):
                 values, bounds = shingle_sets(batch.column(3))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds).astype(np.int32)), _wide(*set_ids(values, bounds))], names=["doc_id", "__text_a", "__text_b", "n", "sid"])
 
@@ -212,6 +212,28 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, rising, and how often each occurs; sorts ``x``."""
+    x.sort()
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return x[first], np.diff(first, append=len(x))
+
+
+def merged(packed, places, counts) -> tuple[np.ndarray, np.ndarray]:
+    """The same of packed parts, of which each has the places of the numbers
+    that stand for several and their counts; what is large is held once."""
+    ends = np.cumsum([zstandard.frame_content_size(h) // 5 for h in packed])
+    x, often, more = np.empty(ends[-1], np.uint64), [], []
+    for held, at, n, end in zip(packed, places, counts, ends.tolist()):
+        own = _unpack(held)
+        x[end - len(own) : end] = own
+        often.append(own[np.frombuffer(at, np.int32)])
+        more.append(np.frombuffer(n, np.int64) - 1)
+    x, n = counted(x)
+    np.add.at(n, np.searchsorted(x, np.concatenate(often)), np.concatenate(more))
+    return x, n
+
+
 class Known:
     """What is known of shingles by their first bits: which stand in several
     classes (perhaps more than do), and how frequent they are."""
@@ -240,7 +262,9 @@ def count_shingles(docs: DataFrame, only, total: int, map_bits: int, rank_bits:
 
     def spread(batches):
         def put(held):
-            x, n = np.unique(np.concatenate(held), return_counts=True)
+            x = np.concatenate(held)
+            held.clear()
+            x, n = counted(x)
             cut = np.searchsorted(x >> low, np.arange((1 << range_bits) + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 own, of = x[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]
@@ -253,29 +277,20 @@ def count_shingles(docs: DataFrame, only, total: int, map_bits: int, rank_bits:
         held, n = [], 0
         for whole in batches:
             whole = whole.filter(pa.array(_within(only.value, _numbers(whole.column(0)))))
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, PART):
                 values, _ = shingle_sets(batch.column(1))
                 held.append(values >> np.uint64(64 - TOKEN_BITS))
                 n += len(values)
                 if n >= flush:
                     yield from put(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from put(held)
 
     def count(rows):
         import pandas as pd
 
-        xs, ns = [], []
-        for held, places, counts in zip(rows["held"], rows["places"], rows["counts"]):
-            xs.append(_unpack(held))
-            ns.append(np.ones(len(xs[-1]), np.int64))
-            ns[-1][np.frombuffer(places, np.int32)] = np.frombuffer(counts, np.int64)
-        x, n = np.concatenate(xs), np.concatenate(ns)
-        order = np.argsort(x, kind="stable")
-        x, n = x[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        x, n = x[first], np.add.reduceat(n, first)
+        x, n = merged(rows["held"], rows["places"], rows["counts"])
         part, again = int(rows["part"].iloc[0]), n > 1
         base = np.uint64(part << int(low))
         ranks = np.zeros(1 << (rank_bits - range_bits), np.uint8)
@@ -289,12 +304,13 @@ def count_shingles(docs: DataFrame, only, total: int, map_bits: int, rank_bits:
     blobs = docs.select("doc_id", "text").mapInArrow(spread, "part int, held binary, places binary, counts binary")
     ranks, shared = np.zeros(1 << rank_bits, np.uint8), np.zeros(1 << (map_bits - 3), np.uint8)
     distinct = seen = 0
-    # bounded by the two maps' sizes
-    for r in blobs.groupBy("part").applyInPandas(count, "part int, ranks binary, bits binary, n long, total long").toLocalIterator():
-        for out, held in ((ranks, r.ranks), (shared, r.bits)):
-            width = len(out) >> range_bits
-            out[r.part * width : (r.part + 1) * width] = np.frombuffer(zstandard.decompress(bytes(held)), np.uint8)
-        distinct, seen = distinct + r.n, seen + r.total
+    with small_batches(spark):
+        # bounded by the two maps' sizes
+        for r in blobs.groupBy("part").applyInPandas(count, "part int, ranks binary, bits binary, n long, total long").toLocalIterator():
+            for out, held in ((ranks, r.ranks), (shared, r.bits)):
+                width = len(out) >> range_bits
+                out[r.part * width : (r.part + 1) * width] = np.frombuffer(zstandard.decompress(bytes(held)), np.uint8)
+            distinct, seen = distinct + r.n, seen + r.total
     return Known(shared, ranks), seen / max(1, distinct)
 
 
@@ -341,7 +357,7 @@ def candidates(docs: DataFrame, only, known, light: int, percent: int = PERCENT)
     def run(batches):
         for whole in batches:
             whole = whole.filter(pa.array(_within(only.value, _numbers(whole.column(0)))))
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, PART):
                 values, bounds = shingle_sets(batch.column(1))
                 n = np.diff(bounds)
                 shared = known.value.is_shared(values)

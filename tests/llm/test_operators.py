@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from provgraph.llm import common
 from provgraph.llm import op1_classifier as one
 from provgraph.llm import op2_sharding as two
 from provgraph.llm import op3_pii as three
@@ -461,6 +462,57 @@ def test_scratch_is_shared(spark):
     scratch.drop()
 
 
+def test_batches_are_small_in_bytes(spark):
+    """What Python gets at once, of rows that are long (20 MB in all)."""
+    rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], names=["n", "size"])
+
+    before = [spark.conf.get(k) for k in (common.ARROW_ROWS, common.ARROW_BYTES)]
+    got = Scratch(spark, "batches").save(rows.mapInArrow(run, "n long, size long")).collect()
+    assert sum(r.n for r in got) == 2000 and max(r.size for r in got) < 2 * common.BATCH_BYTES < 20e6
+    assert [spark.conf.get(k) for k in (common.ARROW_ROWS, common.ARROW_BYTES)] == before
+
+
+def test_results_do_not_depend_on_batches(spark, docs, monkeypatch):
+    frame = docs.filter("doc_id is not null").select("doc_id", "text")
+    bench = spark.createDataFrame([(1, ROWS[7][1]), (2, ROWS[8][1])], "item_id long, text string")
+    found = lambda: [sorted(map(tuple, f.collect())) for f in (five.join_components(frame), nine.find_matches(frame, bench).select("doc_id", "item_id"), nine.decontaminate(frame, bench).select("doc_id"))]
+    want = found()
+    monkeypatch.setattr(common, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(common, "BATCH_ROWS", 3)
+    assert found() == want
+
+
+def test_decontamination_leaves_no_pass_to_spark_s_batches(spark, docs):
+    """A plan that runs later would send Python 10,000 rows or 64 MB at once."""
+    bench = spark.createDataFrame([(1, ROWS[7][1])], "item_id long, text string")
+    for frame in (nine.decontaminate(docs, bench), nine.find_matches(docs, bench)):
+        assert "InArrow" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shingles_are_counted_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 1 << 30, 250_000, dtype=np.uint64) >> np.uint64(k % 2 * 12) for k in range(4)]
+    packed, places, counts, want = [], [], [], collections.Counter()
+    for p in parts:
+        x, n = np.unique(p, return_counts=True)
+        want.update(dict(zip(x.tolist(), n.tolist())))
+        often = np.flatnonzero(n > 1).astype(np.int32)
+        packed.append(five._pack(x))
+        places.append(often.tobytes())
+        counts.append(n[often].tobytes())
+    size = sum(len(np.unique(p)) for p in parts)
+    tracemalloc.start()
+    x, n = five.merged(packed, places, counts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(x.tolist(), n.tolist())) == want
+    assert most < 45 * size  # bytes
+
+
 def test_sample_of_texts(spark):
     """Ids that are null or stand on many rows have no part in the sample, and
     copies count once; it does not run out however small the share."""
